@@ -103,7 +103,7 @@ def transform(values: pa.Array, name: str, key: TokenKey, encrypting: bool, over
     return _transform_distinct(coded.dictionary, element(name), key, encrypting, overlong).take(coded.indices)
 
 
-def _transform_mixed(
+def transform_mixed(
     values: pa.Array, names: pa.Array, default: str, key: TokenKey, encrypting: bool, overlong: str
 ) -> pa.Array:
     """Rows of several elements in one batch; each element is one pass, order is kept."""
@@ -139,7 +139,7 @@ def _keyed(value, name, key, tweak, encrypting, default, overlong) -> Column:
 
         @F.arrow_udf(T.StringType())
         def mixed(values: pa.Array, names: pa.Array) -> pa.Array:
-            return _transform_mixed(values, names, fallback, key, encrypting, overlong)
+            return transform_mixed(values, names, fallback, key, encrypting, overlong)
 
         return mixed(value.cast("string"), name)
 
@@ -220,7 +220,7 @@ def register(spark, key: TokenKey | None = None) -> None:
     for label, encrypting in (("fpe_encrypt", True), ("fpe_decrypt", False)):
 
         def body(values: pa.Array, names: pa.Array, encrypting=encrypting) -> pa.Array:
-            return _transform_mixed(values, names, DEFAULT_ELEMENT, key, encrypting, "error")
+            return transform_mixed(values, names, DEFAULT_ELEMENT, key, encrypting, "error")
 
         spark.udf.register(label, _sql_udf(body))
 
