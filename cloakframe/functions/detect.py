@@ -94,7 +94,7 @@ RULES = (
 @dataclass(frozen=True)
 class TextConfig:
     """Settings of one run; passed in, never global.  ``labels`` names the entities acted on and what
-    redaction shows for them; with none, redaction and protection leave every text as it is."""
+    redaction shows for them; other entities are left as they are, except within merged spans."""
 
     labels: dict[str, str] = field(default_factory=dict)
     method: str = "redact"

@@ -137,7 +137,8 @@ def _spliced(text: str, parts: list[tuple[int, int, str]]) -> str:
 
 def redact(text: Column | str, config: TextConfig) -> Column:
     """Redact or mask a text column.  ``redact`` shows ``[LABEL]`` for entities named in ``config.labels``
-    and leaves others alone; a merged span shows all its labels.  ``mask`` covers every span."""
+    and leaves others alone; a merged span is always replaced and shows all its labels, raw names where
+    there is none.  ``mask`` covers every span."""
     text = F.col(text) if isinstance(text, str) else text
     finders, labels = _finders(config), dict(config.labels)
 

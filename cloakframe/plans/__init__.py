@@ -1,0 +1,6 @@
+"""Named queries over the given tables."""
+
+from . import access_queries, service_queries, text_queries, token_queries  # noqa: F401  (these register)
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

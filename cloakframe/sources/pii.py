@@ -31,8 +31,9 @@ def _choice(values: list[str], at: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
 
 
-def pii_from(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """One row of (id, name, email, ssn, dob) per row of ``df``; ``key`` becomes the id."""
+def pii_from(df: DataFrame, key: str, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row of (id, name, email, ssn, dob) per row of ``df``; ``key`` becomes the id, columns in ``keep``
+    stay."""
     row = F.col(key).cast("long")
     draw = row + F.lit(seed * _SEED_STRIDE).cast("long")
     first = _choice(FIRST_NAMES, draw % 10)
@@ -50,6 +51,7 @@ def pii_from(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
         ).alias("email"),
         ssn.alias("ssn"),
         birth.cast("string").alias("dob"),
+        *keep,
     )
 
 
