@@ -169,11 +169,16 @@ def normalise(message: Column | str) -> Column:
     """Exact lookup of the core message; else the first entry of which one is a prefix of the other; else
     the message as it came.  Row-local: the table is a literal, so nothing is joined."""
     message = F.col(message) if isinstance(message, str) else message
-    core = core_message(message)
-    exact = F.try_element_at(F.create_map(*[F.lit(x) for pair in ERROR_TEXTS.items() for x in pair]), core)
+    known = F.create_map(*[F.lit(x) for pair in ERROR_TEXTS.items() for x in pair])
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("text")) for k, v in ERROR_TEXTS.items()])
-    close = F.filter(entries, lambda e: F.startswith(core, e["key"]) | F.startswith(e["key"], core))
-    return F.when(message == "", message).otherwise(F.coalesce(exact, F.get(close, F.lit(0))["text"], message))
+
+    def looked_up(core: Column) -> Column:
+        close = F.filter(entries, lambda e: F.startswith(core, e["key"]) | F.startswith(e["key"], core))
+        return F.coalesce(F.try_element_at(known, core), F.get(close, F.lit(0))["text"])
+
+    # a one-element array binds the core message to a name, so its patterns run once and not per entry
+    found = F.get(F.transform(F.array(core_message(message)), looked_up), F.lit(0))
+    return F.when(message == "", message).otherwise(F.coalesce(found, message))
 
 
 def _stripped(text: Column) -> Column:

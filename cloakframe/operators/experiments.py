@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .ranking import exact_medians, join_groups, ranked
 
 # --- fixed values -------------------------------------------------------------------------------------
@@ -68,7 +69,7 @@ def rank_configs(df: DataFrame, within: list[str], config: list[str], value: str
         whole = rank_configs(df.withColumn("_all", F.lit(0)), ["_all"], config, value, sentinel)
         return whole.drop("_all")
     runs = df.filter(~F.coalesce(F.col(sentinel), F.lit(False)))
-    placed = ranked(spread_by(runs, [*within, *config], value), within, "median", config)
+    placed = ranked(settle(spread_by(runs, [*within, *config], value), "spread"), within, "median", config)
     best = placed.filter("rank = 1").select(
         *within, F.col("median").alias("best_median"), F.col("min").alias("best_min")
     )
@@ -119,14 +120,14 @@ def theil_sen(curve: DataFrame, keys: list[str]) -> DataFrame:
 
     A curve has one point per parameter setting, so pairs grow with the settings tried, never with the
     measurements behind them."""
-    points = curve.filter(F.col("x") >= FIT_FROM)
+    points = settle(curve.filter(F.col("x") >= FIT_FROM), "curve")
     left, right = points.alias("l"), points.alias("r")
     same_curve = F.lit(True)
     for k in keys:
         same_curve = same_curve & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     slopes = left.join(right, same_curve & (F.col("r.x") > F.col("l.x"))).select(
         *[F.col(f"l.{k}").alias(k) for k in keys],
-        ((F.col("r.y") - F.col("l.y")) / (F.col("r.x") - F.col("l.x"))).alias("slope"),
+        F.try_divide(F.col("r.y") - F.col("l.y"), F.col("r.x") - F.col("l.x")).alias("slope"),
     )
     slope = exact_medians(slopes, keys, "slope", "slope")
     leaning = join_groups(points, slope, keys)

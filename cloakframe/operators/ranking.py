@@ -28,15 +28,17 @@ def cell(value: Column) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * CELLS_PER_E).cast("long")
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equality of key columns where NULL equals NULL: a missing key is a group like any other."""
-    return reduce(and_, (left[k].eqNullSafe(right[k]) for k in keys), F.lit(True))
+def _matched(right: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """``right`` with its keys renamed, and the condition that joins them: NULL equals NULL, since a
+    missing key is a group like any other."""
+    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return renamed, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.lit(True))
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join two group tables on their keys, NULL keys included, keeping one copy of the keys."""
-    joined = left.join(right, same(left, right, keys), how)
-    return joined.select(*[left[c] for c in left.columns], *[right[c] for c in right.columns if c not in keys])
+    renamed, condition = _matched(right, keys)
+    return left.join(renamed, condition, how).drop(*[f"_{k}" for k in keys])
 
 
 def _holding_rank(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -72,7 +74,7 @@ def exact_picks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, str
         if largest is None or largest <= SETTLED_ROWS:
             break
         inside = _inside(base, cells.filter("lo < hi"), keys)
-        share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
         slices = inside.groupBy(*keys, "pick", "rank", F.floor(share * SLICES).alias("slice")).agg(
             F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
         )
@@ -92,9 +94,9 @@ def exact_picks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, str
 
 def _inside(base: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that fall into their group's chosen cells."""
-    in_cell = (base["v"] >= cells["lo"]) & (base["v"] <= cells["hi"])
-    joined = base.join(cells, same(base, cells, keys) & in_cell)
-    return joined.select(*[base[k] for k in keys], base["v"], "pick", "rank", "lo", "hi")
+    renamed, condition = _matched(cells.drop("n"), keys)
+    in_cell = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
+    return base.join(renamed, condition & in_cell).drop(*[f"_{k}" for k in keys])
 
 
 LOWER_MEDIAN, UPPER_MEDIAN = "(size + 1) div 2", "size div 2 + 1"

@@ -155,7 +155,7 @@ def assign_windows(logs: DataFrame, windows: DataFrame, ts: str = "ts", bucket_s
     width = F.lit(bucket_seconds * 1_000_000)
 
     def number(t: Column) -> Column:
-        return F.floor(F.unix_micros(t) / width).cast("long")
+        return F.floor(F.unix_micros(t.cast("timestamp")) / width).cast("long")
 
     spread = windows.withColumn("_bucket", F.explode(F.sequence(number(F.col("start")), number(F.col("end")))))
     placed = logs.withColumn("_bucket", number(F.col(ts)))

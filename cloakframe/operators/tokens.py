@@ -164,9 +164,9 @@ def wire_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     ).select("total", "s.*")
     call = F.col("average_bytes") + argument[F.col("column")] + 2 * BYTES_PER_ARGUMENT + BYTES_PER_CALL
     return (
-        per_column.withColumn("average_bytes", F.col("bytes") / F.col("total"))
+        per_column.withColumn("average_bytes", F.try_divide("bytes", "total"))
         .withColumn("rows_per_request", F.floor(REQUEST_BYTES / call))
-        .withColumn("requests", F.ceil(F.col("total") / F.col("rows_per_request")))
+        .withColumn("requests", F.ceil(F.try_divide("total", "rows_per_request")))
         .withColumn("reply_mb", F.col("rows_per_request") * F.col("average_bytes") / 1_000_000)
         .select("column", "total", "average_bytes", "rows_per_request", "requests", "reply_mb")
     )

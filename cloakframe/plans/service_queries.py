@@ -84,7 +84,7 @@ _SCANNED = f"""WITH {_LOG} SELECT * FROM log WHERE event_id % 17 <> 0 AND event_
 
 def _scan(spark, folder, events):
     return scan_log(
-        parse_lines(_as_lines(spark, folder)), "svc-1", "2024-01-03 00:00:00", "2024-01-20 00:00:00", events
+        parse_lines(_as_lines(spark, folder)), "svc-1", "2024-01-03T00:00:00Z", "2024-01-20T00:00:00Z", events
     )
 
 

@@ -91,14 +91,15 @@ def merged_spans(spark, folder):
 _SHOWN = "CASE entity " + " ".join(f"WHEN '{e}' THEN '{label}'" for e, label in LABELS.items())
 
 
-@query(
-    _rewritten_sql(
-        REDACT,
-        f"""CASE WHEN contains(entity, '|') THEN '[' || array_to_string(list_transform(string_split(entity, '|'),
-        lambda e: {_SHOWN.replace('CASE entity', 'CASE e')} ELSE e END), '|') || ']'
-        ELSE '[' || ({_SHOWN} END) || ']' END""",
-    )
+ORACLE_REDACTED = _rewritten_sql(
+    REDACT,
+    f"""CASE WHEN contains(entity, '|') THEN '[' || array_to_string(list_transform(string_split(entity, '|'),
+    lambda e: {_SHOWN.replace('CASE entity', 'CASE e')} ELSE e END), '|') || ']'
+    ELSE '[' || ({_SHOWN} END) || ']' END""",
 )
+
+
+@query(ORACLE_REDACTED)
 def redacted_texts(spark, folder):
     return _documents(spark, folder).select("doc_id", tx.redact("text", REDACT).alias("text"))
 

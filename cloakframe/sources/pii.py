@@ -31,6 +31,11 @@ def _choice(values: list[str], at: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
 
 
+def _spread(number: Column, step: int, size: int) -> Column:
+    """(number * step) modulo size, without overflow for large numbers."""
+    return ((number % size) * step) % size
+
+
 def pii_from(df: DataFrame, key: str, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row of (id, name, email, ssn, dob) per row of ``df``; ``key`` becomes the id, columns in ``keep``
     stay."""
@@ -39,9 +44,9 @@ def pii_from(df: DataFrame, key: str, seed: int = 0, keep: tuple[str, ...] = ())
     first = _choice(FIRST_NAMES, draw % 10)
     last = _choice(LAST_NAMES, F.floor(draw / 10) % 10)
     ssn = F.format_string(
-        "%d-%d-%d", 100 + (draw * 7919) % 900, 10 + (draw * 104729) % 90, 1000 + (draw * 1299709) % 9000
+        "%d-%d-%d", 100 + _spread(draw, 7919, 900), 10 + _spread(draw, 104729, 90), 1000 + _spread(draw, 1299709, 9000)
     )
-    birth = F.date_add(F.lit(BIRTH_EPOCH).cast("date"), ((draw * 613) % BIRTH_DAYS).cast("int"))
+    birth = F.date_add(F.lit(BIRTH_EPOCH).cast("date"), _spread(draw, 613, BIRTH_DAYS).cast("int"))
     return df.select(
         row.alias("id"),
         F.concat_ws(" ", first, last).alias("name"),
