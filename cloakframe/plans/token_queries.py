@@ -24,7 +24,7 @@ def roundtrip_all(spark, folder):
 @query(
     f"""{PEOPLE} SELECT id, regexp_replace(ssn, '[0-9]', '9', 'g') AS ssn_shape,
     regexp_replace(name, '[A-Za-z]', 'a', 'g') AS name_shape, regexp_replace(dob, '[0-9]', '9', 'g') AS dob_shape,
-    length(email) AS email_length, regexp_extract(email, '@.*$') AS email_domain, false AS any_clear FROM people"""
+    CAST(length(email) AS INTEGER) AS email_length, regexp_extract(email, '@.*$') AS email_domain, false AS any_clear FROM people"""
 )
 def token_shape(spark, folder):
     clear = people(spark, folder)
@@ -80,7 +80,7 @@ def token_groups(spark, folder):
 
 
 @query(
-    f"""{PEOPLE} SELECT id % 4 AS branch, count(*) AS orders, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents
+    f"""{PEOPLE} SELECT id % 4 AS branch, count(*) AS orders, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
     FROM orders JOIN people ON o_custkey = id GROUP BY 1"""
 )
 def token_join(spark, folder):
@@ -159,7 +159,7 @@ def filter_after_decrypt(spark, folder):
 
 
 _CONDITIONAL = f"""{PEOPLE} SELECT id % 2 AS parity, count(*) AS people, count(*) FILTER (WHERE id % 2 = 0) AS in_clear,
-    sum(length(ssn)) AS total_length FROM people GROUP BY 1"""
+    CAST(sum(length(ssn)) AS BIGINT) AS total_length FROM people GROUP BY 1"""
 
 
 def _conditional(spark, folder, shape):
@@ -187,20 +187,21 @@ def decrypt_hoisted(spark, folder):
     return _conditional(spark, folder, tk.decrypt_hoisted)
 
 
-@query(f"{PEOPLE} SELECT sum(length(ssn)) AS total_length FROM people WHERE id % 2 = 0")
+@query(f"{PEOPLE} SELECT CAST(sum(length(ssn)) AS BIGINT) AS total_length FROM people WHERE id % 2 = 0")
 def filter_then_apply(spark, folder):
     even = tk.filter_then_decrypt(tk.tokenize_table(people(spark, folder), {"ssn": "ssn"}), "ssn", F.col("id") % 2 == 0)
     return tk.forced_length(even, F.col("ssn"))
 
 
-@query(f"{PEOPLE} SELECT sum(length(ssn)) AS ssn, sum(length(email)) AS email, sum(length(name)) AS name FROM people")
+@query(f"""{PEOPLE} SELECT CAST(sum(length(ssn)) AS BIGINT) AS ssn, CAST(sum(length(email)) AS BIGINT) AS email,
+    CAST(sum(length(name)) AS BIGINT) AS name FROM people""")
 def forced_lengths(spark, folder):
     tokens = tk.tokenize_table(people(spark, folder))
     return tokens.agg(*[F.sum(F.length(fpe.decrypt(c, c))).alias(c) for c in ("ssn", "email", "name")])
 
 
 @query(
-    """SELECT copy, count(*) AS rows, max(c_custkey) AS last_id FROM customer,
+    """SELECT CAST(copy AS INTEGER) AS copy, count(*) AS rows, max(c_custkey) AS last_id FROM customer,
     (SELECT unnest(range(1, 5)) AS copy) WHERE copy <= 3 OR c_custkey IN
     (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT (SELECT count(*) // 2 FROM customer)) GROUP BY copy"""
 )
@@ -212,7 +213,7 @@ def replicated_rows(spark, folder):
     return copies.groupBy("copy").agg(F.count("*").alias("rows"), F.max("c_custkey").alias("last_id"))
 
 
-@query(f"{PEOPLE} SELECT count(*) AS rows, sum(50000) AS characters FROM people")
+@query(f"{PEOPLE} SELECT count(*) AS rows, CAST(sum(50000) AS BIGINT) AS characters FROM people")
 def wide_values(spark, folder):
     wide = tk.wide_values(people(spark, folder).select("ssn"), F.col("ssn"), 50_000)
     return wide.agg(F.count(native.noop("wide")).alias("rows"), F.sum(F.length("wide")).alias("characters"))
@@ -278,7 +279,7 @@ def short_values(spark, folder):
 
 
 @query(
-    """SELECT p_partkey, p_brand, length(regexp_replace(p_brand, '[^0-9]', '', 'g')) AS payload,
+    """SELECT p_partkey, p_brand, CAST(length(regexp_replace(p_brand, '[^0-9]', '', 'g')) AS INTEGER) AS payload,
     length(regexp_replace(p_brand, '[^0-9]', '', 'g')) < 6 AS short, p_brand AS token_roundtrip,
     CASE WHEN length(regexp_replace(p_brand, '[^0-9]', '', 'g')) < 6 THEN p_brand END AS unchanged FROM part"""
 )
@@ -332,7 +333,7 @@ _MIXED = f"""{PEOPLE}, mixed AS (SELECT id, 'email' AS element, email AS v FROM
     UNION ALL SELECT id, NULL, ssn FROM people UNION ALL SELECT id, 'digits', dob FROM people)"""
 
 
-@query(f"{_MIXED} SELECT id, element, v AS value, length(v) AS token_length FROM mixed")
+@query(f"{_MIXED} SELECT id, element, v AS value, CAST(length(v) AS INTEGER) AS token_length FROM mixed")
 def mixed_elements(spark, folder):
     """Elements mixed in one column; a missing element means the default."""
     stacked = people(spark, folder).select(
