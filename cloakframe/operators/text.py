@@ -61,7 +61,8 @@ def find_spans(df: DataFrame, key: str, text: str, config: TextConfig = TextConf
 def collect_spans(spans: DataFrame, key: str) -> DataFrame:
     """One entity per (document, start, end): the strictly higher score, else the earlier arrival."""
     first = F.struct(F.col("score"), -F.col("arrival"))
-    return spans.groupBy(key, "start_index", "end_index").agg(
+    # placed by document once: merging, which needs whole documents, then shuffles nothing again
+    return spans.repartition(F.col(key)).groupBy(key, "start_index", "end_index").agg(
         F.max_by("entity", first).alias("entity"),
         F.max("score").alias("score"),
         F.min("arrival").alias("arrival"),

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fpe
-from ..operators import govern, tokens as tk
-from ..session import shared_path
+from ..operators import govern
 from ..sources.pii import with_branch
-from ..sources.tables import create_table_as, table
+from ..sources.tables import table
 from .base import PEOPLE, people, query
+from .token_queries import stored_tokens
 
 USER = "analyst"
 
 
 def branched(spark, folder):
-    return with_branch(tk.tokenize_table(people(spark, folder)))
+    return with_branch(stored_tokens(spark, folder))
 
 
 def uneven_policy(spark):
@@ -185,8 +185,7 @@ def access_check(spark, folder):
 def sql_functions(spark, folder):
     """The functions registered for SQL, over a view of a stored token table."""
     fpe.register(spark)
-    stored = create_table_as(tk.tokenize_table(people(spark, folder)), shared_path(spark, "tokens"))
-    stored.createOrReplaceTempView("cloak_tokens")
+    stored_tokens(spark, folder).createOrReplaceTempView("cloak_tokens")
     return spark.sql(
         "SELECT id, regexp_replace(ssn, '[0-9]', '9') AS fpe_shape, fpe_decrypt(ssn, 'ssn') AS ssn FROM cloak_tokens"
     )

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import tokens as tk
 from ..session import shared_path
 from ..sources.pii import PII_SCHEMA, mock_pii
-from ..sources.tables import append_json_lines, create_table_as, scan_csv, scan_json_lines, table, write_csv
+from ..sources.tables import append_json_lines, scan_csv, scan_json_lines, table, write_csv
 from ..streaming import live
 from .base import PEOPLE, people, people_sql, query
 from .service_queries import _LOG, service_log
+from .token_queries import stored_tokens
 from .text_queries import ORACLE_REDACTED, REDACT
 
 
@@ -39,10 +40,9 @@ def json_lines_scan(spark, folder):
 
 
 @query(f"{PEOPLE} SELECT id, name, email, ssn, dob FROM people")
-def stored_tokens(spark, folder):
+def token_table(spark, folder):
     """Tokens created as a table, read back and decrypted."""
-    stored = create_table_as(tk.tokenize_table(people(spark, folder)), shared_path(spark, "table"))
-    return tk.detokenize_table(stored)
+    return tk.detokenize_table(stored_tokens(spark, folder))
 
 
 @query(
