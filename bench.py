@@ -21,6 +21,7 @@ from cloakframe.operators import govern, search, service_logs, text, tokens
 from cloakframe.plans import QUERIES
 from cloakframe.plans.service_queries import service_log
 from cloakframe.plans.text_queries import REDACT
+from cloakframe.session import spread
 from cloakframe.sources.pii import pii_from, with_branch
 from cloakframe.sources.tables import create_table_as, table
 
@@ -69,7 +70,7 @@ def workloads(spark):
     pair = clear.orderBy("id").first()
     token = fpe.token_of(pair["ssn"], "ssn")
     log = service_logs.per_row_costs(service_log(spark, FOLDER))
-    docs = table(spark, FOLDER, "documents").select("doc_id", "text")
+    docs = spread(table(spark, FOLDER, "documents").select("doc_id", "text"), "doc_id")
 
     def total(df, value):
         return lambda: tokens.forced_length(df, value).collect()

@@ -82,10 +82,12 @@ def _transform_distinct(
         valid &= ~too_long
     out = data.copy()
     cipher = _cipher(key.key_bytes, key.tweak_bytes, spec.radix)
-    for length in np.unique(lengths[(lengths >= spec.min_length) & ~too_long]):
-        rows = np.flatnonzero(lengths == length)
-        where = positions[starts[rows] + np.arange(length)[:, None]]
-        out[where] = symbol_of[cipher.apply(digit_of[data[where]], encrypting)]
+    places = [
+        positions[starts[np.flatnonzero(lengths == length)] + np.arange(length)[:, None]]
+        for length in np.unique(lengths[(lengths >= spec.min_length) & ~too_long])
+    ]
+    for where, digits in zip(places, cipher.apply([digit_of[data[p]] for p in places], encrypting)):
+        out[where] = symbol_of[digits]
 
     validity = None if valid.all() else pa.array(valid).buffers()[1]
     return pa.Array.from_buffers(
@@ -98,9 +100,29 @@ def transform(values: pa.Array, name: str, key: TokenKey, encrypting: bool, over
     coded = values.dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    if 2 * len(coded.dictionary) > len(values):
+    distinct = coded.dictionary
+    if 2 * len(distinct) > len(values):
         return _transform_distinct(values, element(name), key, encrypting, overlong)
-    return _transform_distinct(coded.dictionary, element(name), key, encrypting, overlong).take(coded.indices)
+    if len(distinct) <= RECALLED_VALUES:
+        return _recalled(distinct, name, key, encrypting, overlong).take(coded.indices)
+    return _transform_distinct(distinct, element(name), key, encrypting, overlong).take(coded.indices)
+
+
+RECALLED_VALUES = 2_000  # a column this poor in values keeps its results from batch to batch
+_recall: dict[tuple, dict[str, str | None]] = {}
+
+
+def _recalled(distinct: pa.Array, name: str, key: TokenKey, encrypting: bool, overlong: str) -> pa.Array:
+    known = _recall.setdefault((name, key.key, key.tweak, encrypting, overlong), {})
+    wanted = distinct.to_pylist()
+    missing = [v for v in wanted if v not in known]
+    if missing:
+        done = _transform_distinct(pa.array(missing, pa.string()), element(name), key, encrypting, overlong)
+        if len(known) + len(missing) > 10 * RECALLED_VALUES:
+            known.clear()
+            return _transform_distinct(distinct, element(name), key, encrypting, overlong)
+        known.update(zip(missing, done.to_pylist()))
+    return pa.array([known[v] for v in wanted], pa.string())
 
 
 def transform_mixed(
@@ -131,9 +153,9 @@ def _check_policy(overlong: str) -> None:
 def _keyed(value, name, key, tweak, encrypting, default, overlong) -> Column:
     _check_policy(overlong)
     key = (key or TokenKey()).with_tweak(tweak)
-    value = F.col(value) if isinstance(value, str) else value
     fallback = default or DEFAULT_ELEMENT
-    element(fallback)
+    element(fallback if name is None or isinstance(name, Column) else name)
+    value = F.col(value) if isinstance(value, str) else value
 
     if isinstance(name, Column):
 
@@ -143,8 +165,7 @@ def _keyed(value, name, key, tweak, encrypting, default, overlong) -> Column:
 
         return mixed(value.cast("string"), name)
 
-    fixed = name or fallback
-    element(fixed)
+    fixed = fallback if name is None else name
 
     @F.arrow_udf(T.StringType())
     def single(values: pa.Array) -> pa.Array:

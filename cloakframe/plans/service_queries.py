@@ -136,15 +136,15 @@ def log_full_summary(spark, folder):
     return sl.summarise_with_concurrency(sl.per_row_costs(service_log(spark, folder)), ["instance"])
 
 
-# windows: from each tenth order's date on, 36 hours, moved into the time the log covers
-_WINDOWS = """windows AS (SELECT o_orderkey AS variant, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(o_custkey % 700 AS INTEGER)) AS start,
-    TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(o_custkey % 700 + 36 AS INTEGER)) AS "end" FROM orders)"""
+# one window of 36 hours per nation, starting 28 hours apart, so that neighbours overlap
+_WINDOWS = """windows AS (SELECT n_name AS variant, TIMESTAMP '2024-01-01 00:00:00' + to_hours(n_nationkey * 28) AS start,
+    TIMESTAMP '2024-01-01 00:00:00' + to_hours(n_nationkey * 28 + 36) AS "end" FROM nation)"""
 
 
 def _windows(spark, folder):
-    hours = F.timestamp_add("HOUR", F.col("o_custkey") % 700, F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("variant"), hours.alias("start"), F.timestamp_add("HOUR", F.lit(36), hours).alias("end")
+    start = F.timestamp_add("HOUR", F.col("n_nationkey") * 28, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return table(spark, folder, "nation").select(
+        F.col("n_name").alias("variant"), start.alias("start"), F.timestamp_add("HOUR", F.lit(36), start).alias("end")
     )
 
 

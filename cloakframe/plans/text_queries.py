@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.detect import ENTITY_ELEMENTS, RULES, TextConfig, element_of
 from ..operators import guardrails as gr, text as tx
+from ..session import spread
 from ..sources.tables import table
 from .base import query
 
@@ -63,7 +64,7 @@ def _rewritten_sql(config: TextConfig, replacement: str) -> str:
 
 
 def _documents(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query(f"WITH {spans_sql(TextConfig())} SELECT * FROM spans")

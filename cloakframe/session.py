@@ -47,6 +47,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """Give a small scan as many partitions as there are cores before heavy column work; a scan that
+    already has them is returned as it is, so large inputs are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.  Lineage ends there, a lost
     executor costs nothing, both readers of the result see the same rows, and Catalyst knows its true
