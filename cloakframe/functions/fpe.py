@@ -102,10 +102,12 @@ def transform(values: pa.Array, name: str, key: TokenKey, encrypting: bool, over
         coded = coded.combine_chunks()
     distinct = coded.dictionary
     if 2 * len(distinct) > len(values):
-        return _transform_distinct(values, element(name), key, encrypting, overlong)
-    if len(distinct) <= RECALLED_VALUES:
-        return _recalled(distinct, name, key, encrypting, overlong).take(coded.indices)
-    return _transform_distinct(distinct, element(name), key, encrypting, overlong).take(coded.indices)
+        done = _transform_distinct(values, element(name), key, encrypting, overlong)
+    elif len(distinct) <= RECALLED_VALUES:
+        done = _recalled(distinct, name, key, encrypting, overlong).take(coded.indices)
+    else:
+        done = _transform_distinct(distinct, element(name), key, encrypting, overlong).take(coded.indices)
+    return done.cast(values.type)
 
 
 RECALLED_VALUES = 2_000  # a column this poor in values keeps its results from batch to batch
@@ -137,7 +139,7 @@ def transform_mixed(
         picked = values.take(pa.array(rows))
         if picked.null_count < len(picked):  # an element that only labels NULLs is never looked up
             picked = transform(picked, name, key, encrypting, overlong)
-        parts.append(picked.cast(pa.string()))
+        parts.append(picked)
         order.append(rows)
     if not parts:
         return values

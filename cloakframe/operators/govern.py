@@ -149,10 +149,11 @@ DISTINCT_SHARE = 0.01  # below this share of distinct values the join back is ch
 
 
 def decode(df: DataFrame, policy: DataFrame, user: str, column: str = "name", key: TokenKey | None = None) -> DataFrame:
-    """Choose between the two by the (approximate) share of distinct values."""
+    """Choose between the two by the (approximate) number of distinct values.  So few that every worker
+    remembers them: decoding each row costs a lookup.  A small share of the rows: join back."""
     seen = df.agg(F.approx_count_distinct(column).alias("distinct"), F.count(column).alias("total")).first()
-    few = seen["distinct"] < DISTINCT_SHARE * seen["total"]
-    return (decode_distinct if few else decode_every)(df, policy, user, column, key)
+    join_back = fpe.RECALLED_VALUES < seen["distinct"] < DISTINCT_SHARE * seen["total"]
+    return (decode_distinct if join_back else decode_every)(df, policy, user, column, key)
 
 
 def lookup_view(df: DataFrame, policy: DataFrame, user: str, column: str = "ssn", key: TokenKey | None = None) -> DataFrame:

@@ -28,26 +28,30 @@ def cell(value: Column) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * CELLS_PER_E).cast("long")
 
 
+def _right(key: str) -> str:
+    return f"_right_{key}"
+
+
 def _matched(right: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
     """``right`` with its keys renamed, and the condition that joins them: NULL equals NULL, since a
     missing key is a group like any other."""
-    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    return renamed, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.lit(True))
+    renamed = right.withColumnsRenamed({k: _right(k) for k in keys})
+    return renamed, reduce(and_, (F.col(k).eqNullSafe(F.col(_right(k))) for k in keys), F.lit(True))
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join two group tables on their keys, NULL keys included, keeping one copy of the keys."""
     renamed, condition = _matched(right, keys)
-    return left.join(renamed, condition, how).drop(*[f"_{k}" for k in keys])
+    return left.join(renamed, condition, how).drop(*[_right(k) for k in keys])
 
 
 def _holding_rank(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of every (keys, pick) keep the cell that contains ``rank``, and the rank within it."""
-    before = F.sum("n").over(Window.partitionBy(*keys, "pick").orderBy(order)) - F.col("n")
+    """Of every (keys, pick) keep the cell that contains the wanted rank, and the rank within it."""
+    before = F.sum("_n").over(Window.partitionBy(*keys, "pick").orderBy(order)) - F.col("_n")
     return (
-        counts.withColumn("before", before)
-        .filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n")))
-        .select(*keys, "pick", (F.col("rank") - F.col("before")).alias("rank"), "n", "lo", "hi")
+        counts.withColumn("_before", before)
+        .filter((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_n")))
+        .select(*keys, "pick", (F.col("_rank") - F.col("_before")).alias("_rank"), "_n", "_lo", "_hi")
     )
 
 
@@ -55,48 +59,49 @@ def exact_picks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, str
     """Values at given ranks of every group: columns (keys, pick, value).
 
     ``ranks`` maps a pick's name to its 1-based rank as SQL over the group size ``size``; a rank outside
-    1..size (or NULL) yields no row.  NULL values take no part."""
-    base = df.select(*keys, F.col(value).alias("v")).filter(F.col("v").isNotNull())
-    per_cell = base.groupBy(*keys, cell(F.col("v")).alias("cell")).agg(
-        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    1..size (or NULL) yields no row.  NULL values take no part.  ``df`` is read twice (again for every
+    refinement), so an expensive one is better stored first."""
+    base = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    per_cell = base.groupBy(*keys, cell(F.col("_v")).alias("_cell")).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    sized = per_cell.withColumn("size", F.sum("n").over(Window.partitionBy(*keys)))
+    sized = per_cell.withColumn("size", F.sum("_n").over(Window.partitionBy(*keys)))
     wanted = F.explode(
-        F.array(*[F.struct(F.lit(p).alias("pick"), F.expr(r).cast("long").alias("rank")) for p, r in ranks.items()])
+        F.array(*[F.struct(F.lit(p).alias("pick"), F.expr(r).cast("long").alias("_rank")) for p, r in ranks.items()])
     )
-    asked = sized.select(*keys, "cell", "n", "lo", "hi", wanted.alias("w")).select(
-        *keys, "cell", "n", "lo", "hi", "w.pick", "w.rank"
+    asked = sized.select(*keys, "_cell", "_n", "_lo", "_hi", wanted.alias("_w")).select(
+        *keys, "_cell", "_n", "_lo", "_hi", "_w.pick", "_w._rank"
     )
-    cells = settle(_holding_rank(asked, keys, "cell"), "cells")
+    cells = settle(_holding_rank(asked, keys, "_cell"), "cells")
 
     for _ in range(_MAX_REFINEMENTS):
-        largest = cells.filter("lo < hi").agg(F.max("n")).first()[0]
+        largest = cells.filter("_lo < _hi").agg(F.max("_n")).first()[0]
         if largest is None or largest <= SETTLED_ROWS:
             break
-        inside = _inside(base, cells.filter("lo < hi"), keys)
-        share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
-        slices = inside.groupBy(*keys, "pick", "rank", F.floor(share * SLICES).alias("slice")).agg(
-            F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        inside = _inside(base, cells.filter("_lo < _hi"), keys)
+        share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+        slices = inside.groupBy(*keys, "pick", "_rank", F.floor(share * SLICES).alias("_slice")).agg(
+            F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
         )
-        finer = _holding_rank(slices, keys, "slice")
-        cells = settle(finer.unionByName(cells.filter("lo = hi")), "cells")
+        finer = _holding_rank(slices, keys, "_slice")
+        cells = settle(finer.unionByName(cells.filter("_lo = _hi")), "cells")
 
-    resolved = cells.filter("lo = hi").select(*keys, "pick", F.col("lo").alias("value"))
+    resolved = cells.filter("_lo = _hi").select(*keys, "pick", F.col("_lo").alias("value"))
     counted = (
-        _inside(base, cells.filter("lo < hi"), keys)
-        .groupBy(*keys, "pick", "rank", "v")
-        .agg(F.count("*").alias("n"))
-        .select(*keys, "pick", "rank", "n", "v", F.col("v").alias("lo"), F.col("v").alias("hi"))
+        _inside(base, cells.filter("_lo < _hi"), keys)
+        .groupBy(*keys, "pick", "_rank", "_v")
+        .agg(F.count("*").alias("_n"))
+        .select(*keys, "pick", "_rank", "_n", "_v", F.col("_v").alias("_lo"), F.col("_v").alias("_hi"))
     )
-    read = _holding_rank(counted, keys, "v").select(*keys, "pick", F.col("lo").alias("value"))
+    read = _holding_rank(counted, keys, "_v").select(*keys, "pick", F.col("_lo").alias("value"))
     return resolved.unionByName(read)
 
 
 def _inside(base: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that fall into their group's chosen cells."""
-    renamed, condition = _matched(cells.drop("n"), keys)
-    in_cell = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
-    return base.join(renamed, condition & in_cell).drop(*[f"_{k}" for k in keys])
+    renamed, condition = _matched(cells.drop("_n"), keys)
+    in_cell = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    return base.join(renamed, condition & in_cell).drop(*[_right(k) for k in keys])
 
 
 LOWER_MEDIAN, UPPER_MEDIAN = "(size + 1) div 2", "size div 2 + 1"
@@ -112,7 +117,7 @@ def exact_medians(df: DataFrame, keys: list[str], value: str, output: str = "med
 
 def ranked(df: DataFrame, keys: list[str], value: str, ties: list[str], output: str = "rank") -> DataFrame:
     """Number rows 1.. within ``keys`` by ``value`` descending, then by ``ties`` ascending.  Only rows of
-    one cell are ever ordered together."""
+    one cell are ever ordered together, and numbering them streams."""
     celled = df.withColumn("_cell", -cell(F.col(value)))
     counts = celled.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell")) - F.col("_n")

@@ -98,48 +98,44 @@ def concurrency(logs: DataFrame, keys: list[str], end: str = "ts", duration_ms:
     allows however many requests a group holds.  Times are microseconds, so sums are exact."""
     stop = F.unix_micros(F.col(end).cast("timestamp"))
     start = stop - F.round(F.col(duration_ms) * 1000).cast("long")
+    edge = F.explode(
+        F.array(F.struct(start.alias("_t"), F.lit(1).alias("_step")), F.struct(stop.alias("_t"), F.lit(-1).alias("_step")))
+    )
     edges = (
         logs.filter(F.col(duration_ms).isNotNull() & F.col(end).isNotNull())
-        .select(
-            *keys,
-            F.explode(
-                F.array(
-                    F.struct(start.alias("t"), F.lit(1).alias("step")), F.struct(stop.alias("t"), F.lit(-1).alias("step"))
-                )
-            ).alias("e"),
-        )
-        .select(*keys, "e.*")
+        .select(*keys, edge.alias("_e"))
+        .select(*keys, "_e.*")
     )
-    instants = edges.groupBy(*keys, "t").agg(F.sum("step").alias("net"))
+    instants = edges.groupBy(*keys, "_t").agg(F.sum("_step").alias("_net"))
+    # the area under the level is the sum of -t * net, as the net changes sum to zero
+    area = (F.col("_t").cast("decimal(20,0)") * F.col("_net").cast("decimal(18,0)") * -1).cast("decimal(38,0)")
     level = instants.select(
-        *keys, "t", "net", F.col("net").alias("high"),
-        (F.col("t").cast("decimal(20,0)") * F.col("net").cast("decimal(18,0)") * -1).cast("decimal(38,0)").alias("area"),
-        F.col("t").alias("first"), F.col("t").alias("last"),
+        *keys, "_t", "_net", F.col("_net").alias("_high"), area.alias("_area"), F.col("_t").alias("_from"), F.col("_t").alias("_to")
     )
     for size in (_SECOND, _HOUR, None):
         level = _lifted(level, keys, size)
-    window = F.col("last") - F.col("first")
+    window = F.col("_to") - F.col("_from")
     return level.select(
         *keys,
-        F.greatest("high", F.lit(0)).alias("concurrency_peak"),
-        F.when(window > 0, F.col("area").cast("double") / window).otherwise(0.0).alias("concurrency_mean"),
+        F.greatest("_high", F.lit(0)).alias("concurrency_peak"),
+        F.when(window > 0, F.try_divide(F.col("_area").cast("double"), window)).otherwise(0.0).alias("concurrency_mean"),
         (window / 1_000_000).alias("busy_window_s"),
     )
 
 
 def _lifted(level: DataFrame, keys: list[str], size: int | None) -> DataFrame:
     """Combine cells of time into larger cells (the whole group when ``size`` is None)."""
-    bucket = F.lit(0).cast("long") if size is None else F.floor(F.col("t") / size).cast("long") * size
-    cells = level.withColumn("bucket", bucket)
-    before = F.sum("net").over(Window.partitionBy(*keys, "bucket").orderBy("t")) - F.col("net")
+    bucket = F.lit(0).cast("long") if size is None else F.floor(F.col("_t") / size).cast("long") * size
+    cells = level.withColumn("_bucket", bucket)
+    before = F.sum("_net").over(Window.partitionBy(*keys, "_bucket").orderBy("_t")) - F.col("_net")
     return (
-        cells.withColumn("high", before + F.col("high"))
-        .groupBy(*keys, "bucket")
+        cells.withColumn("_high", before + F.col("_high"))
+        .groupBy(*keys, "_bucket")
         .agg(
-            F.sum("net").alias("net"), F.max("high").alias("high"), F.sum("area").alias("area"),
-            F.min("first").alias("first"), F.max("last").alias("last"),
+            F.sum("_net").alias("_net"), F.max("_high").alias("_high"), F.sum("_area").alias("_area"),
+            F.min("_from").alias("_from"), F.max("_to").alias("_to"),
         )
-        .withColumnRenamed("bucket", "t")
+        .withColumnRenamed("_bucket", "_t")
     )
 
 

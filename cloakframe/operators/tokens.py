@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import fpe, native
 from ..functions.elements import element
 from ..functions.keys import TokenKey
+from ..session import spread
 from .ranking import exact_picks
 
 TABLE_ELEMENTS = {"name": "name", "email": "email", "ssn": "ssn", "dob": "digits"}
@@ -120,7 +121,8 @@ def decrypt_hoisted(df: DataFrame, column: str, condition: Column, key: TokenKey
 
 def replicate(df: DataFrame, rows: int, by: str = "id") -> DataFrame:
     """Exactly ``rows`` rows by repeating the table; the remainder repeats the rows with the smallest
-    ``by`` (unique).  Each row multiplies itself in place, so nothing is joined or shuffled."""
+    ``by`` (unique).  Each row multiplies itself in place, so nothing is joined; only a table of fewer
+    partitions than cores is spread first."""
     have = df.count()
     if have == 0:
         return df
@@ -129,9 +131,8 @@ def replicate(df: DataFrame, rows: int, by: str = "id") -> DataFrame:
     if rest:
         last = exact_picks(df, [], by, {"last": str(rest)}).first()["value"]
         copies = copies + F.when(F.col(by) <= F.lit(last), 1).otherwise(0)
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))) if full else df.filter(
-        copies > 0
-    ).withColumn("copy", F.lit(1))
+    kept = spread(df if full else df.filter(copies > 0), by)
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
 
 
 def wide_values(df: DataFrame, value: Column, width: int, output: str = "wide") -> DataFrame:
@@ -175,7 +176,8 @@ def wire_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def size_batches(df: DataFrame, value: str, max_rows: int, max_bytes: int) -> DataFrame:
     """Give each row a batch (partition, number within it) so that no batch exceeds ``max_rows`` rows or
     ``max_bytes`` bytes of ``value``; a single larger row goes alone.  Partitions are packed
-    independently and streamed, so no shuffle and no partition held in memory."""
+    independently and streamed, so no shuffle and no partition held in memory.  Numbers follow the order of
+    the rows, so pack a stored table."""
     schema = T.StructType([*df.schema.fields, T.StructField("batch_partition", T.IntegerType()), T.StructField("batch", T.LongType())])
     at = df.columns.index(value)
 

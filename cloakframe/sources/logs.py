@@ -46,11 +46,11 @@ def parse_lines(df: DataFrame, line: str = "value") -> DataFrame:
 
 def scan_log(
     envelopes: DataFrame, service: str | None = None, start: Column | str | None = None,
-    end: Column | str | None = None, events: tuple[str, ...] = ("batch",),
+    end: Column | str | None = None, events: tuple[str, ...] = ("batch",), ordered: bool = False,
 ) -> DataFrame:
     """(ts, payload) of one service, between two instants (both inclusive), for the given events.  The
-    time falls back to the receive time; lines without payload or a readable time are dropped.  Order is
-    left to the consumer: nothing downstream needs a global sort."""
+    time falls back to the receive time; lines without payload or a readable time are dropped.  Sorting by
+    time is on request, since nothing downstream needs it."""
     ts = F.try_to_timestamp(F.coalesce("timestamp", "receiveTimestamp"))
     rows = envelopes.filter(F.col("jsonPayload").isNotNull() & F.col("jsonPayload.event").isin(*events))
     if service is not None:
@@ -60,7 +60,7 @@ def scan_log(
         rows = rows.filter(F.col("ts") >= _instant(start))
     if end is not None:
         rows = rows.filter(F.col("ts") <= _instant(end))
-    return rows
+    return rows.orderBy("ts") if ordered else rows
 
 
 def _instant(value: Column | str) -> Column:
