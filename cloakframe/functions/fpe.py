@@ -131,7 +131,8 @@ def transform_mixed(
     values: pa.Array, names: pa.Array, default: str, key: TokenKey, encrypting: bool, overlong: str
 ) -> pa.Array:
     """Rows of several elements in one batch; each element is one pass, order is kept."""
-    coded = pc.fill_null(names, default).dictionary_encode()
+    values = values.cast(pa.string())
+    coded = pc.fill_null(names.cast(pa.string()), default).dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
     parts, order = [], []
     for code, name in enumerate(coded.dictionary.to_pylist()):
@@ -235,22 +236,3 @@ def reprotect(
 def token_of(term: str | None, name: str, key: TokenKey | None = None) -> str | None:
     """Token of one search term, computed on the driver so that a plan only ever sees a literal."""
     return transform(pa.array([term], pa.string()), name, key or TokenKey(), True)[0].as_py()
-
-
-def register(spark, key: TokenKey | None = None) -> None:
-    """Make ``fpe_encrypt(value, element)`` and ``fpe_decrypt(value, element)`` callable from SQL."""
-    key = key or TokenKey.from_session(spark)
-    for label, encrypting in (("fpe_encrypt", True), ("fpe_decrypt", False)):
-
-        def body(values: pa.Array, names: pa.Array, encrypting=encrypting) -> pa.Array:
-            return transform_mixed(values, names, DEFAULT_ELEMENT, key, encrypting, "error")
-
-        spark.udf.register(label, _sql_udf(body))
-
-
-def _sql_udf(body):
-    @F.arrow_udf(T.StringType())
-    def call(values: pa.Array, names: pa.Array) -> pa.Array:
-        return body(values, names)
-
-    return call

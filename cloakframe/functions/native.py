@@ -74,8 +74,8 @@ def hmac_token(value: Column | str, secret: str = DEMO_KEY) -> Column:
     return F.substring(F.sha2(F.concat(F.lit(outer), F.unhex(digest)), 256), 1, HMAC_TOKEN_LENGTH)
 
 
-def hmac_token_private(value: Column | str, secret: str) -> Column:
-    """Same token, with the key held in the function's closure instead of the plan."""
+def hmac_function(secret: str):
+    """The same token as an Arrow function that holds the key in its closure."""
     key = secret.encode()
 
     @F.arrow_udf(T.StringType())
@@ -88,7 +88,12 @@ def hmac_token_private(value: Column | str, secret: str) -> Column:
             pa.string(),
         )
 
-    return token(_c(value))
+    return token
+
+
+def hmac_token_private(value: Column | str, secret: str) -> Column:
+    """Same token, with the key in the function's closure instead of the plan."""
+    return hmac_function(secret)(_c(value))
 
 
 def noop(value: Column | str, prefixed: bool = False) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fpe
+from ..functions import fpe, sql
 from ..operators import govern
 from ..sources.pii import with_branch
 from ..sources.tables import table
 from .base import PEOPLE, people, query
-from .token_queries import stored_tokens
+from .token_queries import hmac_sql, stored_tokens
 
 USER = "analyst"
 
@@ -181,11 +181,16 @@ def access_check(spark, folder):
     return checked.groupBy("user_email", "element", "operation", "allowed").agg(F.count("*").alias("requests"))
 
 
-@query(f"{PEOPLE} SELECT id, fpe_shape, ssn FROM (SELECT id, regexp_replace(ssn, '[0-9]', '9', 'g') AS fpe_shape, ssn FROM people)")
+@query(
+    f"""{PEOPLE} SELECT id, regexp_replace(ssn, '[0-9]', '9', 'g') AS shape, ssn, true AS same_token,
+    {hmac_sql('email')} AS email_token, name AS name FROM people"""
+)
 def sql_functions(spark, folder):
     """The functions registered for SQL, over a view of a stored token table."""
-    fpe.register(spark)
+    sql.register(spark)
     stored_tokens(spark, folder).createOrReplaceTempView("cloak_tokens")
     return spark.sql(
-        "SELECT id, regexp_replace(ssn, '[0-9]', '9') AS fpe_shape, fpe_decrypt(ssn, 'ssn') AS ssn FROM cloak_tokens"
+        """SELECT id, regexp_replace(ssn, '[0-9]', '9') AS shape, fpe_decrypt(ssn, NULL) AS ssn,
+        fpe_encrypt(fpe_decrypt(email, 'email'), 'email') = email AS same_token,
+        hmac_token(fpe_decrypt(email, 'email')) AS email_token, noop(fpe_decrypt(name, 'name')) AS name FROM cloak_tokens"""
     )

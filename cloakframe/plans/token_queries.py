@@ -299,20 +299,20 @@ def pass_through(spark, folder):
     )
 
 
-def _hmac_sql(value: str) -> str:
+def hmac_sql(value: str) -> str:
     key = native.DEMO_KEY.encode().ljust(64, b"\0")
     inner, outer = bytes(b ^ 0x36 for b in key).hex(), bytes(b ^ 0x5C for b in key).hex()
     return f"substr(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({value})))), 1, 16)"
 
 
-@query(f"{PEOPLE} SELECT id, {_hmac_sql('ssn')} AS ssn_token, {_hmac_sql('email')} AS email_token FROM people")
+@query(f"{PEOPLE} SELECT id, {hmac_sql('ssn')} AS ssn_token, {hmac_sql('email')} AS email_token FROM people")
 def hmac_tokens(spark, folder):
     return people(spark, folder).select(
         "id", native.hmac_token("ssn").alias("ssn_token"), native.hmac_token_private("email", native.DEMO_KEY).alias("email_token")
     )
 
 
-@query(f"SELECT doc_id, {_hmac_sql('text')} AS token FROM documents")
+@query(f"SELECT doc_id, {hmac_sql('text')} AS token FROM documents")
 def hmac_documents(spark, folder):
     """Whole texts, accents included."""
     return table(spark, folder, "documents").select("doc_id", native.hmac_token("text").alias("token"))

@@ -242,3 +242,11 @@ def test_pure_catalyst_hmac_equals_the_private_one(spark):
     for key in ("short", "k" * 100):
         rows = df.select(native.hmac_token("v", key), native.hmac_token_private("v", key)).collect()
         assert all(r[0] == r[1] for r in rows)
+
+
+def test_sql_functions_take_bare_nulls(spark):
+    from cloakframe.functions import sql
+
+    sql.register(spark, default="digits")
+    row = spark.sql("SELECT fpe_encrypt('1990-01-31', NULL) a, fpe_encrypt(NULL, 'ssn') b, noop(NULL) c, hmac_token(NULL) d").first()
+    assert tuple(row) == ("0804-22-26", None, None, None)
