@@ -107,10 +107,9 @@ def concurrency(logs: DataFrame, keys: list[str], end: str = "ts", duration_ms:
         .select(*keys, "_e.*")
     )
     instants = edges.groupBy(*keys, "_t").agg(F.sum("_step").alias("_net"))
-    # the area under the level is the sum of -t * net, as the net changes sum to zero
-    area = (F.col("_t").cast("decimal(20,0)") * F.col("_net").cast("decimal(18,0)") * -1).cast("decimal(38,0)")
     level = instants.select(
-        *keys, "_t", "_net", F.col("_net").alias("_high"), area.alias("_area"), F.col("_t").alias("_from"), F.col("_t").alias("_to")
+        *keys, "_t", "_net", F.col("_net").alias("_high"), F.lit(0).cast("long").alias("_area"),
+        F.col("_t").alias("_from"), F.col("_t").alias("_to"),
     )
     for size in (_SECOND, _HOUR, None):
         level = _lifted(level, keys, size)
@@ -124,15 +123,20 @@ def concurrency(logs: DataFrame, keys: list[str], end: str = "ts", duration_ms:
 
 
 def _lifted(level: DataFrame, keys: list[str], size: int | None) -> DataFrame:
-    """Combine cells of time into larger cells (the whole group when ``size`` is None)."""
+    """Combine cells of time into larger cells (the whole group when ``size`` is None).
+
+    ``_area`` is the sum of -net * (time since the cell began).  For a whole group, whose net changes sum to
+    zero, that is the area under the level.  Offsets within an hour fit a long; from there on decimals."""
     bucket = F.lit(0).cast("long") if size is None else F.floor(F.col("_t") / size).cast("long") * size
     cells = level.withColumn("_bucket", bucket)
     before = F.sum("_net").over(Window.partitionBy(*keys, "_bucket").orderBy("_t")) - F.col("_net")
+    wide = (lambda c: c.cast("decimal(19,0)")) if size is None else (lambda c: c)
+    moved = wide(F.col("_area")) - wide(F.col("_t") - F.col("_bucket")) * wide(F.col("_net"))
     return (
         cells.withColumn("_high", before + F.col("_high"))
         .groupBy(*keys, "_bucket")
         .agg(
-            F.sum("_net").alias("_net"), F.max("_high").alias("_high"), F.sum("_area").alias("_area"),
+            F.sum("_net").alias("_net"), F.max("_high").alias("_high"), F.sum(moved).alias("_area"),
             F.min("_from").alias("_from"), F.max("_to").alias("_to"),
         )
         .withColumnRenamed("_bucket", "_t")
