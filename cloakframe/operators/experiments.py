@@ -69,9 +69,11 @@ def rank_configs(df: DataFrame, within: list[str], config: list[str], value: str
         whole = rank_configs(df.withColumn("_all", F.lit(0)), ["_all"], config, value, sentinel)
         return whole.drop("_all")
     runs = df.filter(~F.coalesce(F.col(sentinel), F.lit(False)))
-    placed = ranked(settle(spread_by(runs, [*within, *config], value), "spread"), within, "median", config)
-    best = placed.filter("rank = 1").select(
-        *within, F.col("median").alias("best_median"), F.col("min").alias("best_min")
+    stats = settle(spread_by(runs, [*within, *config], value), "spread")
+    placed = ranked(stats, within, "median", config)
+    leader = F.min_by(F.struct("median", "min"), F.struct(-F.col("median"), *config))
+    best = stats.groupBy(*within).agg(leader.alias("_best")).select(
+        *within, F.col("_best.median").alias("best_median"), F.col("_best.min").alias("best_min")
     )
     joined = join_groups(placed, best, within)
     verdict = (
