@@ -26,6 +26,9 @@ DECISION_TABLE = [
 # ------------------------------------------------------------------------------------------------------
 
 
+PAIR_SHARES = 16
+
+
 def median_by(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Group size and the median of each numeric field, missing values left out.  A NULL key is a group."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -120,11 +123,15 @@ def theil_sen(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Robust line through a curve's points with x >= 4: slope is the median of the pairwise slopes, the
     floor the median residual, not below 0; plus the point that lies farthest from the line.
 
-    A curve has one point per parameter setting, so pairs grow with the settings tried, never with the
-    measurements behind them."""
+    A curve has one point per parameter setting, so its pairs, which the estimate is defined by, grow with
+    the settings tried and never with the measurements behind them."""
     points = settle(curve.filter(F.col("x") >= FIT_FROM), "curve")
-    left, right = points.alias("l"), points.alias("r")
-    same_curve = F.lit(True)
+    # a curve's later points are dealt out and its earlier ones copied to every share, so that no single
+    # task pairs a whole curve
+    shares = F.explode(F.array(*[F.lit(i) for i in range(PAIR_SHARES)]))
+    left = points.withColumn("_share", shares).alias("l")
+    right = points.withColumn("_share", F.pmod(F.hash("x"), F.lit(PAIR_SHARES))).alias("r")
+    same_curve = F.col("l._share") == F.col("r._share")
     for k in keys:
         same_curve = same_curve & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     slopes = left.join(right, same_curve & (F.col("r.x") > F.col("l.x"))).select(

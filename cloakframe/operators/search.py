@@ -35,7 +35,7 @@ def search_token(df: DataFrame, column: str, token: str) -> DataFrame:
 def search_terms(df: DataFrame, column: str, terms: DataFrame, term_column: str, key: TokenKey | None = None) -> DataFrame:
     """Any number of clear terms: tokenize the term table, then semi join.  Catalyst broadcasts the terms
     when they are small and shuffles otherwise."""
-    wanted = terms.select(fpe.encrypt(term_column, TABLE_ELEMENTS[column], key).alias(column)).distinct()
+    wanted = terms.select(fpe.encrypt(term_column, TABLE_ELEMENTS[column], key).alias(column))
     return df.join(wanted, column, "left_semi")
 
 

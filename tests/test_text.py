@@ -127,3 +127,16 @@ def test_message_outcomes(spark):
     risk = {r["conversation"]: (r["outcome"], r["score"], r["rejected_count"]) for r in gr.batch_risk(scanned).collect()}
     assert risk[1] == ("rejected", 0.95, 1) and risk[2] == ("approved", 0.0, 0)
     assert {r["id"]: r["problem"] for r in messages.collect()}["3-0"] == "unknown role"
+
+
+def test_hints_keep_every_match(spark):
+    from dataclasses import replace
+
+    from cloakframe.functions.detect import RULES
+    from cloakframe.sources.tables import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    everything = tuple(replace(r, hint="(?s).") for r in RULES)
+    with_hints = tx.find_spans(docs, "doc_id", "text", TextConfig(threshold=0)).collect()
+    without = tx.find_spans(docs, "doc_id", "text", TextConfig(threshold=0, rules=everything)).collect()
+    assert sorted(with_hints) == sorted(without) and with_hints
