@@ -139,7 +139,7 @@ def theil_sen(curve: DataFrame, keys: list[str]) -> DataFrame:
         F.try_divide(F.col("r.y") - F.col("l.y"), F.col("r.x") - F.col("l.x")).alias("slope"),
     )
     slope = exact_medians(slopes, keys, "slope", "slope")
-    leaning = join_groups(points, slope, keys)
+    leaning = settle(join_groups(points, slope, keys), "leaning")
     rests = leaning.select(*keys, (F.col("y") - F.col("slope") * F.col("x")).alias("rest"))
     floor = exact_medians(rests, keys, "rest", "floor").withColumn("floor", F.greatest("floor", F.lit(0.0)))
     fitted = join_groups(leaning, floor, keys).withColumn("fitted", F.col("floor") + F.col("slope") * F.col("x"))
