@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import attach
-from . import mixing, near, quality, sharding, toxicity
+from . import fingerprint, mixing, near, quality, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query()
+def op9_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.edited_neighbours(table(spark, folder, "documents"))
