@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import attach
-from . import fingerprint, mixing, near, quality, sharding, toxicity
+from . import fingerprint, lines, mixing, near, quality, sharding, toxicity, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,58 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.edited_neighbours(table(spark, folder, "documents"))
+
+
+@query()
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_pages(table(spark, folder, "pages"))
+    return warc.read_archives(spark, archives, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query()
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """A page is labelled by the quality of the document that its url numbers."""
+    pages = table(spark, folder, "pages")
+    number = F.expr(r"try_cast(regexp_extract(url, '/([0-9]{1,18})[^/0-9?#]*/?([?#].*)?$', 1) AS bigint)")
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("good"))
+    labelled = pages.select("page_id", number.alias("doc_id")).join(labels, "doc_id").select("page_id", "good")
+    return urls.judge_urls(pages, labelled)
+
+
+LINES_SQL = f"""
+WITH lines AS (SELECT doc_id, source, i, trim(line) AS line, length(line) AS chars
+    FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+          FROM documents) AS cut
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+bad AS (SELECT line FROM lines GROUP BY line HAVING count(DISTINCT coalesce(source, chr(1))) >= {lines.LineConfig.sites}),
+marked AS (SELECT lines.*, bad.line IS NOT NULL AS gone FROM lines LEFT JOIN bad USING (line)),
+told AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS n_gone, list(i) FILTER (gone) AS places,
+    coalesce(sum(chars) FILTER (gone), 0) * 100 > sum(chars) * {lines.LineConfig.copied} AS whole FROM marked GROUP BY doc_id),
+done AS (SELECT doc_id, source, coalesce(n, 0) AS n_lines, CASE WHEN whole THEN 0 ELSE coalesce(n_gone, 0) END AS n_removed,
+    CASE WHEN whole OR places IS NULL THEN text ELSE array_to_string(list_transform(list_filter(
+        list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1)), lambda z: NOT list_contains(places, z[2])),
+        lambda z: z[1]), chr(10)) END AS cleaned
+    FROM documents LEFT JOIN told USING (doc_id))
+SELECT doc_id, source, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(cleaned) AS BIGINT) AS n_kept_chars,
+    md5(cleaned) AS kept_md5 FROM done"""
+
+
+@query(LINES_SQL)
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = lines.remove_boilerplate(table(spark, folder, "documents"), counts=True)
+    return cleaned.select(
+        "doc_id", "source", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_kept_chars"),
+        F.md5(F.col("text").cast("binary")).alias("kept_md5"),
+    )
+
+
+_PAGES = "(SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS size FROM pages)"
+
+ORACLES["op1_warc"] = f"""
+WITH told AS (SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM {_PAGES}),
+kept AS (SELECT payload_digest, max(page_id) AS kept FROM told WHERE payload_bytes >= {warc.REVISIT_BYTES} GROUP BY payload_digest),
+placed AS (SELECT told.*, CASE WHEN kept IS NOT NULL AND kept IS DISTINCT FROM page_id AND payload_bytes >= {warc.REVISIT_BYTES}
+    THEN kept END AS refers_to FROM told LEFT JOIN kept USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM placed"""
