@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import attach
-from . import fingerprint, lines, mixing, near, quality, sharding, toxicity, urls, warc
+from . import fingerprint, lines, mixing, near, quality, sharding, toxicity, transducer, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,12 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = transducer.Vocabulary.read()
+    return transducer.encode_documents(table(spark, folder, "documents"), vocabulary, ids=False, digest=True)
+
+
 _PAGES = "(SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS size FROM pages)"
 
 ORACLES["op1_warc"] = f"""
