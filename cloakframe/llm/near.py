@@ -18,7 +18,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settle
 from .words import Words, chunks, cut, mix64, ngrams
@@ -231,6 +231,11 @@ def _prefix_pairs(sets: DataFrame, roots: DataFrame, config: NearConfig) -> Data
     )
 
 
+def _content_key() -> list[Column]:
+    """Two hashes, of 64 and 32 bits, of a document's id and text."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.hash("doc_id", "text").alias("k2")]
+
+
 def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -238,9 +243,11 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     node from the start.  Null, empty and blank texts have no shingles and are linked with nothing.  component_id
     is the smallest doc_id reachable, null ids aside (null if there is no other); rows of equal doc_id and text
     are one document, so all of them are kept or none.  Other columns are left behind; no rows, no rows."""
-    keyed = docs.select(
-        "doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("doc_id", "text").alias("k2")
-    )
+    return _grouped(docs, config).drop("k1", "k2")
+
+
+def _grouped(docs: DataFrame, config: NearConfig) -> DataFrame:
+    keyed = docs.select("doc_id", "text", *_content_key())
     id_type = docs.schema["doc_id"].dataType.simpleString()
     features = settle(
         keyed.mapInArrow(lambda it: _features(it, config), f"doc_id {id_type}, k1 long, k2 int, {FEATURES}").withColumn(
@@ -294,8 +301,16 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     labels = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = labels.join(least, "root").select("set_id", "component_id")
-    rows = features.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
+    rows = features.select("doc_id", "k1", "k2", "n_shingles", "set_id").join(of_set, "set_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "k1", "k2", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+
+
+def keep_one(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
+    """The documents, all their columns, without those linked to one of a smaller doc_id.  Rows of equal doc_id and
+    text are one document; rows without a doc_id go if their group has one with it."""
+    gone = settle(_grouped(docs, config).where(~F.col("kept")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "gone")
+    one, two = (k.alias(f"__{n}") for k, n in zip(_content_key(), ("k1", "k2")))
+    return docs.select("*", one, two).join(gone, ["__k1", "__k2"], "left_anti").select(*docs.columns)
