@@ -313,4 +313,6 @@ def keep_one(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     text are one document; rows without a doc_id go if their group has one with it."""
     gone = settle(_grouped(docs, config).where(~F.col("kept")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "gone")
     one, two = (k.alias(f"__{n}") for k, n in zip(_content_key(), ("k1", "k2")))
-    return docs.select("*", one, two).join(gone, ["__k1", "__k2"], "left_anti").select(*docs.columns)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own")  # so that no name can clash
+    left = docs.select(own, one, two).join(gone, ["__k1", "__k2"], "left_anti")
+    return left.select(*[F.col("__own")[c].alias(c) for c in docs.columns])

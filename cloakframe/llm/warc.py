@@ -61,7 +61,7 @@ def split_record(record: bytes) -> tuple[dict[str, str], bytes]:
     headers: dict[str, str] = {}
     for line in lines[1:]:
         name, colon, value = line.decode("utf-8").partition(":")
-        if not colon or not name or name != name.strip():
+        if not colon or len(name.split()) != 1 or name != name.strip():
             raise ValueError(f"header line without a name: {line[:80]!r}")
         headers[name] = value.strip()
     if missing := [n for n in NEEDED if n not in headers]:
@@ -141,7 +141,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, dictionary: bytes, co
         for page, html, digest, refers_to in zip(*(batch.column(c) for c in ("page_id", "payload", "digest", "refers_to"))):
             if out is None:
                 name, records = f"{folder}/{uuid.uuid4().hex}.warc.zst", 0
-                out = store.open_output_stream(f"{base}/{name.rpartition('/')[2]}")
+                out = store.open_output_stream(f"{base}/{name.rpartition('/')[2]}", compression=None)
                 out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
                 size = 8 + len(dictionary)
             frame = coder.compress(_page_record(page.as_py(), html.as_py().encode(), digest.as_py(), refers_to.as_py(), config))
@@ -215,7 +215,7 @@ def read_archives(spark: SparkSession, paths: DataFrame, strict: bool = True, pa
 
     def records(path):
         store, inner = fs.FileSystem.from_uri(path)
-        with store.open_input_stream(inner) as stream:
+        with store.open_input_stream(inner, compression=None) as stream:
             frames = read_frames(stream, block)
             while True:
                 try:
