@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .elements import DEFAULT_ELEMENT, Element, element
 from .ff3 import FF3Cipher
-from .keys import TokenKey, tweak_pair
+from .keys import TokenKey, key_or_session, tweak_pair
 
 OVERLONG = ("error", "null")
 _STRUCTURAL = 255
@@ -132,7 +132,8 @@ def transform_mixed(
 ) -> pa.Array:
     """Rows of several elements in one batch; each element is one pass, order is kept."""
     values = values.cast(pa.string())
-    coded = pc.fill_null(names.cast(pa.string()), default).dictionary_encode()
+    names = pc.fill_null(names.cast(pa.string()), default)
+    coded = pc.if_else(pc.equal(names, ""), default, names).dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
     parts, order = [], []
     for code, name in enumerate(coded.dictionary.to_pylist()):
@@ -155,7 +156,7 @@ def _check_policy(overlong: str) -> None:
 
 def _keyed(value, name, key, tweak, encrypting, default, overlong) -> Column:
     _check_policy(overlong)
-    key = (key or TokenKey()).with_tweak(tweak)
+    key = key_or_session(key).with_tweak(tweak)
     fallback = default or DEFAULT_ELEMENT
     element(fallback if name is None or isinstance(name, Column) else name)
     value = F.col(value) if isinstance(value, str) else value
@@ -187,7 +188,7 @@ def encrypt(
     overlong: str = "error",
 ) -> Column:
     """Deterministic token of the same shape.  ``name`` is an element, or a column naming one per row;
-    a missing name falls back to ``default``, then to ``ssn``.  Values whose payload is below the
+    a missing or empty name falls back to ``default``, then to ``ssn``.  Values whose payload is below the
     element's floor come back unchanged (see ``native.passes_through``); NULL stays NULL.  A payload
     above the FF3-1 bound fails the job, or becomes NULL with ``overlong="null"``."""
     return _keyed(value, name, key, external_tweak, True, default, overlong)
@@ -221,8 +222,8 @@ def reprotect(
     _check_policy(overlong)
     tweak_pair(old_external_tweak, new_external_tweak)
     element(old_name), element(new_name)
-    before = (old_key or TokenKey()).with_tweak(old_external_tweak)
-    after = (new_key or old_key or TokenKey()).with_tweak(new_external_tweak)
+    before = key_or_session(old_key).with_tweak(old_external_tweak)
+    after = key_or_session(new_key or old_key).with_tweak(new_external_tweak)
     value = F.col(value) if isinstance(value, str) else value
 
     @F.arrow_udf(T.StringType())
@@ -235,4 +236,4 @@ def reprotect(
 
 def token_of(term: str | None, name: str, key: TokenKey | None = None) -> str | None:
     """Token of one search term, computed on the driver so that a plan only ever sees a literal."""
-    return transform(pa.array([term], pa.string()), name, key or TokenKey(), True)[0].as_py()
+    return transform(pa.array([term], pa.string()), name, key_or_session(key), True)[0].as_py()

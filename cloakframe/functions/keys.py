@@ -62,6 +62,23 @@ class TokenKey:
         return cls(spark.conf.get(KEY_CONF, DEMO_KEY), spark.conf.get(TWEAK_CONF, DEMO_TWEAK))
 
 
+def key_or_session(key: TokenKey | None) -> TokenKey:
+    """The key given, else the active session's, so that columns, SQL functions and streams agree."""
+    if key is not None:
+        return key
+    spark = SparkSession.getActiveSession()
+    return TokenKey() if spark is None else TokenKey.from_session(spark)
+
+
+def hmac_secret(secret: str | None = None, key: TokenKey | None = None) -> str:
+    """The secret given, else the active session's, else the token key."""
+    if secret is not None:
+        return secret
+    spark = SparkSession.getActiveSession()
+    own = None if spark is None else spark.conf.get(HMAC_CONF, None)
+    return key_or_session(key).key if own is None else own
+
+
 def tweak_pair(old: bytes | None, new: bytes | None) -> None:
     """A re-protection takes both tweaks or neither."""
     if (old is None) != (new is None):

@@ -12,26 +12,27 @@ from pyspark.sql import types as T
 
 from . import fpe
 from .elements import element
-from .keys import DEMO_KEY, TokenKey
+from .keys import TokenKey, hmac_secret
 
 # --- fixed values -------------------------------------------------------------------------------------
 MASKS = {"ssn": "***-**-****", "email": "***@***", "name": "***"}
 STATUS = {"protect": 6, "unprotect": 8, "reprotect": 50}
 TOO_SHORT, TOO_LONG = 22, 23
+NO_VALUE = 0  # nothing was given, so nothing was done
 HMAC_TOKEN_LENGTH = 16
 NOOP_PREFIX = "noop_"
-# (pattern, shape) in order of preference; the first that yields a date wins
+# (pattern, shape) in order of preference; the first that yields a date wins; months and days may have one digit
 DATE_FORMATS = [
-    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
-    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
-    ("yyyy/dd/MM", r"^\d{4}/\d{2}/\d{2}$"),
-    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
-    ("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
-    ("MM-dd-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
-    ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("yyyy/d/M", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
     ("yyyyMMdd", r"^\d{8}$"),
-    ("dd.MM.yyyy", r"^\d{2}\.\d{2}\.\d{4}$"),
-    ("yyyy.MM.dd", r"^\d{4}\.\d{2}\.\d{2}$"),
+    ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
+    ("yyyy.M.d", r"^\d{4}\.\d{1,2}\.\d{1,2}$"),
 ]
 CHARSETS = ("UTF-8", "UTF-16LE", "UTF-16BE")
 # ------------------------------------------------------------------------------------------------------
@@ -63,10 +64,10 @@ def keeps_clear_letters(value: Column | str) -> Column:
     return payload(value, "email").rlike("[A-Z]")
 
 
-def hmac_token(value: Column | str, secret: str = DEMO_KEY) -> Column:
-    """First 16 hex digits of HMAC-SHA256, entirely in the JVM.  The padded key becomes a plan literal,
-    so use :func:`hmac_token_private` where plans are visible to others."""
-    key = secret.encode()
+def hmac_token(value: Column | str, secret: str | None = None) -> Column:
+    """First 16 hex digits of HMAC-SHA256, entirely in the JVM; the secret is the session's if none is given.
+    The padded key becomes a plan literal, so use :func:`hmac_token_private` where plans are visible to others."""
+    key = hmac_secret(secret).encode()
     key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
     text = _c(value).cast("string").cast("binary")
@@ -80,20 +81,19 @@ def hmac_function(secret: str):
 
     @F.arrow_udf(T.StringType())
     def token(values: pa.Array) -> pa.Array:
-        return pa.array(
-            [
-                None if v is None else _hmac.digest(key, v.encode(), "sha256").hex()[:HMAC_TOKEN_LENGTH]
-                for v in values.to_pylist()
-            ],
-            pa.string(),
-        )
+        coded = values.cast(pa.string()).dictionary_encode()  # a repeated value is worked once a batch
+        done = [
+            None if v is None else _hmac.digest(key, v.encode(), "sha256").hex()[:HMAC_TOKEN_LENGTH]
+            for v in coded.dictionary.to_pylist()
+        ]
+        return pa.array(done, pa.string()).take(coded.indices)
 
     return token
 
 
-def hmac_token_private(value: Column | str, secret: str) -> Column:
+def hmac_token_private(value: Column | str, secret: str | None = None) -> Column:
     """Same token, with the key in the function's closure instead of the plan."""
-    return hmac_function(secret)(_c(value))
+    return hmac_function(hmac_secret(secret))(_c(value))
 
 
 def noop(value: Column | str, prefixed: bool = False) -> Column:
@@ -107,7 +107,7 @@ def mask(name: str) -> Column:
 
 def protect_with_status(value: Column | str, name: str, key: TokenKey | None = None, operation: str = "protect") -> Column:
     """``STRUCT<value, code>`` per row.  Too short passes through with code 22; too long gives NULL and
-    code 23; anything else carries the operation's success code."""
+    code 23; NULL stays NULL with code 0; anything else carries the operation's success code."""
     if operation not in ("protect", "unprotect"):
         raise ValueError(f"operation must be protect or unprotect, got {operation!r}")
     run = fpe.encrypt if operation == "protect" else fpe.decrypt
@@ -117,10 +117,21 @@ def protect_with_status(value: Column | str, name: str, key: TokenKey | None = N
     )
 
 
+def reprotect_with_status(
+    value: Column | str, old_name: str, new_name: str, old_key: TokenKey | None = None, new_key: TokenKey | None = None
+) -> Column:
+    """``STRUCT<value, code>`` per token moved to another element or key; code 50 where it was.  A token too
+    short or too long for either element keeps the codes of :func:`protect_with_status`."""
+    moved = fpe.reprotect(value, old_name, new_name, old_key, new_key, overlong="null")
+    before, after = status_code(value, old_name, "reprotect"), status_code(value, new_name, "reprotect")
+    return F.struct(moved.alias("value"), F.when(before == STATUS["reprotect"], after).otherwise(before).alias("code"))
+
+
 def status_code(value: Column | str, name: str, operation: str = "protect") -> Column:
     length = payload_length(value, name)
     return (
-        F.when(length < element(name).min_length, TOO_SHORT)
+        F.when(_c(value).isNull(), NO_VALUE)
+        .when(length < element(name).min_length, TOO_SHORT)
         .when(length > element(name).max_length, TOO_LONG)
         .otherwise(STATUS[operation])
     )

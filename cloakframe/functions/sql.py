@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from . import fpe, native
 from .elements import DEFAULT_ELEMENT, element
-from .keys import HMAC_CONF, TokenKey
+from . import keys
+from .keys import TokenKey
 
 
 def register(
@@ -29,7 +30,7 @@ def register(
     def decrypt(values: pa.Array, names: pa.Array) -> pa.Array:
         return fpe.transform_mixed(values, names, default, key, False, "error")
 
-    secret = hmac_secret if hmac_secret is not None else spark.conf.get(HMAC_CONF, key.key)
+    secret = keys.hmac_secret(hmac_secret, key)
     spark.udf.register("fpe_encrypt", encrypt)
     spark.udf.register("fpe_decrypt", decrypt)
     spark.udf.register("hmac_token", native.hmac_function(secret))

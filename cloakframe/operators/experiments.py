@@ -26,15 +26,15 @@ DECISION_TABLE = [
 # ------------------------------------------------------------------------------------------------------
 
 
-PAIR_SHARES = 16
+SHARE_POINTS = 64  # points of a curve that one task pairs with the whole curve
 
 
 def median_by(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Group size and the median of each numeric field, missing values left out.  A NULL key is a group."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
     long = df.select(
-        *keys, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields])).alias("m")
-    ).select(*keys, "m.*")
+        *keys, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields])).alias("_measured")
+    ).select(*keys, "_measured.*")
     medians = exact_medians(long, [*keys, "field"], "v")
     wide = medians.groupBy(*keys).agg(
         *[F.max(F.when(F.col("field") == f, F.col("median"))).alias(f"{f}_median") for f in fields]
@@ -54,25 +54,32 @@ def spread_by(df: DataFrame, keys: list[str], value: str = "rps") -> DataFrame:
     )
 
 
-def mean_by(df: DataFrame, keys: list[str], value: str, scale: int = 4) -> DataFrame:
-    """n, mean, min and max per group; the sum runs in decimals, so it does not depend on row order."""
-    exact = F.sum(F.col(value).cast(f"decimal(18,{scale})"))
+def mean_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """n, mean, min and max per group, at any magnitude.  Sums of doubles may differ in their last digits with
+    the order of the rows, unless the values are exactly representable together."""
     return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), (exact.cast("double") / F.count(value)).alias("mean"),
+        F.count(value).alias("n"), F.avg(F.col(value).cast("double")).alias("mean"),
         F.min(value).alias("min"), F.max(value).alias("max"),
     )
 
 
-def rank_configs(df: DataFrame, within: list[str], config: list[str], value: str = "rps", sentinel: str = "sentinel") -> DataFrame:
+def rank_configs(
+    df: DataFrame, within: list[str], config: list[str], value: str = "rps", sentinel: str = "sentinel",
+    extra: list[str] = [],
+) -> DataFrame:
     """Rank configurations by median, best first, with the comparison that the samples support:
 
     ``best``; ``slower`` when even its maximum is below the best one's minimum; ``indistinguishable``
-    otherwise.  Sentinel re-runs take no part; equal medians are ordered by configuration."""
+    otherwise.  Sentinel re-runs take no part; equal medians are ordered by configuration.  ``extra`` names
+    further measures whose medians stand beside the value's (``<name>_median``)."""
     if not within:
-        whole = rank_configs(df.withColumn("_all", F.lit(0)), ["_all"], config, value, sentinel)
+        whole = rank_configs(df.withColumn("_all", F.lit(0)), ["_all"], config, value, sentinel, extra)
         return whole.drop("_all")
     runs = df.filter(~F.coalesce(F.col(sentinel), F.lit(False)))
-    stats = settle(spread_by(runs, [*within, *config], value), "spread")
+    stats = spread_by(runs, [*within, *config], value)
+    if extra:
+        medians = median_by(runs.filter(F.col(value).isNotNull()), [*within, *config], extra).drop("n")
+        stats = join_groups(stats, medians, [*within, *config])
     placed = ranked(stats, within, "median", config)
     leader = F.min_by(F.struct("median", "min"), F.struct(-F.col("median"), *config))
     best = stats.groupBy(*within).agg(leader.alias("_best")).select(
@@ -110,45 +117,52 @@ def drift(df: DataFrame, keys: list[str], value: str = "rps", sentinel: str = "s
 def rounds_of(function: Column | str) -> Column:
     """The number of rounds written in a function's name, or NULL."""
     function = F.col(function) if isinstance(function, str) else function
-    return F.try_to_number(F.nullif(F.regexp_extract(function, ROUNDS_PATTERN, 1), F.lit("")), F.lit("999999999")).cast("long")
+    digits = F.nullif(F.regexp_extract(function, ROUNDS_PATTERN, 1), F.lit(""))
+    short = F.length(F.ltrim(digits, F.lit("0"))) <= 18
+    beyond = F.raise_error(F.concat(F.lit("rounds beyond a long: "), function)).cast("long")
+    return F.when(digits.isNull() | short, digits.cast("long")).otherwise(beyond)
 
 
-def calibration_curve(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """One point per x: the median y of its measurements; points without a y, or with y = 0, are left out."""
-    points = exact_medians(df.filter(F.col(x).isNotNull()), [*keys, x], y, "y")
-    return points.select(*keys, F.col(x).alias("x"), "y").filter("y != 0")
+def calibration_curve(df: DataFrame, keys: list[str], point: str, x: str, y: str) -> DataFrame:
+    """One point per ``point`` (a function): its x and the median y of its measurements; points without a y,
+    or with y = 0, are left out.  Several points may share an x."""
+    points = exact_medians(df.filter(F.col(x).isNotNull()), [*keys, point, x], y, "y")
+    return points.select(*keys, F.col(point).alias("point"), F.col(x).alias("x"), "y").filter("y != 0")
 
 
 def theil_sen(curve: DataFrame, keys: list[str]) -> DataFrame:
-    """Robust line through a curve's points with x >= 4: slope is the median of the pairwise slopes, the
-    floor the median residual, not below 0; plus the point that lies farthest from the line.
+    """Robust line through a curve's points with x >= 4: slope is the median of the slopes of all pairs of
+    different x, the floor the median residual, not below 0; plus the point farthest from the line.
 
-    A curve has one point per parameter setting, so its pairs, which the estimate is defined by, grow with
-    the settings tried and never with the measurements behind them."""
+    A curve has one point per function, so its pairs, which the estimate is defined by, grow with the functions
+    tried and never with the measurements behind them.  They are made once and stored."""
     points = settle(curve.filter(F.col("x") >= FIT_FROM), "curve")
-    # a curve's later points are dealt out and its earlier ones copied to every share, so that no single
-    # task pairs a whole curve
-    shares = F.explode(F.array(*[F.lit(i) for i in range(PAIR_SHARES)]))
-    left = points.withColumn("_share", shares).alias("l")
-    right = points.withColumn("_share", F.pmod(F.hash("x"), F.lit(PAIR_SHARES))).alias("r")
+    # a curve's later points are dealt out and its earlier ones copied to every share; a longer curve has more
+    # shares, so that no task pairs more than one share with the curve
+    sizes = points.groupBy(*keys).agg(F.ceil(F.count("*") / SHARE_POINTS).cast("int").alias("_shares"))
+    sized = join_groups(points, sizes, keys)
+    left = sized.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).alias("l")
+    right = sized.withColumn("_share", F.pmod(F.hash("point", "x"), F.col("_shares"))).alias("r")
     same_curve = F.col("l._share") == F.col("r._share")
     for k in keys:
         same_curve = same_curve & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    slopes = left.join(right, same_curve & (F.col("r.x") > F.col("l.x"))).select(
+    pairs = left.join(right, same_curve & (F.col("r.x") > F.col("l.x"))).select(
         *[F.col(f"l.{k}").alias(k) for k in keys],
         F.try_divide(F.col("r.y") - F.col("l.y"), F.col("r.x") - F.col("l.x")).alias("slope"),
     )
-    slope = exact_medians(slopes, keys, "slope", "slope")
+    slope = exact_medians(settle(pairs, "slopes"), keys, "slope", "slope")
     leaning = settle(join_groups(points, slope, keys), "leaning")
     rests = leaning.select(*keys, (F.col("y") - F.col("slope") * F.col("x")).alias("rest"))
     floor = exact_medians(rests, keys, "rest", "floor").withColumn("floor", F.greatest("floor", F.lit(0.0)))
     fitted = join_groups(leaning, floor, keys).withColumn("fitted", F.col("floor") + F.col("slope") * F.col("x"))
-    # of equal residuals the smallest x
-    distance = F.struct(F.abs(F.col("y") - F.col("fitted")), -F.col("x"))
-    return fitted.groupBy(*keys).agg(
-        F.max("slope").alias("slope"), F.max("floor").alias("floor"), F.count("*").alias("points"),
-        F.max_by("x", distance).alias("worst_x"), F.max_by("y", distance).alias("worst_y"),
-        F.max_by("fitted", distance).alias("worst_fitted"),
+    # of equal residuals the smallest x, then the point first by name
+    worst = F.min_by(F.struct("point", "x", "y", "fitted"), F.struct(-F.abs(F.col("y") - F.col("fitted")), "x", "point"))
+    lines = fitted.groupBy(*keys).agg(
+        F.max("slope").alias("slope"), F.max("floor").alias("floor"), F.count("*").alias("points"), worst.alias("_worst")
+    )
+    return lines.select(
+        *keys, "slope", "floor", "points",
+        *[F.col(f"_worst.{c}").alias(f"worst_{c}") for c in ("point", "x", "y", "fitted")],
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fpe, native
 from ..functions.keys import TokenKey
-from .tokens import TABLE_ELEMENTS
+from .tokens import element_of_column
 
 GOVERNED = ("ssn", "email", "name")
 
@@ -35,11 +35,12 @@ def entitlements(
     )
 
 
-def grants_of(policy: DataFrame, user: str, columns: tuple[str, ...] = GOVERNED) -> DataFrame:
-    """One row per branch the user may see, flags combined over duplicate grants."""
+def grants_of(policy: DataFrame, user: str | Column, columns: tuple[str, ...] = GOVERNED, branch: str = "branch_id") -> DataFrame:
+    """One row per branch the user may see, flags combined over duplicate grants.  ``user`` may be a column
+    such as ``session_user()``."""
     return (
         policy.filter(F.col("user_email") == user)
-        .groupBy("branch_id")
+        .groupBy(branch)
         .agg(*[F.coalesce(F.bool_or(f"can_see_{c}"), F.lit(False)).alias(f"can_see_{c}") for c in columns])
     )
 
@@ -49,10 +50,11 @@ def _branches(policy: DataFrame, user: str, column: str | None = None) -> DataFr
     return (granted.filter(f"can_see_{column}") if column else granted).select("branch_id")
 
 
-def _decoded(column: str, granted: Column, key: TokenKey | None) -> Column:
+def _decoded(column: str, granted: Column, key: TokenKey | None, name: str | None = None, mask: str | None = None) -> Column:
     """Clear value where granted (NULL stays NULL), mask elsewhere."""
-    name = TABLE_ELEMENTS[column]
-    return F.when(granted, fpe.decrypt(F.when(granted, F.col(column)), name, key)).otherwise(native.mask(name))
+    name = name or element_of_column(column)
+    hidden = native.mask(name) if mask is None else F.lit(mask)
+    return F.when(granted, fpe.decrypt(F.when(granted, F.col(column)), name, key)).otherwise(hidden)
 
 
 def visible_rows(df: DataFrame, policy: DataFrame, user: str, column: str | None = None) -> DataFrame:
@@ -65,7 +67,7 @@ def mask_one_case(df: DataFrame, policy: DataFrame, user: str, column: str = "ss
     comparison for :func:`mask_one`."""
     granted = F.col(f"can_see_{column}")
     joined = df.join(grants_of(policy, user, (column,)), "branch_id", "left")
-    clear = fpe.decrypt(column, TABLE_ELEMENTS[column], key)
+    clear = fpe.decrypt(column, element_of_column(column), key)
     return joined.select("id", "branch_id", F.when(granted, clear).otherwise(native.mask(column)).alias(column))
 
 
@@ -73,7 +75,7 @@ def mask_one_union(df: DataFrame, policy: DataFrame, user: str, column: str = "s
     """All rows, one column masked: entitled rows decrypted, the rest given the mask.  Scans twice."""
     granted = _branches(policy, user, column)
     clear = df.join(granted, "branch_id", "left_semi").select(
-        "id", "branch_id", fpe.decrypt(column, TABLE_ELEMENTS[column], key).alias(column)
+        "id", "branch_id", fpe.decrypt(column, element_of_column(column), key).alias(column)
     )
     hidden = df.join(granted, "branch_id", "left_anti").select("id", "branch_id", native.mask(column).alias(column))
     return clear.unionByName(hidden)
@@ -89,32 +91,43 @@ def mask_one(df: DataFrame, policy: DataFrame, user: str, column: str = "ssn", k
 def filter_rows(df: DataFrame, policy: DataFrame, user: str, column: str = "ssn", key: TokenKey | None = None) -> DataFrame:
     """Only rows where the column is granted, decrypted."""
     return visible_rows(df, policy, user, column).select(
-        "id", "branch_id", fpe.decrypt(column, TABLE_ELEMENTS[column], key).alias(column)
+        "id", "branch_id", fpe.decrypt(column, element_of_column(column), key).alias(column)
     )
 
 
 def governed_view(
-    df: DataFrame, policy: DataFrame, user: str, columns: tuple[str, ...] = GOVERNED, scope: str = "row",
-    mask_nulls: bool = False, key: TokenKey | None = None,
+    df: DataFrame, policy: DataFrame, user: str | Column, columns: tuple[str, ...] | dict[str, str] = GOVERNED, scope: str = "row",
+    mask_nulls: bool = False, key: TokenKey | None = None, *, masks: dict[str, str] | None = None,
+    branch: str = "branch_id", keep: tuple[str, ...] | None = ("id",),
 ) -> DataFrame:
     """The user's rows, each governed column clear or masked.
 
-    ``scope="row"`` takes the flag of the row's own branch; ``scope="user"`` a flag granted on any branch.
-    A NULL value stays NULL; ``mask_nulls`` shows the mask instead."""
-    granted = grants_of(policy, user, columns)
-    if scope == "row":
-        joined = df.join(granted, "branch_id")
-    elif scope == "user":
-        anywhere = granted.agg(*[F.bool_or(f"can_see_{c}").alias(f"can_see_{c}") for c in columns]).first()
-        joined = df.join(granted.select("branch_id"), "branch_id", "left_semi").withColumns(
-            {f"can_see_{c}": F.lit(bool(anywhere[f"can_see_{c}"])) for c in columns}
-        )
-    else:
+    ``columns`` may map each column to its element; ``masks`` may give a column its own mask.  ``keep`` names the
+    ungoverned columns to show beside the branch, None all of them, in the table's order.  ``scope="row"`` takes the
+    flag of the row's own branch; ``scope="user"`` a flag granted on any branch.  A NULL value stays NULL;
+    ``mask_nulls`` shows the mask instead."""
+    elements = dict(columns) if isinstance(columns, dict) else {c: element_of_column(c) for c in columns}
+    granted = grants_of(policy, user, tuple(elements), branch)
+    flags = {c: f"can_see_{c}" for c in elements}
+    if scope == "user":
+        anywhere = granted.agg(*[F.bool_or(f).alias(f) for f in flags.values()]).first()
+        granted = granted.select(branch, *[F.lit(bool(anywhere[f])).alias(f) for f in flags.values()])
+    elif scope != "row":
         raise ValueError(f"scope must be row or user, got {scope!r}")
-    shown = {c: _decoded(c, F.col(f"can_see_{c}"), key) for c in columns}
+    # the grants come under names of their own, so a table may have columns named like flags
+    joined = df.join(granted.withColumnsRenamed({f: f"_granted_{c}" for c, f in flags.items()}), branch)
+    shown = {c: _decoded(c, F.col(f"_granted_{c}"), key, e, (masks or {}).get(c)) for c, e in elements.items()}
     if mask_nulls:
-        shown = {c: F.coalesce(v, native.mask(TABLE_ELEMENTS[c])) for c, v in shown.items()}
-    return joined.select("id", "branch_id", *[v.alias(c) for c, v in shown.items()])
+        hidden = {c: F.lit(masks[c]) if c in (masks or {}) else native.mask(e) for c, e in elements.items()}
+        shown = {c: F.coalesce(v, hidden[c]) for c, v in shown.items()}
+    if keep is None:
+        return joined.select(*[shown[c].alias(c) if c in shown else F.col(c) for c in df.columns])
+    return joined.select(*keep, branch, *[v.alias(c) for c, v in shown.items()])
+
+
+def create_governed_view(spark: SparkSession, name: str, df: DataFrame, policy: DataFrame, user: str | Column | None = None, **shape) -> None:
+    """The same as a temporary view for SQL; without ``user`` it shows what the session's own user may see."""
+    governed_view(df, policy, F.session_user() if user is None else user, **shape).createOrReplaceTempView(name)
 
 
 def governed_view_case(
@@ -125,8 +138,8 @@ def governed_view_case(
     return joined.select(
         "id", "branch_id",
         *[
-            F.when(F.col(f"can_see_{c}"), fpe.decrypt(c, TABLE_ELEMENTS[c], key))
-            .otherwise(native.mask(TABLE_ELEMENTS[c])).alias(c)
+            F.when(F.col(f"can_see_{c}"), fpe.decrypt(c, element_of_column(c), key))
+            .otherwise(native.mask(element_of_column(c))).alias(c)
             for c in columns
         ],
     )
@@ -134,13 +147,13 @@ def governed_view_case(
 
 def decode_every(df: DataFrame, policy: DataFrame, user: str, column: str = "name", key: TokenKey | None = None) -> DataFrame:
     """Entitled rows decrypted row by row.  A task still works once on a value repeated in its batch."""
-    return visible_rows(df, policy, user, column).select("id", fpe.decrypt(column, TABLE_ELEMENTS[column], key).alias(column))
+    return visible_rows(df, policy, user, column).select("id", fpe.decrypt(column, element_of_column(column), key).alias(column))
 
 
 def decode_distinct(df: DataFrame, policy: DataFrame, user: str, column: str = "name", key: TokenKey | None = None) -> DataFrame:
     """Entitled rows, each distinct token decrypted once and joined back.  Pays off when values are few."""
     rows = visible_rows(df, policy, user, column).select("id", F.col(column).alias("token"))
-    decoded = rows.select("token").distinct().withColumn(column, fpe.decrypt("token", TABLE_ELEMENTS[column], key))
+    decoded = rows.select("token").distinct().withColumn(column, fpe.decrypt("token", element_of_column(column), key))
     joined = rows.join(decoded, rows["token"].eqNullSafe(decoded["token"]))
     return joined.select("id", column)
 
@@ -149,9 +162,10 @@ DISTINCT_SHARE = 0.01  # below this share of distinct values the join back is ch
 
 
 def decode(df: DataFrame, policy: DataFrame, user: str, column: str = "name", key: TokenKey | None = None) -> DataFrame:
-    """Choose between the two by the (approximate) number of distinct values.  So few that every worker
-    remembers them: decoding each row costs a lookup.  A small share of the rows: join back."""
-    seen = df.agg(F.approx_count_distinct(column).alias("distinct"), F.count(column).alias("total")).first()
+    """Decode row by row, unless the rows the user may see hold more distinct values than a worker remembers
+    and these are a small share of them: then join back.  The same rows either way."""
+    entitled = visible_rows(df, policy, user, column)
+    seen = entitled.agg(F.approx_count_distinct(column).alias("distinct"), F.count(column).alias("total")).first()
     join_back = fpe.RECALLED_VALUES < seen["distinct"] < DISTINCT_SHARE * seen["total"]
     return (decode_distinct if join_back else decode_every)(df, policy, user, column, key)
 
@@ -161,7 +175,7 @@ def lookup_view(df: DataFrame, policy: DataFrame, user: str, column: str = "ssn"
     the decryption and into the scan, so a point lookup decrypts one row."""
     return visible_rows(df, policy, user, column).select(
         "id", "branch_id", F.col(column).alias(f"{column}_token"),
-        fpe.decrypt(column, TABLE_ELEMENTS[column], key).alias(column),
+        fpe.decrypt(column, element_of_column(column), key).alias(column),
     )
 
 
@@ -192,7 +206,7 @@ def access_rules(policy: DataFrame, columns: tuple[str, ...] = GOVERNED) -> Data
             F.array(
                 *[
                     F.struct(
-                        F.lit(TABLE_ELEMENTS[c]).alias("element"), F.lit(o).alias("operation"),
+                        F.lit(element_of_column(c)).alias("element"), F.lit(o).alias("operation"),
                         (F.lit(True) if o == "protect" else F.col(c)).alias("allowed"),
                     )
                     for c in columns

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions import fpe
 from ..functions.keys import TokenKey
-from .tokens import TABLE_ELEMENTS
+from .tokens import element_of_column
 
 
 def token_predicate(
     column: str, operator: str, terms, name: str | None = None, key: TokenKey | None = None
 ) -> Column:
-    """``column = term`` or ``column IN terms`` on a tokenized column."""
-    name = name or TABLE_ELEMENTS[column]
+    """``column = term`` or ``column IN terms`` on a tokenized column.  The terms become part of the plan; a list
+    that would grow with the data belongs in a table, for :func:`search_terms`."""
+    name = name or element_of_column(column)
     if operator == "=":
         return F.col(column) == F.lit(fpe.token_of(terms, name, key))
     if operator.lower() == "in":
@@ -32,13 +33,13 @@ def search_token(df: DataFrame, column: str, token: str) -> DataFrame:
     return df.filter(F.col(column) == F.lit(token))
 
 
-def search_terms(df: DataFrame, column: str, terms: DataFrame, term_column: str, key: TokenKey | None = None) -> DataFrame:
+def search_terms(df: DataFrame, column: str, terms: DataFrame, term_column: str, key: TokenKey | None = None, name: str | None = None) -> DataFrame:
     """Any number of clear terms: tokenize the term table, then semi join.  Catalyst broadcasts the terms
     when they are small and shuffles otherwise."""
-    wanted = terms.select(fpe.encrypt(term_column, TABLE_ELEMENTS[column], key).alias(column))
+    wanted = terms.select(fpe.encrypt(term_column, name or element_of_column(column), key).alias(column))
     return df.join(wanted, column, "left_semi")
 
 
 def search_decrypted(df: DataFrame, column: str, term: str, key: TokenKey | None = None) -> DataFrame:
     """Decrypt every row and compare; kept as the comparison for :func:`search_term`."""
-    return df.filter(fpe.decrypt(column, TABLE_ELEMENTS[column], key) == F.lit(term))
+    return df.filter(fpe.decrypt(column, element_of_column(column), key) == F.lit(term))

@@ -66,8 +66,8 @@ def summarise(logs: DataFrame, keys: list[str]) -> DataFrame:
         *keys,
         F.explode(
             F.array(*[F.struct(F.lit(m).alias("measure"), v.cast("double").alias("v")) for m, v in measures.items()])
-        ).alias("m"),
-    ).select(*keys, "m.*")
+        ).alias("_measured"),
+    ).select(*keys, "_measured.*")
     picks = exact_picks(long, [*keys, "measure"], "v", {"lower": LOWER_MEDIAN, "upper": UPPER_MEDIAN, "p95": P95})
 
     def pick(measure: str, name: str) -> Column:
@@ -95,14 +95,15 @@ def concurrency(logs: DataFrame, keys: list[str], end: str = "ts", duration_ms:
     Peak and time-weighted mean level, and the busy window in seconds.  At one instant ends come before
     starts.  The running level is a three-step prefix sum (instants of a second, seconds of an hour,
     hours), each step carrying (net change, highest level inside), so no window is larger than the clock
-    allows however many requests a group holds.  Times are microseconds, so sums are exact."""
+    allows however many requests a group holds.  Times are microseconds, so sums are exact.
+    Lines without an end or a duration (NULL or NaN) take no part."""
     stop = F.unix_micros(F.col(end).cast("timestamp"))
     start = stop - F.round(F.col(duration_ms) * 1000).cast("long")
     edge = F.explode(
         F.array(F.struct(start.alias("_t"), F.lit(1).alias("_step")), F.struct(stop.alias("_t"), F.lit(-1).alias("_step")))
     )
     edges = (
-        logs.filter(F.col(duration_ms).isNotNull() & F.col(end).isNotNull())
+        logs.filter(F.col(duration_ms).isNotNull() & ~F.isnan(duration_ms) & F.col(end).isNotNull())
         .select(*keys, edge.alias("_e"))
         .select(*keys, "_e.*")
     )
@@ -164,9 +165,10 @@ def assign_windows(logs: DataFrame, windows: DataFrame, ts: str = "ts", bucket_s
     return joined.select(*[placed[c] for c in logs.columns], *[spread[c] for c in windows.columns])
 
 
-def padded(windows: DataFrame, seconds: int = WINDOW_PADDING_SECONDS) -> DataFrame:
-    pad = F.make_dt_interval(secs=F.lit(seconds))
-    return windows.withColumns({"start": F.col("start") - pad, "end": F.col("end") + pad})
+def padded(windows: DataFrame, seconds: int = WINDOW_PADDING_SECONDS, after: int | None = None) -> DataFrame:
+    """Windows widened by ``seconds`` before and by ``after`` (as many, if not given) behind."""
+    front, back = (F.make_dt_interval(secs=F.lit(s)) for s in (seconds, seconds if after is None else after))
+    return windows.withColumns({"start": F.col("start") - front, "end": F.col("end") + back})
 
 
 def retry_report(logs: DataFrame, windows: DataFrame, variant: str = "variant") -> DataFrame:

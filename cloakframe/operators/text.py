@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import fpe
 from ..functions.detect import ALPHABET_OF, ENTITY_ELEMENTS, TextConfig
-from ..functions.keys import TokenKey
+from ..functions.keys import TokenKey, key_or_session
 
 SPAN = "struct<entity:string,start_index:int,end_index:int,score:double,arrival:int>"
 _SPAN_ARROW = pa.list_(
@@ -61,8 +61,7 @@ def find_spans(df: DataFrame, key: str, text: str, config: TextConfig = TextConf
 def collect_spans(spans: DataFrame, key: str) -> DataFrame:
     """One entity per (document, start, end): the strictly higher score, else the earlier arrival."""
     first = F.struct(F.col("score"), -F.col("arrival"))
-    # placed by document once: merging, which needs whole documents, then shuffles nothing again
-    return spans.repartition(F.col(key)).groupBy(key, "start_index", "end_index").agg(
+    return spans.groupBy(key, "start_index", "end_index").agg(
         F.max_by("entity", first).alias("entity"),
         F.max("score").alias("score"),
         F.min("arrival").alias("arrival"),
@@ -99,7 +98,7 @@ def _fold(so_far: Column, piece: Column) -> Column:
 
 
 def _islands(text: str, finders) -> list[tuple[int, int, str]]:
-    """(start, end, label) of one text in ascending order; the row-local twin of the two functions above."""
+    """(start, end, label, score) of one text in ascending order; the row-local twin of the two functions above."""
     best: dict[tuple[int, int], tuple[str, float]] = {}
     for entity, start, end, score, _ in _found(text, finders):
         if (start, end) not in best or score > best[start, end][1]:
@@ -124,10 +123,38 @@ def _islands(text: str, finders) -> list[tuple[int, int, str]]:
                 first = top > score or (top == score and label < entity)
                 label = f"{label}|{entity}" if first else f"{entity}|{label}"
             top = max(top, score)
-        out.append((start, end, label))
+        out.append((start, end, label, top))
     return out
 
 
+def merged(text: Column | str, config: TextConfig = TextConfig()) -> Column:
+    """Merged spans of a text, in order: ``ARRAY<STRUCT<entity, start_index, end_index, score>>``.  A text's spans
+    are found, collected and merged where the text is, so nothing is shuffled."""
+    text = F.col(text) if isinstance(text, str) else text
+    finders = _finders(config)
+    kind = "array<struct<entity:string,start_index:int,end_index:int,score:double>>"
+
+    @F.arrow_udf(kind)
+    def islands(texts: pa.Array) -> pa.Array:
+        ends, found = [0], []
+        for t in texts.to_pylist():
+            found += _islands(t, finders) if t is not None else []
+            ends.append(len(found))
+        columns = list(zip(*found)) if found else [(), (), (), ()]
+        spans = pa.StructArray.from_arrays(
+            [pa.array(columns[2], pa.string()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[3], pa.float64())],
+            ["entity", "start_index", "end_index", "score"],
+        )
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
+
+    return F.coalesce(islands(config.candidate(text)), F.array().cast(kind))
+
+
+def find_merged(df: DataFrame, key: str, text: str, config: TextConfig = TextConfig()) -> DataFrame:
+    """One row per merged span; the same rows as :func:`merge_spans` of the collected span table."""
+    return df.select(key, F.explode(merged(text, config)).alias("span")).select(key, "span.*")
+
+
 def _spliced(text: str, parts: list[tuple[int, int, str]]) -> str:
     pieces, at = [], 0
     for start, end, new in parts:
@@ -155,7 +182,7 @@ def redact(text: Column | str, config: TextConfig) -> Column:
         out = []
         for t in texts.to_pylist():
             if t is not None:
-                parts = [(s, e, replacement(s, e, label)) for s, e, label in _islands(t, finders)]
+                parts = [(s, e, replacement(s, e, label)) for s, e, label, _ in _islands(t, finders)]
                 t = _spliced(t, [p for p in parts if p[2] is not None])
             out.append(t)
         return pa.array(out, pa.string())
@@ -168,7 +195,7 @@ def protect(text: Column | str, config: TextConfig, key: TokenKey | None = None)
     merged span under its first entity.  A span that cannot be protected (too long, or holding a bracket,
     which could not be read back) is masked and counted, never left in clear."""
     text = F.col(text) if isinstance(text, str) else text
-    finders, labels, key = _finders(config), set(config.labels), key or TokenKey()
+    finders, labels, key = _finders(config), set(config.labels), key_or_session(key)
 
     @F.arrow_udf("struct<text:string,failures:int>")
     def rewritten(texts: pa.Array) -> pa.Array:
@@ -177,7 +204,7 @@ def protect(text: Column | str, config: TextConfig, key: TokenKey | None = None)
             (row, s, e, label.split("|")[0])
             for row, t in enumerate(rows)
             if t is not None
-            for s, e, label in _islands(t, finders)
+            for s, e, label, _ in _islands(t, finders)
             if label.split("|")[0] in labels
         ]
         clear = [rows[row][s:e] for row, s, e, _ in jobs]
@@ -207,24 +234,39 @@ def protect(text: Column | str, config: TextConfig, key: TokenKey | None = None)
 _TAG_HINT = r"\[/[A-Z_]+\]"
 
 
-def unprotect(text: Column | str, key: TokenKey | None = None) -> Column:
-    """Decode ``[ENTITY]token[/ENTITY]`` and drop the tags; an unknown tag is left as it is."""
+def unprotect_counted(text: Column | str, key: TokenKey | None = None) -> Column:
+    """``STRUCT<text, failures>``: ``[ENTITY]token[/ENTITY]`` decoded and its tags dropped.  An unknown tag is left
+    as it is; so is one whose token cannot be decoded (it is too long to be one), which counts as a failure."""
     text = F.col(text) if isinstance(text, str) else text
-    key = key or TokenKey()
+    key = key_or_session(key)
     tagged = re.compile(rf"\[({'|'.join(ENTITY_ELEMENTS)})\]([^\[]*)\[/\1\]")
 
-    @F.arrow_udf(T.StringType())
+    @F.arrow_udf("struct<text:string,failures:int>")
     def restored(texts: pa.Array) -> pa.Array:
         rows = texts.to_pylist()
         jobs = [(row, m) for row, t in enumerate(rows) if t is not None for m in tagged.finditer(t)]
         clear = fpe.transform_mixed(
             pa.array([m[2] for _, m in jobs], pa.string()),
             pa.array([ALPHABET_OF[ENTITY_ELEMENTS[m[1]]] for _, m in jobs], pa.string()),
-            "alnum", key, False, "error",
+            "alnum", key, False, "null",
         ).to_pylist()
         parts: dict[int, list] = {}
+        failures: dict[int, int] = {}
         for (row, m), value in zip(jobs, clear):
-            parts.setdefault(row, []).append((m.start(), m.end(), value))
-        return pa.array([t if t is None else _spliced(t, parts.get(row, [])) for row, t in enumerate(rows)], pa.string())
+            if value is None:
+                failures[row] = failures.get(row, 0) + 1
+            else:
+                parts.setdefault(row, []).append((m.start(), m.end(), value))
+        done = [t if t is None else _spliced(t, parts.get(row, [])) for row, t in enumerate(rows)]
+        counts = [None if t is None else failures.get(row, 0) for row, t in enumerate(rows)]
+        return pa.StructArray.from_arrays([pa.array(done, pa.string()), pa.array(counts, pa.int32())], ["text", "failures"])
 
-    return F.coalesce(restored(F.when(text.rlike(_TAG_HINT), text)), text)
+    result = restored(F.when(text.rlike(_TAG_HINT), text))
+    return F.struct(
+        F.coalesce(result["text"], text).alias("text"), F.coalesce(result["failures"], F.lit(0)).alias("failures")
+    )
+
+
+def unprotect(text: Column | str, key: TokenKey | None = None) -> Column:
+    """The text of :func:`unprotect_counted`."""
+    return unprotect_counted(text, key)["text"]

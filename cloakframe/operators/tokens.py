@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fpe, native
-from ..functions.elements import element
+from ..functions.elements import ALPHABETS, element
 from ..functions.keys import TokenKey
-from ..session import spread
-from .ranking import exact_picks
+from ..session import settle
 
 TABLE_ELEMENTS = {"name": "name", "email": "email", "ssn": "ssn", "dob": "digits"}
 
 
+def element_of_column(column: str, elements: dict[str, str] | None = None) -> str:
+    """Element of a column: as mapped by the caller, else by the table above, else of the column's own name."""
+    found = (elements or {}).get(column) or TABLE_ELEMENTS.get(column) or column
+    if found not in ALPHABETS:
+        raise ValueError(f"no element is known for column {column!r}; map it to one of {sorted(ALPHABETS)}")
+    return found
+
+
 def tokenize_table(
     df: DataFrame, elements: dict[str, str] | None = None, key: TokenKey | None = None, **options
 ) -> DataFrame:
@@ -42,7 +49,7 @@ def roundtrip_sample(
         tokens.select("id", *[F.col(c).alias(f"{c}_tokenized") for c in columns]), "id"
     )
     return sides.orderBy("id").limit(rows).select(
-        "*", *[fpe.decrypt(f"{c}_tokenized", TABLE_ELEMENTS[c], key).alias(f"{c}_roundtrip") for c in columns]
+        "*", *[fpe.decrypt(f"{c}_tokenized", element_of_column(c), key).alias(f"{c}_roundtrip") for c in columns]
     )
 
 
@@ -57,7 +64,7 @@ def roundtrip_audit(
         .select("id", F.col(column).alias("clear"))
         .join(tokens.filter(chosen).select("id", F.col(column).alias("token")), "id")
     )
-    differs = fpe.decrypt("token", TABLE_ELEMENTS[column], key) != F.col("clear")
+    differs = fpe.decrypt("token", element_of_column(column), key) != F.col("clear")
     return pairs.agg(F.count_if(differs).alias("mismatches"), F.count("*").alias("checked"))
 
 
@@ -77,62 +84,78 @@ def distinct_tokens(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def distinct_after_decrypt(df: DataFrame, columns: list[str], key: TokenKey | None = None) -> DataFrame:
     """The same answer the slow way, every row decrypted first; kept as the comparison."""
-    clear = detokenize_table(df, {c: TABLE_ELEMENTS[c] for c in columns}, key)
+    clear = detokenize_table(df, {c: element_of_column(c) for c in columns}, key)
     return distinct_tokens(clear, columns)
 
 
 def limit_then_decrypt(df: DataFrame, column: str, rows: int, key: TokenKey | None = None) -> DataFrame:
     """Decrypt only the first ``rows`` ids."""
-    return df.orderBy("id").limit(rows).select("id", fpe.decrypt(column, TABLE_ELEMENTS[column], key).alias(column))
+    return df.orderBy("id").limit(rows).select("id", fpe.decrypt(column, element_of_column(column), key).alias(column))
 
 
 def decrypt_then_limit(df: DataFrame, column: str, rows: int, key: TokenKey | None = None) -> DataFrame:
-    return df.select("id", fpe.decrypt(column, TABLE_ELEMENTS[column], key).alias(column)).orderBy("id").limit(rows)
+    return df.select("id", fpe.decrypt(column, element_of_column(column), key).alias(column)).orderBy("id").limit(rows)
 
 
 def filter_then_decrypt(df: DataFrame, column: str, condition: Column, key: TokenKey | None = None) -> DataFrame:
     """Filter on clear columns, then decrypt what is left, unconditionally."""
-    return df.filter(condition).withColumn(column, fpe.decrypt(column, TABLE_ELEMENTS[column], key))
+    return df.filter(condition).withColumn(column, fpe.decrypt(column, element_of_column(column), key))
 
 
 def decrypt_then_filter(df: DataFrame, column: str, condition: Column, key: TokenKey | None = None) -> DataFrame:
     """Same rows; Catalyst pushes the filter below the (deterministic) decryption by itself."""
-    return df.withColumn(column, fpe.decrypt(column, TABLE_ELEMENTS[column], key)).filter(condition)
+    return df.withColumn(column, fpe.decrypt(column, element_of_column(column), key)).filter(condition)
 
 
 def decrypt_where(df: DataFrame, column: str, condition: Column, key: TokenKey | None = None) -> DataFrame:
     """CASE WHEN condition THEN decrypt(x) ELSE x END, with the condition inside the argument: a value
     outside it reaches the function only as NULL and is never decrypted in memory."""
-    decoded = fpe.decrypt(F.when(condition, F.col(column)), TABLE_ELEMENTS[column], key)
+    decoded = fpe.decrypt(F.when(condition, F.col(column)), element_of_column(column), key)
     return df.withColumn(column, F.when(condition, decoded).otherwise(F.col(column)))
 
 
 def decrypt_case(df: DataFrame, column: str, condition: Column, key: TokenKey | None = None) -> DataFrame:
     """The plain CASE shape; the function then runs over every row.  Kept as the comparison."""
-    decoded = fpe.decrypt(column, TABLE_ELEMENTS[column], key)
+    decoded = fpe.decrypt(column, element_of_column(column), key)
     return df.withColumn(column, F.when(condition, decoded).otherwise(F.col(column)))
 
 
 def decrypt_hoisted(df: DataFrame, column: str, condition: Column, key: TokenKey | None = None) -> DataFrame:
     """Decrypt in a subquery and choose outside; the same work as :func:`decrypt_case`."""
-    inner = df.withColumn("_decoded", fpe.decrypt(column, TABLE_ELEMENTS[column], key))
+    inner = df.withColumn("_decoded", fpe.decrypt(column, element_of_column(column), key))
     return inner.withColumn(column, F.when(condition, F.col("_decoded")).otherwise(F.col(column))).drop("_decoded")
 
 
+_COPIES_AT_ONCE = 10_000
+
+
 def replicate(df: DataFrame, rows: int, by: str = "id") -> DataFrame:
-    """Exactly ``rows`` rows by repeating the table; the remainder repeats the rows with the smallest
-    ``by`` (unique).  Each row multiplies itself in place, so nothing is joined; only a table of fewer
-    partitions than cores is spread first."""
+    """Exactly ``rows`` rows by repeating the table; the remainder repeats the rows first in the order of ``by``
+    (any sortable type; of equal ones some).  Rows are numbered over range partitions of ``by``, by the rows of
+    each partition and not in one place, and the numbered table is stored so that the numbers hold."""
     have = df.count()
     if have == 0:
         return df
     full, rest = divmod(rows, have)
-    copies = F.lit(full)
+    copies = F.lit(full).cast("long")
     if rest:
-        last = exact_picks(df, [], by, {"last": str(rest)}).first()["value"]
-        copies = copies + F.when(F.col(by) <= F.lit(last), 1).otherwise(0)
-    kept = spread(df if full else df.filter(copies > 0), by)
-    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+        ordered = df.repartitionByRange(by).sortWithinPartitions(by)
+        df = settle(ordered.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+        part = F.shiftright("_at", 33)
+        sizes = df.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+        before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")  # a row for each partition
+        starts = sizes.select("_part", before.alias("_before"))
+        numbered = df.withColumn("_part", part).join(starts, "_part")
+        number = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+        df = numbered.withColumn("_copies", copies + F.when(number < rest, 1).otherwise(0)).drop("_at", "_part", "_before")
+    else:
+        df = df.withColumn("_copies", copies)
+    # copies are counted out in two steps, so that no array is long however few rows there are
+    step = F.lit(_COPIES_AT_ONCE)
+    blocks = df.filter("_copies > 0").withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / step))))
+    first = F.col("_block") * step + 1
+    last = F.least(first + step - 1, F.col("_copies"))
+    return blocks.withColumn("copy", F.explode(F.sequence(first.cast("int"), last.cast("int")))).drop("_copies", "_block")
 
 
 def wide_values(df: DataFrame, value: Column, width: int, output: str = "wide") -> DataFrame:
@@ -159,7 +182,7 @@ def wire_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         F.count("*").alias("total"),
         *[F.sum(F.octet_length(c)).alias(f"_{c}") for c in columns],
     )
-    argument = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(len(TABLE_ELEMENTS[c])))])
+    argument = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(len(element_of_column(c))))])
     per_column = sizes.select(
         "total", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{c}").alias("bytes")) for c in columns])).alias("s")
     ).select("total", "s.*")
@@ -182,6 +205,7 @@ def size_batches(df: DataFrame, value: str, max_rows: int, max_bytes: int) -> Da
     at = df.columns.index(value)
 
     def pack(batches):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
         from pyspark import TaskContext
@@ -189,15 +213,22 @@ def size_batches(df: DataFrame, value: str, max_rows: int, max_bytes: int) -> Da
         partition = TaskContext.get().partitionId()
         number, rows, used = 0, 0, 0
         for batch in batches:
-            numbers = []
-            for size in pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist():
-                if rows and (rows == max_rows or used + size > max_bytes):
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sums = np.concatenate(([0], np.cumsum(sizes)))
+            numbers = np.empty(len(sizes), np.int64)
+            begin = 0
+            while begin < len(sizes):  # one step for each pack, not for each row
+                fits = int(np.searchsorted(sums, sums[begin] + max_bytes - used, "right")) - 1
+                end = min(max(fits, begin), begin + max_rows - rows, len(sizes))
+                if end == begin and not rows:
+                    end = begin + 1  # larger than a pack: it goes alone
+                numbers[begin:end] = number
+                rows, used = rows + end - begin, used + int(sums[end] - sums[begin])
+                if end < len(sizes):
                     number, rows, used = number + 1, 0, 0
-                rows, used = rows + 1, used + size
-                numbers.append(number)
+                begin = end
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([partition] * len(numbers), pa.int32()), pa.array(numbers, pa.int64())],
-                names=schema.names,
+                [*batch.columns, pa.array([partition] * len(sizes), pa.int32()), pa.array(numbers)], names=schema.names
             )
 
     return df.mapInArrow(pack, schema)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fpe, sql
 from ..operators import govern
+from ..operators.tokens import tokenize_table
 from ..sources.pii import with_branch
 from ..sources.tables import table
-from .base import PEOPLE, people, query
+from .base import PEOPLE, people, people_sql, query
 from .token_queries import hmac_sql, stored_tokens
 
 USER = "analyst"
@@ -194,3 +195,47 @@ def sql_functions(spark, folder):
         fpe_encrypt(fpe_decrypt(email, 'email'), 'email') = email AS same_token,
         hmac_token(fpe_decrypt(email, 'email')) AS email_token, noop(fpe_decrypt(name, 'name')) AS name FROM cloak_tokens"""
     )
+
+
+# -- a table of another shape: five governed columns, own branch name, columns that nobody governs --------
+
+_STAFF_ELEMENTS = {"name": "name", "email": "email", "ssn": "ssn", "dob": "digits", "phone": "phone"}
+_STAFF_MASKS = {"phone": "(hidden)", "dob": "****-**-**"}
+_STAFF_SQL = f"""WITH staff AS (SELECT *, CAST(id % 4 AS INTEGER) AS region, CAST(2000000000 + id * 37 AS VARCHAR) AS phone FROM ({people_sql(keep=', c_mktsegment')}) AS p)
+    SELECT id, CASE WHEN region = 0 THEN name ELSE '***' END AS name, CASE WHEN region = 1 THEN email ELSE '***@***' END AS email,
+      CASE WHEN region = 0 THEN ssn ELSE '***-**-****' END AS ssn, CASE WHEN region = 1 THEN dob ELSE '****-**-**' END AS dob,
+      c_mktsegment, region, CASE WHEN region = 1 THEN phone ELSE '(hidden)' END AS phone FROM staff WHERE region IN (0, 1)"""
+
+
+def _staff(spark, folder):
+    """Tokens of customers with a phone number, a segment and a region, and the grants on them."""
+    clear = people(spark, folder, ("c_mktsegment",)).select(
+        "*", (F.col("id") % 4).cast("int").alias("region"), (2_000_000_000 + F.col("id") * 37).cast("string").alias("phone")
+    )
+    held = tokenize_table(clear, _STAFF_ELEMENTS)
+    flags = {0: ("name", "ssn"), 1: ("email", "dob", "phone")}
+    policy = None
+    for region, seen in flags.items():
+        row = spark.range(1).select(
+            F.session_user().alias("user_email"), F.lit(region).alias("region"),
+            *[F.lit(c in seen).alias(f"can_see_{c}") for c in _STAFF_ELEMENTS],
+        )
+        policy = row if policy is None else policy.unionByName(row)
+    return held, policy
+
+
+@query(_STAFF_SQL)
+def governed_columns(spark, folder):
+    """Any columns by their elements, with own masks and branch name; ungoverned columns stay."""
+    held, policy = _staff(spark, folder)
+    return govern.governed_view(held, policy, F.session_user(), _STAFF_ELEMENTS, masks=_STAFF_MASKS, branch="region", keep=None)
+
+
+@query(_STAFF_SQL.replace("WHERE region IN (0, 1)", "WHERE region IN (0, 1) AND c_mktsegment = 'BUILDING'"))
+def governed_sql_view(spark, folder):
+    """The same as a view that SQL filters."""
+    held, policy = _staff(spark, folder)
+    govern.create_governed_view(
+        spark, "governed_staff", held, policy, columns=_STAFF_ELEMENTS, masks=_STAFF_MASKS, branch="region", keep=None
+    )
+    return spark.sql("SELECT * FROM governed_staff WHERE c_mktsegment = 'BUILDING'")

@@ -39,6 +39,18 @@ def json_lines_scan(spark, folder):
     )
 
 
+@query(
+    """SELECT CASE o_orderkey % 3 WHEN 0 THEN NULL ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 3 = 0 THEN '{broken ' || o_orderkey END AS broken_line
+    FROM orders WHERE o_orderkey % 3 <> 1"""
+)
+def json_lines_broken(spark, folder):
+    """A feed with blank and broken lines, read with the broken ones kept apart."""
+    path, key = shared_path(spark, "broken"), F.col("o_orderkey")
+    line = F.when(key % 3 == 0, F.concat(F.lit("{broken "), key)).when(key % 3 == 1, "  ").otherwise(F.to_json(F.struct(key.alias("id"))))
+    table(spark, folder, "orders").select(line.alias("value")).write.text(path)
+    return scan_json_lines(spark, path, "id LONG", broken="keep")
+
+
 @query(f"{PEOPLE} SELECT id, name, email, ssn, dob FROM people")
 def token_table(spark, folder):
     """Tokens created as a table, read back and decrypted."""

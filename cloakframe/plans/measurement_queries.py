@@ -53,11 +53,16 @@ def spread_by_group(spark, folder):
 
 
 @query(
-    """SELECT o_orderpriority, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 4))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean,
-    min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders GROUP BY o_orderpriority"""
+    """SELECT o_orderpriority, scale, count(*) AS n, avg(v) AS mean, min(v) AS min, max(v) AS max
+    FROM (SELECT o_orderpriority, unnest([-40, 0, 40]) AS scale, CAST(o_custkey AS DOUBLE) AS key FROM orders)
+      CROSS JOIN LATERAL (SELECT key * pow(2.0, scale) AS v) GROUP BY o_orderpriority, scale"""
 )
 def mean_by_group(spark, folder):
-    return ex.mean_by(table(spark, folder, "orders"), ["o_orderpriority"], "o_totalprice")
+    """Means of values around 1e-11, 1e1 and 1e14 and beyond, exactly representable, so that no sum rounds."""
+    scale = F.explode(F.array(*[F.lit(s) for s in (-40, 0, 40)])).alias("scale")
+    keys = table(spark, folder, "orders").select("o_orderpriority", "o_custkey", scale)
+    sized = keys.withColumn("v", F.col("o_custkey") * F.pow(F.lit(2.0), "scale"))
+    return ex.mean_by(sized, ["o_orderpriority", "scale"], "v")
 
 
 _RANKED = f"""placed AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY median DESC, config NULLS FIRST) AS rank FROM
@@ -100,20 +105,46 @@ def drift_check(spark, folder):
     return ex.drift(runs(spark, folder), ["phase", "config"])
 
 
-_FIT = f"""curve AS (SELECT phase, x, y FROM (SELECT phase, x, {_median_sql('rps')} AS y FROM
-      (SELECT *, CAST(regexp_extract(function, 'cpu_r([0-9]+)_b', 1) AS BIGINT) AS x FROM runs) GROUP BY phase, x) WHERE y <> 0 AND x >= 4),
+_FIT = f"""curve AS (SELECT phase, function, x, y FROM (SELECT phase, function, x, {_median_sql('rps')} AS y FROM
+      (SELECT *, CAST(regexp_extract(function, 'cpu_r([0-9]+)_b', 1) AS BIGINT) AS x FROM runs) GROUP BY phase, function, x) WHERE y <> 0 AND x >= 4),
     slopes AS (SELECT l.phase, (r.y - l.y) / (r.x - l.x) AS s FROM curve AS l JOIN curve AS r ON l.phase = r.phase AND r.x > l.x),
     slope AS (SELECT phase, {_median_sql('s')} AS slope FROM slopes GROUP BY phase),
-    rests AS (SELECT phase, x, y, slope, y - slope * x AS rest FROM curve JOIN slope USING (phase)),
+    rests AS (SELECT phase, function, x, y, slope, y - slope * x AS rest FROM curve JOIN slope USING (phase)),
     floors AS (SELECT phase, greatest({_median_sql('rest')}, 0) AS floor FROM rests GROUP BY phase),
-    fitted AS (SELECT phase, x, y, slope, floor, floor + slope * x AS fit FROM rests JOIN floors USING (phase)),
-    worst AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY abs(y - fit) DESC, x) AS place, count(*) OVER (PARTITION BY phase) AS points FROM fitted)"""
+    fitted AS (SELECT phase, function, x, y, slope, floor, floor + slope * x AS fit FROM rests JOIN floors USING (phase)),
+    worst AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY abs(y - fit) DESC, x, function) AS place, count(*) OVER (PARTITION BY phase) AS points FROM fitted)"""
 
 
-@query(f"WITH {_RUNS}, {_FIT} SELECT phase, slope, floor, points, x AS worst_x, y AS worst_y, fit AS worst_fitted FROM worst WHERE place = 1")
+@query(f"WITH {_RUNS}, {_FIT} SELECT phase, slope, floor, points, function AS worst_point, x AS worst_x, y AS worst_y, fit AS worst_fitted FROM worst WHERE place = 1")
 def theil_sen_fit(spark, folder):
     measured = runs(spark, folder).withColumn("rounds", ex.rounds_of("function"))
-    return ex.theil_sen(ex.calibration_curve(measured, ["phase"], "rounds", "rps"), ["phase"])
+    return ex.theil_sen(ex.calibration_curve(measured, ["phase"], "function", "rounds", "rps"), ["phase"])
+
+
+@query(
+    """SELECT 'cpu_r' || CAST(o_orderkey AS BIGINT) * 100000000003 || '_b1' AS function, CAST(o_orderkey AS BIGINT) * 100000000003 AS rounds FROM orders
+    UNION ALL SELECT 'cpu_r' || o_orderkey, NULL FROM orders"""
+)
+def long_rounds(spark, folder):
+    """Rounds of twelve digits and more, and names that hold none."""
+    keys = table(spark, folder, "orders").select(F.col("o_orderkey").cast("long").alias("k"))
+    names = keys.select(F.concat(F.lit("cpu_r"), F.col("k") * 100_000_000_003, F.lit("_b1")).alias("function")).unionByName(
+        keys.select(F.concat(F.lit("cpu_r"), "k").alias("function"))
+    )
+    return names.select("function", ex.rounds_of("function").alias("rounds"))
+
+
+@query(
+    f"""WITH {_RUNS}, {_RANKED}, beside AS (SELECT phase, config, {_median_sql('us_per_row_median')} AS us_per_row_median_median,
+      {_median_sql('cpu_share_median')} AS cpu_share_median_median FROM runs WHERE sentinel IS NOT TRUE GROUP BY phase, config)
+    SELECT judged.phase, judged.config, rank, us_per_row_median_median, cpu_share_median_median FROM judged JOIN beside
+      ON judged.phase = beside.phase AND judged.config IS NOT DISTINCT FROM beside.config"""
+)
+def ranked_with_extras(spark, folder):
+    """A ranking with the medians of other measures beside it."""
+    extra = ["us_per_row_median", "cpu_share_median"]
+    ranking = ex.rank_configs(runs(spark, folder), ["phase"], ["config"], extra=extra)
+    return ranking.select("phase", "config", "rank", *[f"{e}_median" for e in extra])
 
 
 @query(

@@ -94,6 +94,27 @@ def log_scan(spark, folder):
     return scanned.select(F.unix_micros("ts").alias("ts_us"), "payload.pid", "payload.rows", "payload.total_ms")
 
 
+@query(f"SELECT epoch_us(ts) AS ts_us, pid, false AS out_of_order FROM ({_SCANNED}) WHERE event = 'batch'")
+def log_scan_ordered(spark, folder):
+    """The scan in order of time: within each partition no line is older than the one before."""
+    lines = parse_lines(_as_lines(spark, folder))
+    scanned = scan_log(lines, "svc-1", "2024-01-03T00:00:00Z", "2024-01-20T00:00:00Z", ordered=True)
+    told = scanned.select(F.unix_micros("ts").alias("ts_us"), "payload.pid")
+
+    def checked(batches):
+        import pyarrow as pa
+
+        last = None
+        for batch in batches:
+            late = []
+            for t in batch.column("ts_us").to_pylist():
+                late.append(last is not None and t < last)
+                last = t
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(late, pa.bool_())], ["ts_us", "pid", "out_of_order"])
+
+    return told.mapInArrow(checked, "ts_us long, pid long, out_of_order boolean")
+
+
 @query(f"SELECT event, instance, count(*) AS lines, CAST(sum(rows) AS BIGINT) AS rows FROM ({_SCANNED}) GROUP BY event, instance")
 def log_payloads(spark, folder):
     lines = payloads(_scan(spark, folder, ("batch", "batch_error")))
@@ -107,6 +128,17 @@ def row_costs(spark, folder):
     return logs.select("event_id", "us_per_row", "cpu_us_per_row", "cpu_share", rate.alias("rps"))
 
 
+@query(
+    f"""WITH {_LOG} SELECT mode, CAST(sum(CASE WHEN event = 'batch' THEN rows ELSE 0 END) AS DOUBLE) / (CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1000000) AS rps
+    FROM log GROUP BY mode"""
+)
+def good_throughput(spark, folder):
+    """Rows of the batches that went well over the wall-clock time, per mode."""
+    wall = (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1_000_000
+    ok_rows = F.sum(F.when(F.col("event") == "batch", F.col("rows")).otherwise(0)).cast("double")
+    return service_log(spark, folder).groupBy("mode").agg(sl.throughput(ok_rows, wall).alias("rps"))
+
+
 @query(f"WITH {_LOG} {_summary_sql('mode')}")
 def log_summary(spark, folder):
     return sl.summarise(sl.per_row_costs(service_log(spark, folder)), ["mode"])
@@ -158,6 +190,16 @@ def window_lines(spark, folder):
     return hits.groupBy("variant").agg(F.count("*").alias("lines"), F.sum("rows").alias("rows"))
 
 
+@query(
+    f"""WITH {_LOG}, {_WINDOWS} SELECT variant, count(*) AS lines FROM log JOIN windows
+    ON ts >= start - INTERVAL 2 SECOND AND ts <= "end" + INTERVAL 5 SECOND GROUP BY variant"""
+)
+def window_lines_uneven(spark, folder):
+    """Windows widened more behind than before."""
+    hits = sl.assign_windows(service_log(spark, folder), sl.padded(_windows(spark, folder), 2, after=5))
+    return hits.groupBy("variant").agg(F.count("*").alias("lines"))
+
+
 @query(
     f"""WITH {_LOG}, {_WINDOWS} SELECT variant, count(event_id) AS endpoint_invocations,
     count(*) FILTER (WHERE event = 'batch_error') AS failed,

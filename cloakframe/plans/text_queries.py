@@ -85,6 +85,13 @@ def collected_spans(spark, folder):
 
 @query(f"WITH {spans_sql(LOW)}, {_COLLECTED}, {_MERGED} SELECT doc_id, entity, start_index, end_index, score FROM merged")
 def merged_spans(spark, folder):
+    """Found, collected and merged in place; no shuffle of spans."""
+    return tx.find_merged(_documents(spark, folder), "doc_id", "text", LOW)
+
+
+@query(f"WITH {spans_sql(LOW)}, {_COLLECTED}, {_MERGED} SELECT doc_id, entity, start_index, end_index, score FROM merged")
+def merged_span_table(spark, folder):
+    """The same from a table of spans, which may come from other detectors."""
     spans = tx.find_spans(_documents(spark, folder), "doc_id", "text", LOW)
     return tx.merge_spans(tx.collect_spans(spans, "doc_id"), "doc_id")
 
@@ -140,6 +147,16 @@ def protected_texts(spark, folder):
     )
 
 
+@query(
+    """SELECT doc_id, '[PASSWORD]' || repeat('x', 40) || '[/PASSWORD] ' || lang AS text, CAST(1 AS BIGINT) AS failures FROM documents"""
+)
+def overlong_tags(spark, folder):
+    """A tag with more than a token can hold stays as it is and is counted."""
+    tagged = F.concat(F.lit("[PASSWORD]"), F.repeat(F.lit("x"), 40), F.lit("[/PASSWORD] "), F.col("lang"))
+    read = table(spark, folder, "documents").select("doc_id", tx.unprotect_counted(tagged).alias("r"))
+    return read.select("doc_id", "r.text", F.col("r.failures").cast("long").alias("failures"))
+
+
 _ELEMENTS = " ".join(f"WHEN '{e}' THEN '{d}'" for e, d in ENTITY_ELEMENTS.items())
 
 

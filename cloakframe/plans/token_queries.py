@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fpe, native
-from ..functions.keys import TokenKey
+from ..functions import fpe, native, sql
+from ..functions.keys import DEMO_KEY, KEY_CONF, TokenKey
 from ..operators import search, tokens as tk
 from ..sources.pii import pii_from, with_branch
 from ..operators.govern import entitlements, token_pair
-from ..session import shared_path
+from ..session import shared_folder, shared_path
 from ..sources.tables import create_table_as, table
 from .base import PEOPLE, people, people_sql, query
 
-def stored_tokens(spark, folder, elements=None):
+_stored: dict[tuple, str] = {}
+
+
+def stored_tokens(spark, folder):
     """The people's tokens as a stored table, which is what a search or a join on tokens reads: a token
-    computed inside the query would be computed again for every filter that Catalyst infers from it."""
-    return create_table_as(tk.tokenize_table(people(spark, folder), elements), shared_path(spark, "tokens"))
+    computed inside the query would be computed again for every filter that Catalyst infers from it.  It is
+    written once for a session, folder and key."""
+    clear = people(spark, folder)
+    at = (spark.sparkContext.applicationId, shared_folder(spark), folder, TokenKey.from_session(spark))
+    if at not in _stored:
+        path = shared_path(spark, "tokens")
+        create_table_as(tk.tokenize_table(clear), path)
+        _stored[at] = path
+    return spark.read.schema(clear.schema).parquet(_stored[at])
 
 
 KNOWN_SSN = "633-63-8963"  # customer 7
@@ -300,7 +310,7 @@ def pass_through(spark, folder):
 
 
 def hmac_sql(value: str) -> str:
-    key = native.DEMO_KEY.encode().ljust(64, b"\0")
+    key = DEMO_KEY.encode().ljust(64, b"\0")
     inner, outer = bytes(b ^ 0x36 for b in key).hex(), bytes(b ^ 0x5C for b in key).hex()
     return f"substr(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({value})))), 1, 16)"
 
@@ -308,7 +318,7 @@ def hmac_sql(value: str) -> str:
 @query(f"{PEOPLE} SELECT id, {hmac_sql('ssn')} AS ssn_token, {hmac_sql('email')} AS email_token FROM people")
 def hmac_tokens(spark, folder):
     return people(spark, folder).select(
-        "id", native.hmac_token("ssn").alias("ssn_token"), native.hmac_token_private("email", native.DEMO_KEY).alias("email_token")
+        "id", native.hmac_token("ssn").alias("ssn_token"), native.hmac_token_private("email", DEMO_KEY).alias("email_token")
     )
 
 
@@ -360,6 +370,48 @@ def rotate_key(spark, folder):
     return rotated.select("id", fpe.decrypt("new", "digits", ROTATED).alias("clear"), (F.col("new") != F.col("ssn")).alias("moved"))
 
 
+@query(f"{PEOPLE} SELECT CAST(0 AS BIGINT) AS mismatches, count(*) AS checked, count(*) AS other_than_demo FROM people")
+def session_key(spark, folder):
+    """A key set for the session holds for columns, SQL functions and search terms alike; the demo key is not used."""
+    spark.conf.set(KEY_CONF, ROTATED.key)
+    try:
+        sql.register(spark)
+        tokens = people(spark, folder).select("ssn", fpe.encrypt("ssn", "ssn").alias("token"))
+    finally:
+        both = tokens.selectExpr("ssn", "token", "fpe_decrypt(token, 'ssn') AS back")
+        spark.conf.unset(KEY_CONF)
+        sql.register(spark)
+    demo = fpe.encrypt("ssn", "ssn", TokenKey())
+    return both.agg(
+        F.count_if(F.col("back") != F.col("ssn")).alias("mismatches"), F.count("*").alias("checked"),
+        F.count_if(F.col("token") != demo).alias("other_than_demo"),
+    )
+
+
+@query(
+    f"""{PEOPLE} SELECT bits, count(*) AS people, CAST(0 AS BIGINT) AS mismatches FROM people, (SELECT unnest([128, 192, 256]) AS bits) GROUP BY bits"""
+)
+def key_lengths(spark, folder):
+    """Round trips under keys of the three lengths."""
+    clear = people(spark, folder).select("ssn")
+    parts = []
+    for bits in (128, 192, 256):
+        key = TokenKey(key=(DEMO_KEY * 2)[: bits // 4])
+        back = fpe.decrypt(fpe.encrypt("ssn", "ssn", key), "ssn", key)
+        parts.append(clear.agg(F.lit(bits).alias("bits"), F.count("*").alias("people"), F.count_if(back != F.col("ssn")).alias("mismatches")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"{PEOPLE} SELECT id, CASE WHEN id % 3 <> 0 THEN ssn END AS value FROM people")
+def blank_elements(spark, folder):
+    """An empty element means the default, as a missing one does; one that is unknown labels only NULLs here, and so
+    is never looked up."""
+    label = F.when(F.col("id") % 3 == 0, "no such element").when(F.col("id") % 3 == 1, "")
+    rows = people(spark, folder).select("id", label.alias("e"), F.when(F.col("id") % 3 != 0, F.col("ssn")).alias("ssn"))
+    token = rows.select("id", "e", fpe.encrypt("ssn", F.col("e")).alias("t"))
+    return token.select("id", fpe.decrypt("t", "ssn").alias("value"))
+
+
 @query(f"{PEOPLE} SELECT id, ssn AS clear, false AS same_token FROM people")
 def external_tweak(spark, folder):
     tweak = bytes.fromhex("0A0B0C0D0E0F10")
@@ -393,6 +445,51 @@ def typed_values(spark, folder):
     )
 
 
+@query("SELECT o_orderkey, o_orderpriority AS text, o_clerk_like AS data, true AS typed_is_safe FROM (SELECT *, 'clerk' || o_custkey AS o_clerk_like FROM orders)")
+def typed_texts(spark, folder):
+    """Text and binary values protected and restored in their own types."""
+    rows = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("text"), F.encode(F.concat(F.lit("clerk"), "o_custkey"), "UTF-8").alias("data")
+    )
+    held = rows.select("o_orderkey", native.protect_typed("text", "string").alias("t"), native.protect_typed("data", "binary").alias("d"))
+    return held.select(
+        "o_orderkey", native.unprotect_typed("t.token", "string").alias("text"),
+        F.decode(native.unprotect_typed("d.token", "binary"), "UTF-8").alias("data"),
+        (F.decode("d.typed", "UTF-8").eqNullSafe(F.col("d.token")) & F.col("t.typed").eqNullSafe(F.col("t.token"))).alias("typed_is_safe"),
+    )
+
+
+@query(
+    """SELECT o_orderkey, form, CAST(o_orderdate AS DATE) AS day FROM orders, (SELECT unnest(['y-m-d', 'y.m.d', 'm/d/y']) AS form)"""
+)
+def unpadded_dates(spark, folder):
+    """Months and days of one digit."""
+    forms = {"y-m-d": "yyyy-M-d", "y.m.d": "yyyy.M.d", "m/d/y": "M/d/yyyy"}
+    written = table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.explode(F.array(*[F.struct(F.lit(n).alias("form"), F.date_format("o_orderdate", f).alias("text")) for n, f in forms.items()])).alias("w"),
+    )
+    return written.select("o_orderkey", "w.form", native.parse_date("w.text", strict=True).alias("day"))
+
+
+@query(
+    f"""{PEOPLE}, tried AS (SELECT id, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN '12-3' WHEN id % 4 = 2 THEN repeat('7', 60) ELSE ssn END AS v FROM people)
+    SELECT step, CASE WHEN v IS NULL THEN 0 WHEN length(v) < 6 THEN 22 WHEN length(v) > 56 THEN 23 WHEN step = 'unprotect' THEN 8 ELSE 50 END AS code,
+      count(*) AS n FROM tried, (SELECT unnest(['unprotect', 'reprotect']) AS step) GROUP BY 1, 2"""
+)
+def status_of_tokens(spark, folder):
+    """Codes of reading tokens back and of moving them to another key: 8 and 50, 22 and 23, and 0 for nothing."""
+    case = F.col("id") % 4
+    value = F.when(case == 1, "12-3").when(case == 2, "7" * 60).when(case == 3, F.col("ssn"))
+    tried = people(spark, folder).select(value.alias("v"))
+    results = {
+        "unprotect": native.protect_with_status("v", "ssn", operation="unprotect"),
+        "reprotect": native.reprotect_with_status("v", "ssn", "digits", new_key=ROTATED),
+    }
+    parts = [tried.select(F.lit(step).alias("step"), r.alias("r")) for step, r in results.items()]
+    return parts[0].unionByName(parts[1]).groupBy("step", F.col("r.code").alias("code")).agg(F.count("*").alias("n"))
+
+
 _DUCK_FORMATS = ["%Y-%m-%d", "%Y/%m/%d", "%Y/%d/%m", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y", "%Y%m%d", "%d.%m.%Y", "%Y.%m.%d"]
 _SPARK_FORMATS = [f for f, _ in native.DATE_FORMATS]
 

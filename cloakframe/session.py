@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,13 +33,15 @@ def attach(spark: SparkSession) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for tables that cut lineage.  A cluster must name one in
-    ``spark.checkpoint.dir``; a local session gets a temporary one."""
+    ``spark.checkpoint.dir``; a session in one process gets a temporary one, removed when the process ends."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="cloakframe-shared-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set(CHECKPOINT_CONF, folder)
     return folder
 
@@ -48,10 +52,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame, by: str) -> DataFrame:
-    """Give a small scan as many partitions as there are cores before heavy column work; a scan that
-    already has them is returned as it is, so large inputs are not shuffled."""
+    """Give a scan of fewer files than there are cores as many partitions as cores before heavy column work;
+    one of more files is returned as it is, so large inputs are not shuffled.  Only file names are looked at."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)
+    return df.repartition(cores, by) if 0 < len(df.inputFiles()) < cores else df
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

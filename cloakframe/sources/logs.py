@@ -48,10 +48,10 @@ def scan_log(
     envelopes: DataFrame, service: str | None = None, start: Column | str | None = None,
     end: Column | str | None = None, events: tuple[str, ...] = ("batch",), ordered: bool = False,
 ) -> DataFrame:
-    """(ts, payload) of one service, between two instants (both inclusive), for the given events.  The
-    time falls back to the receive time; lines without payload or a readable time are dropped.  Sorting by
+    """(ts, payload) of one service, between two instants (both inclusive), for the given events.  An
+    absent or empty time falls back to the receive time; lines without payload or a readable time are dropped.  Sorting by
     time is on request, since nothing downstream needs it."""
-    ts = F.try_to_timestamp(F.coalesce("timestamp", "receiveTimestamp"))
+    ts = F.try_to_timestamp(F.coalesce(F.nullif("timestamp", F.lit("")), "receiveTimestamp"))
     rows = envelopes.filter(F.col("jsonPayload").isNotNull() & F.col("jsonPayload.event").isin(*events))
     if service is not None:
         rows = rows.filter(F.col("service") == service)

@@ -19,10 +19,23 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
-def scan_json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:
+BROKEN_LINE = "broken_line"
+
+
+def scan_json_lines(
+    spark: SparkSession, paths: str | list[str], schema: T.StructType | str, broken: str = "fail"
+) -> DataFrame:
     """JSON lines from any number of files.  Blank lines are skipped, absent keys are NULL, so records of
-    different phases share one superset schema."""
-    return spark.read.schema(schema).json(paths)
+    different phases share one superset schema.  A line that is no such record ends the job, or with
+    ``broken="keep"`` is a row of NULLs that holds it in the column ``broken_line``."""
+    if broken not in ("fail", "keep"):
+        raise ValueError(f"broken must be fail or keep, got {broken!r}")
+    reader = spark.read
+    if broken == "fail":
+        return reader.schema(schema).option("mode", "FAILFAST").json(paths)
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wider = T.StructType([*fields.fields, T.StructField(BROKEN_LINE, T.StringType())])
+    return reader.schema(wider).option("columnNameOfCorruptRecord", BROKEN_LINE).json(paths)
 
 
 def append_json_lines(df: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cloakframe.functions import ff3, fpe, native
+from cloakframe.functions import ff3, fpe, keys, native, sql
 from cloakframe.functions.aes import encrypt_blocks, expand_key
 from cloakframe.functions.elements import ALPHABETS, element
 from cloakframe.functions.keys import TokenKey
@@ -208,7 +208,7 @@ def test_mixed_elements_keep_order_and_default(spark):
 def test_status_codes(spark):
     df = spark.createDataFrame([("12",), ("123456",), ("1" * 57,), (None,)], "v string")
     got = [tuple(r[0]) for r in df.select(native.protect_with_status("v", "digits")).collect()]
-    assert got == [("12", 22), (run(["123456"], "digits")[0], 6), (None, 23), (None, 6)]
+    assert got == [("12", 22), (run(["123456"], "digits")[0], 6), (None, 23), (None, 0)]
 
 
 def test_strict_dates(spark):
@@ -250,3 +250,19 @@ def test_sql_functions_take_bare_nulls(spark):
     sql.register(spark, default="digits")
     row = spark.sql("SELECT fpe_encrypt('1990-01-31', NULL) a, fpe_encrypt(NULL, 'ssn') b, noop(NULL) c, hmac_token(NULL) d").first()
     assert tuple(row) == ("0804-22-26", None, None, None)
+
+
+def test_the_session_key_holds_everywhere(spark):
+    spark.conf.set(keys.KEY_CONF, "0123456789ABCDEF0123456789ABCDEF")
+    try:
+        sql.register(spark)
+        df = spark.createDataFrame([("123-45-6789",)], "v string")
+        row = df.select(fpe.encrypt("v", "ssn").alias("t"), fpe.encrypt("v", "ssn", TokenKey()).alias("demo")).first()
+        again = df.selectExpr("fpe_encrypt(v, 'ssn') AS t").first()
+        assert row.t == again.t == fpe.token_of("123-45-6789", "ssn") != row.demo
+        hmac = df.select(native.hmac_token("v").alias("a"), native.hmac_token_private("v").alias("b"), F.expr("hmac_token(v)").alias("c")).first()
+        assert hmac.a == hmac.b == hmac.c
+    finally:
+        spark.conf.unset(keys.KEY_CONF)
+        sql.register(spark)
+    assert df.select(fpe.encrypt("v", "ssn")).first()[0] == row.demo

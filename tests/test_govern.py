@@ -125,6 +125,43 @@ def test_replicate_gives_exactly_that_many(clear, rows):
     assert copies.distinct().count() == rows
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_replicate_by_repeated_and_textual_keys(spark, kind):
+    df = spark.createDataFrame([(1,), (1,), (1,), (2,)], "id int").select(F.col("id").cast(kind))
+    rows = tk.replicate(df, 6).collect()
+    assert len(rows) == 6 and sorted(str(r["id"]) for r in rows if r["copy"] == 2) == ["1", "1"]
+
+
+def test_replicate_makes_no_long_array(spark, monkeypatch):
+    monkeypatch.setattr(tk, "_COPIES_AT_ONCE", 3)
+    rows = tk.replicate(spark.range(2), 15).collect()
+    assert sorted((r["id"], r["copy"]) for r in rows) == [(0, c) for c in range(1, 9)] + [(1, c) for c in range(1, 8)]
+
+
+def test_packs_are_those_of_a_loop_over_the_rows(spark):
+    sizes = [(i * 7919) % 61 for i in range(900)] + [500, 0, 0, 500]
+    df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)], "i int, v string").coalesce(1)
+    got = [r["batch"] for r in sorted(tk.size_batches(df, "v", 9, 150).collect(), key=lambda r: r["i"])]
+    want, number, rows, used = [], 0, 0, 0
+    for n in sizes:
+        if rows and (rows == 9 or used + n > 150):
+            number, rows, used = number + 1, 0, 0
+        rows, used = rows + 1, used + n
+        want.append(number)
+    assert got == want
+
+
+def test_governed_columns_of_another_shape(spark):
+    df = spark.createDataFrame([(1, "030 1234567", 7, None, True)], "key int, phone string, unit int, note string, can_see_phone boolean")
+    held = tk.tokenize_table(df, {"phone": "phone"})
+    for seen, shown in ((True, "030 1234567"), (False, "?")):
+        policy = spark.createDataFrame([(USER, 7, seen)], "user_email string, unit int, can_see_phone boolean")
+        view = govern.governed_view(held, policy, USER, {"phone": "phone"}, masks={"phone": "?"}, branch="unit", keep=None)
+        assert view.columns == df.columns and tuple(view.first()) == (1, shown, 7, None, True)
+    with pytest.raises(ValueError, match="no element is known"):
+        govern.governed_view(held, policy, USER, ("note",), branch="unit")
+
+
 def test_batches_keep_to_their_budget(spark):
     df = spark.createDataFrame([(i, "x" * (i * 37 % 90)) for i in range(500)] + [(900, "y" * 500), (901, None)], "i int, v string").repartition(3)
     rows = tk.size_batches(df, "v", 10, 200).collect()

@@ -88,14 +88,26 @@ CALIBRATION = [(1, 1.90), (2, 3.20), (4, 5.40), (8, 9.80), (16, 19.00), (32, 36.
 def test_calibration_fit(spark):
     rows = [("c", f"cpu_r{x}_b5000", y + d) for x, y in CALIBRATION for d in (-0.5, 0.0, 0.5)]
     df = spark.createDataFrame(rows, "k string, function string, us double").withColumn("x", ex.rounds_of("function"))
-    fit = ex.theil_sen(ex.calibration_curve(df, ["k"], "x", "us"), ["k"]).first()
+    fit = ex.theil_sen(ex.calibration_curve(df, ["k"], "function", "x", "us"), ["k"]).first()
     assert round(fit["slope"], 4) == 1.0879 and round(fit["floor"], 2) == 1.09
     assert fit["worst_x"] == 512 and fit["points"] == 8
 
 
+def test_fit_keeps_functions_of_equal_rounds_apart(spark):
+    rows = [("c", "cpu_r10_b0", 1.0), ("c", "cpu_r10_b1", 9.0), ("c", "cpu_r20_b0", 21.0)]
+    df = spark.createDataFrame(rows, "k string, function string, us double").withColumn("x", ex.rounds_of("function"))
+    fit = ex.theil_sen(ex.calibration_curve(df, ["k"], "function", "x", "us"), ["k"]).first()
+    assert fit["points"] == 3 and fit["slope"] == (2.0 + 1.2) / 2
+
+
+def test_means_at_any_magnitude(spark):
+    df = spark.createDataFrame([("a", 1e-5), ("a", 3e-5), ("b", 1e15), ("b", 3e15)], "k string, v double")
+    assert {r["k"]: r["mean"] for r in ex.mean_by(df, ["k"], "v").collect()} == {"a": pytest.approx(2e-5), "b": 2e15}
+
+
 def test_names_without_rounds_have_none(spark):
-    df = spark.createDataFrame([("cpu_r128_b5000",), ("noop_b5000",), (None,)], "f string")
-    assert [r[0] for r in df.select(ex.rounds_of("f")).collect()] == [128, None, None]
+    df = spark.createDataFrame([("cpu_r128_b5000",), ("noop_b5000",), (None,), ("cpu_r1234567890_b1",)], "f string")
+    assert [r[0] for r in df.select(ex.rounds_of("f")).collect()] == [128, None, None, 1234567890]
 
 
 def measured(spark, rows):

@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.operators import ranking
+from cloakframe.operators import experiments as ex, ranking, service_logs as sl
 
 
 def brute(rows):
@@ -16,10 +16,10 @@ def brute(rows):
     return {k: statistics.median(v) for k, v in groups.items()}
 
 
-@pytest.fixture(params=[1_000_000, 5])
-def settled_rows(request, monkeypatch):
-    """Also with a limit so low that cells are refined again and again."""
-    monkeypatch.setattr(ranking, "SETTLED_ROWS", request.param)
+@pytest.fixture(params=[4096, 3])
+def slices(request, monkeypatch):
+    """Also with slices so wide that they hold many values."""
+    monkeypatch.setattr(ranking, "SLICES", request.param)
 
 
 ROWS = (
@@ -31,13 +31,13 @@ ROWS = (
 )
 
 
-def test_medians(spark, settled_rows):
+def test_medians(spark, slices):
     df = spark.createDataFrame(ROWS, "k string, v double").repartition(5)
     got = {r["k"]: r["median"] for r in ranking.exact_medians(df, ["k"], "v").collect()}
     assert got == brute(ROWS)
 
 
-def test_any_rank(spark, settled_rows):
+def test_any_rank(spark, slices):
     df = spark.createDataFrame(ROWS, "k string, v double").filter("k = 'hot'")
     ranks = {"first": "1", "third": "3", "last": "size", "beyond": "size + 1", "none": "NULL"}
     got = {r["pick"]: r["value"] for r in ranking.exact_picks(df, ["k"], "v", ranks).collect()}
@@ -50,6 +50,36 @@ def test_without_keys(spark):
     assert ranking.exact_picks(df, [], "v", {"p": "250"}).first()["value"] == 250
 
 
+def test_nan_is_the_largest_value(spark):
+    rows = [("k", v) for v in (-5.0, 1.0, float("nan"))] + [("i", v) for v in (float("-inf"), 2.0, float("inf"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert {r["k"]: r["median"] for r in ranking.exact_medians(df, ["k"], "v").collect()} == {"k": 1.0, "i": 2.0}
+
+
+def test_nothing_runs_before_the_caller_asks(spark):
+    df = spark.createDataFrame([r for r in ROWS if r[1] is not None], "k string, v double").withColumn("s", F.lit(False))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    ranking.exact_medians(df, ["k"], "v")
+    ex.median_by(df, ["k"], ["v"])
+    ex.rank_configs(df, [], ["k"], "v", "s")
+    sl.summarise(df.select(*[F.lit(1).alias(c) for c in ("mode", "instance", "pid", "rows", "inflight", "us_per_row", "cpu_us_per_row", "cpu_share")]), ["mode"])
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+
+
+def test_no_keys_is_no_cross_join(spark):
+    df = spark.range(1, 1001).select(F.col("id").alias("v"))
+    plan = ranking.exact_picks(df, [], "v", {"p": "250"})._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_ties_in_a_third_of_the_rows(spark):
+    rows = [("g", 5.0, f"name{i:04d}") for i in range(1000)] + [("g", float(i), None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v double, t string").repartition(4)
+    got = sorted((r["rank"], r["v"], r["t"] or "") for r in ranking.ranked(df, ["k"], "v", ["t"]).collect())
+    want = sorted(((-v, t or "") for _, v, t in rows))
+    assert [(-v, t) for _, v, t in got] == want and [r for r, *_ in got] == list(range(1, 3001))
+
+
 def test_ranks_number_every_row_once(spark):
     df = spark.createDataFrame([r for r in ROWS if r[1] is not None], "k string, v double").withColumn("t", F.monotonically_increasing_id())
     got = ranking.ranked(df, ["k"], "v", ["t"]).collect()
