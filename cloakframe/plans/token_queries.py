@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import fpe, native, sql
@@ -491,7 +493,7 @@ def status_of_tokens(spark, folder):
 
 
 _DUCK_FORMATS = ["%Y-%m-%d", "%Y/%m/%d", "%Y/%d/%m", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y", "%Y%m%d", "%d.%m.%Y", "%Y.%m.%d"]
-_SPARK_FORMATS = [f for f, _ in native.DATE_FORMATS]
+_SPARK_FORMATS = [re.sub(r"\b([Md])\b", r"\1\1", f) for f, _ in native.DATE_FORMATS]
 
 
 @query(
