@@ -8,7 +8,8 @@ these two, and infinitely much if not.  A segmentation is what the merges produc
 such pairs, so one path has finite weight, and it is the BPE encoding.
 
 Encoding composes the machines with an input and takes the shortest path.  Where no piece holds the space mark after
-another character, an input falls into independent parts at spaces; parts met before come from a bounded memory."""
+another character, an input falls into independent parts at spaces (and before stops that no piece joins to a
+letter); parts met before come from a bounded memory."""
 
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 LONGEST = 48
 
 
@@ -97,7 +98,8 @@ class Transducer:
     vocabulary: Vocabulary
     remembered: int = REMEMBERED
     _memory: dict[str, bytes] = field(default_factory=dict)
-    _pairs: dict[tuple[int, int], bool] = field(default_factory=dict)
+    _older: dict[str, bytes] = field(default_factory=dict)
+    _pairs: dict[int, bool] = field(default_factory=dict)
 
     def __post_init__(self):
         v = self.vocabulary
@@ -115,7 +117,12 @@ class Transducer:
         self.unknown_weight = 10.0 - min(scores, default=0.0)  # heavier than any path of pieces over one character
         marked_inside = any(MARK in p.lstrip(MARK) for p in self.ids)
         feed = "\n" if "\n" not in self.characters else ""
-        self.parts = None if marked_inside else re.compile(f"{MARK}*[^{MARK}{feed}]+|{MARK}+" + ("|\n" if feed else ""))
+        # Letters that no piece has before a full stop or comma end a part there too.
+        glued = {p[i] for p in self.ids for i in range(len(p) - 1) if p[i + 1] in ".,"}
+        letters = re.escape("".join(c for c in map(chr, range(65, 384)) if c.isalpha() and c not in glued))
+        stopped = f"{MARK}*[^{MARK}{feed}.,]*[{letters}](?=[.,])|" if letters else ""
+        rest = f"{MARK}*[^{MARK}{feed}]+|{MARK}+" + ("|\n" if feed else "")
+        self.parts = None if marked_inside else re.compile(stopped + rest)
         self.texts = [
             bytes([int(p[3:5], 16)]) if v.kinds[i] == BYTE else b"" if v.kinds[i] == CONTROL else p.replace(MARK, " ").encode()
             for i, p in enumerate(v.pieces)
@@ -130,64 +137,97 @@ class Transducer:
 
     def merged(self, text: str) -> list[int]:
         """BPE by its definition: of all neighbours whose join is a piece the best scored, leftmost first."""
-        symbols = list(text)
-        scores = self.vocabulary.scores
-        while True:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                joined = self.ids.get(symbols[i] + symbols[i + 1])
-                if joined is not None and (best is None or scores[joined] > best):
-                    best, at = scores[joined], i
-            if best is None:
-                return [self.ids.get(s, -1) for s in symbols]
+        symbols, never = list(text), float("-inf")
+        ids, scores = self.ids, self.vocabulary.scores
+
+        def worth(i: int) -> float:
+            joined = ids.get(symbols[i] + symbols[i + 1])
+            return never if joined is None else scores[joined]
+
+        joins = [worth(i) for i in range(len(symbols) - 1)]
+        while joins:
+            best = max(joins)
+            if best == never:
+                break
+            at = joins.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del joins[at]
+            if at:
+                joins[at - 1] = worth(at - 1)
+            if at < len(joins):
+                joins[at] = worth(at)
+        return [ids.get(s, -1) for s in symbols]
 
     def may_follow(self, piece: int, after: int) -> bool:
         """Pair weight is zero rather than infinite; -1 stands for a character of the byte fallback or the start."""
-        known = self._pairs.get((after, piece))
+        key = (after << 32) + piece
+        known = self._pairs.get(key)
         if known is None:
             own = self.vocabulary.pieces[piece]
             if after < 0:
                 known = self.merged(own) == [piece]
             else:
                 known = self.may_follow(piece, -1) and self.merged(self.vocabulary.pieces[after] + own) == [after, piece]
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 1_000_000:
                 self._pairs.clear()
-            self._pairs[after, piece] = known
+            self._pairs[key] = known
         return known
 
-    def shortest_path(self, part: str) -> list[int]:
-        """Ids along the lightest path through the composition of ``part`` with the machines."""
-        size, bpe, scores = len(part), self.vocabulary.kind == BPE, self.vocabulary.scores
-        weight = [float("inf")] * (size + 1)
-        weight[0] = 0.0
-        last = [-1] * (size + 1)
+    def _only_path(self, part: str) -> tuple[list, list[int]]:
+        """Last piece and its begin on the one path of weight zero to each place (BPE)."""
+        size, pairs = len(part), self._pairs
+        last: list = [None] * (size + 1)
+        last[0] = -1
         begin = [0] * (size + 1)
         for i in range(size):
-            so_far, after = weight[i], last[i]
-            if so_far == float("inf"):
-                continue
+            after, node, j = last[i], self.lexicon, i
+            key = after << 32
+            for c in part[i:]:
+                node = node.get(c)
+                if node is None:
+                    break
+                j += 1
+                if last[j] is None:
+                    piece = node.get("")
+                    if piece is not None:
+                        fits = pairs.get(key + piece)
+                        if fits or (fits is None and self.may_follow(piece, after)):
+                            last[j], begin[j] = piece, i
+            if last[i + 1] is None:  # no piece holds the character
+                last[i + 1], begin[i + 1] = -1, i
+        return last, begin
+
+    def _lightest_path(self, part: str) -> tuple[list, list[int]]:
+        """Last piece and its begin on the lightest path to each place (unigram)."""
+        size, scores = len(part), self.vocabulary.scores
+        weight = [0.0] + [float("inf")] * size
+        last, begin = [-1] * (size + 1), [0] * (size + 1)
+        for i in range(size):
             node = self.lexicon
-            for j in range(i, size):
-                node = node.get(part[j])
+            for j in range(i + 1, size + 1):
+                node = node.get(part[j - 1])
                 if node is None:
                     break
                 piece = node.get("")
-                if piece is None:
-                    continue
-                total = so_far if bpe else so_far - scores[piece]
-                if total < weight[j + 1] and (not bpe or self.may_follow(piece, after)):
-                    weight[j + 1], last[j + 1], begin[j + 1] = total, piece, i
-            if part[i] not in self.characters or (not bpe and part[i] not in self.ids):
-                total = so_far + (0.0 if bpe else self.unknown_weight)
-                if total < weight[i + 1]:
-                    weight[i + 1], last[i + 1], begin[i + 1] = total, -1, i
+                if piece is not None and weight[i] - scores[piece] < weight[j]:
+                    weight[j], last[j], begin[j] = weight[i] - scores[piece], piece, i
+            if part[i] not in self.ids and weight[i] + self.unknown_weight < weight[i + 1]:
+                weight[i + 1], last[i + 1], begin[i + 1] = weight[i] + self.unknown_weight, -1, i
+        return last, begin
+
+    def shortest_path(self, part: str) -> list[int]:
+        """Ids along the shortest path through the composition of ``part`` with the machines."""
+        last, begin = (self._only_path if self.vocabulary.kind == BPE else self._lightest_path)(part)
         ids: list[int] = []
-        at = size
+        at = len(part)
         while at:
-            ids += [last[at]] if last[at] >= 0 else self.fallback(part[begin[at] : at])[::-1]
+            if last[at] >= 0:
+                ids.append(last[at])
+            else:
+                ids += self.fallback(part[begin[at] : at])[::-1]
             at = begin[at]
-        return ids[::-1]
+        ids.reverse()
+        return ids
 
     def fallback(self, character: str) -> list[int]:
         if len(self.bytes) < 256:
@@ -195,18 +235,22 @@ class Transducer:
         return [self.bytes[b] for b in character.encode()]
 
     def _part(self, part: str) -> bytes:
-        found = np.array(self.shortest_path(part), np.int32).tobytes()
+        """Ids of a part; the parts last met stay in two generations of bounded size."""
+        found = self._older.get(part)
+        if found is None:
+            found = np.array(self.shortest_path(part), np.int32).tobytes()
         if len(part) <= LONGEST:
             if len(self._memory) >= self.remembered:
-                self._memory.clear()
+                self._older, self._memory = self._memory, {}
             self._memory[part] = found
         return found
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text; none for null and empty texts."""
         text = self.normalise(text or "")
-        known = self._memory.get
         parts: Iterable[str] = self.parts.findall(text) if self.parts else [text] if text else []
+        # the young memory may be replaced on the way; what the old one still finds is right all the same
+        known = self._memory.get
         return np.frombuffer(b"".join([known(p) or self._part(p) for p in parts]), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
