@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..session import shared_path
+
 #: A word is a run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -12,10 +14,41 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+class Scratch:
+    """Intermediate tables of one operator in the shared folder.  They are dropped as soon as what was made of them
+    is stored, so they do not pile up; what a lazy result still reads is left for the folder's own clean-up."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        """Store and read back; see :func:`cloakframe.session.settle`."""
+        path = shared_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names, or all."""
+        for name in names or list(self.paths):
+            for path in self.paths.pop(name, []):
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """The ``rows`` rows (or all) of lowest key hash.  A first cut by hash keeps about twice as many, so that no task
+    orders more than a few of these however many there are."""
+    slots = 1 << 30
+    keep = min(slots, slots * 2 * (rows + 100) // max(df.count(), 1) + 1)
+    slot = F.pmod(F.xxhash64(*key), F.lit(slots))
+    return df.where(slot < keep).orderBy(slot, *key).limit(rows)
+
+
 def word_count(column: str | Column) -> Column:
     return F.regexp_count(text_or_empty(column), F.lit(WORD)).cast("long")
 

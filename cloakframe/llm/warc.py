@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle, shared_path
-from .common import text_or_empty
+from .common import bounded_sample, text_or_empty
 
 #: Fixed values of the format: magic numbers of the dictionary's skippable frame and of a Zstandard frame, version,
 #: line end, header names that every record must have, types of records.
@@ -154,10 +154,16 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, dictionary: bytes, co
         yield close()
 
 
+DICTIONARY_TEXT = 16384  # characters of a payload that the dictionary learns from; the archives hold all of it
+
+
 def train_dictionary(pages: DataFrame, config: WarcConfig = WarcConfig()) -> bytes:
     """From a bounded number of payloads; empty where they are too few to train on."""
-    rows = pages.where(F.length("html") > 0).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(config.dictionary_rows)
-    samples = [r[0].encode() for r in rows.select(F.substring("html", 1, 16384)).collect()]
+    keyed = pages.where(F.length("html") > 0).select(F.xxhash64("page_id", "html").alias("__key"))
+    picked = bounded_sample(keyed.distinct(), config.dictionary_rows, "__key")  # 8 bytes a row, so it may be broadcast
+    texts = pages.select(F.xxhash64("page_id", "html").alias("__key"), F.substring("html", 1, DICTIONARY_TEXT).alias("__text"))
+    found = texts.join(F.broadcast(picked), "__key").dropDuplicates(["__key"]).orderBy("__key").collect()
+    samples = [r["__text"].encode() for r in found]
     try:
         return zstandard.train_dictionary(config.dictionary_bytes, samples).as_bytes()
     except zstandard.ZstdError:
