@@ -1,9 +1,11 @@
 """Personal data in free text: find, merge, redact, mask, protect, unprotect.
 
-Detection needs character offsets, which no built-in function returns, so it runs over Arrow batches; a
-pattern test in the JVM first keeps texts without candidates out of Python.  Span tables (from
-:func:`find_spans` or another detector) are combined with ordinary aggregates and windows, whose groups
-are single documents.
+Detection needs character offsets.  They can be had in the JVM as running lengths of the matches and of the
+pieces between them (the queries' SQL does it so), but with nine patterns that took 4.6 s against 0.7 s for
+one pass over Arrow batches on the 10,000 documents of sf0.1, with the same 1,361 spans; so batches it is,
+and a pattern test in the JVM first keeps texts without candidates out of Python.  A text's spans are
+collected and merged where it is; span tables of other detectors are combined with aggregates and windows,
+whose groups are single documents.
 """
 
 from __future__ import annotations
