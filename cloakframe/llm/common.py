@@ -54,13 +54,13 @@ def word_count(column: str | Column) -> Column:
 
 
 def running_total(
-    df: DataFrame, group: list[str], order: list[str], value: str, into: str, buckets: int = 4096
+    df: DataFrame, group: list[str], order: list[str], value: str, into: str, bucket: Column | None = None
 ) -> DataFrame:
-    """Sum of ``value`` over the rows before each row of its group.  Rows stand in the order of a hash bucket of
-    ``order`` and then of ``order`` itself, so no window holds more than one bucket of one group, and only a total
+    """Sum of ``value`` over the rows before each row of its group.  Rows stand in the order of ``bucket`` (else one of
+    4096 hashes of ``order``) and then of ``order`` itself, so no window holds more than one bucket of one group, and only a total
     for each bucket is summed over a whole group.  Rows that agree in all of ``order`` may stand in either order;
     as they are equal, the rows returned as a set are the same in every run.  ``group`` must not be null."""
-    bucketed = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    bucketed = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(4096)) if bucket is None else bucket)
     key = [*group, "__bucket"]
     inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -95,7 +95,7 @@ def mix_plan(
 ) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, source_rank, taken, passes.
 
-    A source's documents stand in a fixed pseudo-random order and are read round and round until the target is
+    A source's documents stand in the order of their ids' MD5 digests and are read round and round until the target is
     reached; the document at its end is cut there, so a source's words are exactly floor(target).  ``passes`` lists
     (pass, words, position) in order.  Null text or text without words: size 0, nothing taken, no passes.  A null
     source is a source of its own, last in order.  Repeated rows take their own places.  No rows, no plan.
@@ -104,13 +104,16 @@ def mix_plan(
         "doc_id",
         "source",
         word_count("text").alias("size"),
+        F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")).alias("__place"),
         F.xxhash64("text").alias("__content"),
         *[F.col(c).alias(f"__kept_{c}") for c in keep],
     )
     sizes = docs.select("source", word_count("text").alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, budget, repeats).withColumnRenamed("source", "__source")
     rows = rows.join(targets, on=F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    placed = running_total(rows, ["source_rank"], ["doc_id", "__content", "size"], "size", "__start")
+    # a source's order is that of the ids' digests; their first three digits make the buckets
+    order, bucket = ["__place", "doc_id", "__content", "size"], F.substring("__place", 1, 3)
+    placed = running_total(rows, ["source_rank"], order, "size", "__start", bucket)
     want = F.floor("target").cast("long")
     numbers = F.sequence(F.lit(0), F.lit(repeats - 1))
 
@@ -124,7 +127,7 @@ def mix_plan(
 
     listed = placed.withColumn("passes", F.filter(F.transform(numbers, one), lambda p: p["words"] > 0))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda total, p: total + p["words"])
-    return listed.withColumn("taken", taken).drop("__start", "__content")
+    return listed.withColumn("taken", taken).drop("__start", "__place", "__content")
 
 
 def mixed(docs: DataFrame, **plan) -> DataFrame:

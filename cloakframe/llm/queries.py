@@ -123,6 +123,102 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return transducer.encode_documents(table(spark, folder, "documents"), vocabulary, ids=False, digest=True)
 
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+
+def _inverted_sql(knots, share: str) -> str:
+    """mixing.invert_demand in SQL, operation by operation."""
+    area, pieces = 0.0, []
+    for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
+        pieces.append((area, t0, t1, w0, w1))
+        area += (t1 - t0) * (w0 + w1) / 2
+    double = lambda x: f"CAST({x!r} AS DOUBLE)"
+    demand = f"least(greatest({share}, {double(0.0)}), {double(1.0)}) * {double(area)}"
+    cases = ""
+    for start, t0, t1, w0, w1 in pieces:
+        end, slope = start + (t1 - t0) * (w0 + w1) / 2, (w1 - w0) / (t1 - t0)
+        rest = f"greatest({demand} - {double(start)}, {double(0.0)})"
+        root = f"sqrt(greatest({double(w0 * w0)} + {rest} * {double(2 * slope)}, {double(0.0)}))"
+        cases += f" WHEN {demand} < {double(end)} AND {rest} > 0 THEN {double(t0)} + {rest} * 2 / ({root} + {double(w0)}) WHEN {demand} < {double(end)} THEN {double(t0)}"
+    return f"CASE{cases} ELSE {double(knots[-1][0])} END"
+
+
+def _position_sql(number: int) -> str:
+    words = f"greatest(least(want - (start + source_size * {number}), size), 0)"
+    share = f"(CAST(start + source_size * {number} AS DOUBLE) + CAST({words} AS DOUBLE) / 2) / target"
+    turns = " ".join(f"WHEN {i} THEN {_inverted_sql(knots, share)}" for i, knots in enumerate(mixing.SCHEDULES))
+    return f"CASE WHEN {words} > 0 THEN CASE source_rank % {len(mixing.SCHEDULES)} {turns} END END"
+
+
+ORACLES["op4_mixing"] = f"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_rank FROM sized GROUP BY source),
+weighed AS (SELECT *, CAST(([{', '.join(map(str, mixing.WEIGHTS))}])[source_rank % {len(mixing.WEIGHTS)} + 1] AS DOUBLE) AS weight,
+    CAST(source_size * {mixing.REPEATS} AS DOUBLE) AS cap FROM sources),
+filling AS (SELECT *, cap / weight AS whole, coalesce(sum(cap) OVER below, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER below, 0) AS open,
+    CAST(sum(source_size) OVER () AS DOUBLE) * {mixing.BUDGET} AS budget FROM weighed
+    WINDOW below AS (ORDER BY cap / weight, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT *, max(CASE WHEN (budget - capped) / open < whole THEN (budget - capped) / open END) OVER () AS level FROM filling),
+targets AS (SELECT source, source_size, source_rank, CASE WHEN level IS NULL OR weight * level >= cap THEN cap ELSE weight * level END AS target FROM levels),
+placed AS (SELECT doc_id, size, source_size, source_rank, target, CAST(floor(target) AS BIGINT) AS want,
+    CAST(coalesce(sum(size) OVER (PARTITION BY source_rank ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+    FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, source_size, target,
+    CAST({' + '.join(f'greatest(least(want - (start + source_size * {i}), size), 0)' for i in range(mixing.REPEATS))} AS BIGINT) AS taken,
+    coalesce({_position_sql(0)}, {_position_sql(1)}) AS position, CASE WHEN {_position_sql(0)} IS NOT NULL THEN {_position_sql(1)} END AS second_position FROM placed"""
+
+# All pairs that share a shingle are counted, which the small tables allow.
+ORACLES["op8_minhash_near_dedup"] = f"""
+WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), {_WORDS}) AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM cut),
+held AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS n, count(*) AS c FROM held AS a JOIN held AS b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common WHERE 100 * c >= 85 * (n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) AS least USING (doc_id)"""
+
+
+def _urls_sql() -> str:
+    """urls.judge_urls over the tables, level by level."""
+    c = urls.UrlConfig()
+    number = r"TRY_CAST(nullif(regexp_extract(url, '/([0-9]{1,18})[^/0-9?#]*/?([?#].*)?$', 1), '') AS BIGINT)"
+    parts = [f"""split AS (SELECT page_id, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {_LETTERS}) AS host,
+        regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, {number} AS doc_id FROM pages),
+    named AS (SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, good FROM split
+        LEFT JOIN (SELECT doc_id, min(quality) AS good FROM labels GROUP BY doc_id) AS g USING (doc_id)),
+    level0 AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, '' AS template FROM named)"""]
+    shape = r"""CASE WHEN regexp_matches(stem, '^[0-9]+$') THEN '{0}' WHEN regexp_matches(stem, '[0-9]') THEN '{a0}' ELSE '{a}' END || ending"""
+    for i in range(c.depth):
+        parts.append(f"""shaped{i} AS (SELECT *, {shape} AS shape FROM (SELECT *, segments[{i + 1}] AS segment, regexp_replace(segments[{i + 1}], '\\.[A-Za-z]{{1,5}}$', '') AS stem,
+            regexp_extract(segments[{i + 1}], '(\\.[A-Za-z]{{1,5}})$', 1) AS ending FROM level{i}))""")
+        for by in ("segment", "shape"):
+            parts.append(f"""{by}{i} AS (SELECT host, template, {by} FROM (SELECT *, sum(m) OVER node AS all_m, sum(g) OVER node AS all_g FROM
+                (SELECT host, template, {by}, count(*) AS m, sum(good) AS g FROM shaped{i} WHERE segment IS NOT NULL AND good IS NOT NULL GROUP BY ALL)
+                WINDOW node AS (PARTITION BY host, template)) WHERE m >= {c.support} AND all_m > m
+                AND abs(g / m - all_g / all_m) > CAST({c.apart} AS DOUBLE) * sqrt(all_g / all_m * (1 - all_g / all_m) * (CAST(1.0 AS DOUBLE) / m)))""")
+        parts.append(f"""level{i + 1} AS (SELECT page_id, host, path, good, segments, template || CASE WHEN segment IS NULL THEN ''
+            WHEN EXISTS (SELECT 1 FROM segment{i} AS k WHERE k.host = s.host AND k.template = s.template AND k.segment = s.segment) THEN '/' || segment
+            WHEN EXISTS (SELECT 1 FROM shape{i} AS k WHERE k.host = s.host AND k.template = s.template AND k.shape = s.shape) THEN '/' || shape
+            ELSE '/*' END AS template FROM shaped{i} AS s)""")
+    fits = " ".join(
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'"
+        for r in sorted(urls.RULES, key=lambda r: -len(r.name))
+    )
+    allowed = " ".join(f"WHEN '{r.name}' THEN {str(r.allow).lower()}" for r in urls.RULES)
+    parts.append(f"""placed AS (SELECT page_id, host, path, good, template || CASE WHEN len(segments) > {c.depth} THEN '/**' ELSE '' END AS template,
+        CASE {fits} END AS rule FROM level{c.depth}),
+    judged AS (SELECT *, (coalesce(sum(good) OVER node, 0) + {c.prior} * coalesce(avg(good) OVER (), 1)) / (count(good) OVER node + {c.prior}) >= {c.purity} AS pure
+        FROM placed WINDOW node AS (PARTITION BY host, template))""")
+    return f"""WITH {', '.join(parts)} SELECT page_id, host, path, template, rule,
+        CASE WHEN coalesce(CASE rule {allowed} END, pure) THEN 'allow' ELSE 'block' END AS verdict FROM judged"""
+
+
+ORACLES["op2_url_filters"] = _urls_sql()
+
 _PAGES = "(SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS size FROM pages)"
 
 ORACLES["op1_warc"] = f"""
