@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 # --- fixed values -------------------------------------------------------------------------------------
 FIRST_NAMES = ["John", "Jane", "Alex", "Emily", "Michael", "Sarah", "David", "Lisa", "Chris", "Emma"]
 LAST_NAMES = ["Smith", "Doe", "Johnson", "Williams", "Brown", "Jones", "Miller", "Davis", "Garcia", "Rodriguez"]
-DOMAINS = ["example.com", "test.org", "demo.net", "corporate.co", "sparkcorners.com"]
+DOMAINS = ["example.com", "test.org", "demo.net", "corporate.co", "corner.example"]
 BIRTH_EPOCH = "1950-01-01"
 BIRTH_DAYS = 55 * 365
 # ------------------------------------------------------------------------------------------------------

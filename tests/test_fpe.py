@@ -23,7 +23,7 @@ VECTORS = [
     ("ssn", "987-65-4321", "176-43-2567"),
     ("digits", "1990-01-31", "0804-22-26"),
     ("ccn", "4111 1111 1111 1111", "6492 5673 1277 7498"),
-    ("email", "emily.brown.1000000@sparkcorners.com", "6_e2ytkw798x3_ufz+4@sparkcorners.com"),
+    ("email", "emily.brown.1000000@corner.example", "6_e2ytkw798x3_ufz+4@corner.example"),
     ("email", "a.b.c.99@test.org", "dikvk8v7@test.org"),
     ("name", "John Smith", "zzoo xrefY"),
     ("name", "Emily Rodriguez", "scqcR fnJUdnCBJ"),
