@@ -31,12 +31,15 @@ _SPAN_ARROW = pa.list_(
 
 
 def _finders(config: TextConfig):
-    return [(r.entity, re.compile(r.pattern, re.ASCII), r.score) for r in config.active]
+    return [(r.entity, re.compile(r.pattern, re.ASCII), r.score, re.compile(r.hint or "", re.ASCII)) for r in config.active]
 
 
 def _found(text: str, finders) -> list[tuple[str, int, int, float, int]]:
-    """(entity, start, end, score, arrival) in rule order, then text order."""
-    hits = [(e, m.start(), m.end(), s) for e, pattern, s in finders for m in pattern.finditer(text)]
+    """(entity, start, end, score, arrival) in rule order, then text order; a rule whose hint is not in the text
+    has no match in it."""
+    hits = [
+        (e, m.start(), m.end(), s) for e, pattern, s, hint in finders if hint.search(text) for m in pattern.finditer(text)
+    ]
     return [(*hit, at) for at, hit in enumerate(hits)]
 
 
