@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import settle
+from .common import Scratch
 from .words import Words, chunks, cut, mix64, ngrams
 
 _U = np.uint64
@@ -158,11 +158,11 @@ def _verified(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Itera
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def connect(links: DataFrame) -> DataFrame:
-    """Connected components by union-find in stars: (node, root) for every node of a link (a, b); the root is the
+def connect(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Connected components by union-find in stars, stored as ``name``: (node, root) for every node of a link (a, b); the root is the
     smallest node.  Each round links all neighbours of a node to the smallest of them, first the larger ones, then
     the smaller ones; rounds end when nothing changes.  No component is ever gathered in one place."""
-    edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = scratch.settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -170,18 +170,23 @@ def connect(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = settle(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
+        old = scratch.paths.pop("edges")
+        edges = scratch.settle(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
+        scratch.paths["stale"] = old
+        scratch.drop("stale")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    found = scratch.settle(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), name)
+    scratch.drop("edges")
+    return found
 
 
 class _Verifier:
-    def __init__(self, nodes: DataFrame, sets: DataFrame, config: NearConfig):
-        self.nodes, self.sets, self.config = nodes, sets, config
+    def __init__(self, nodes: DataFrame, config: NearConfig, scratch: Scratch):
+        self.nodes, self.config, self.scratch = nodes, config, scratch
 
     def promising(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs whose signatures are near enough; written, so that the next step knows their size."""
@@ -192,15 +197,15 @@ class _Verifier:
             .join(signs.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b")
         )
         least = float(self.config.similarity) - self.config.margin
-        return settle(rows.mapInArrow(lambda it: _alike(it, least), "a long, b long"), "pairs")
+        return self.scratch.settle(rows.mapInArrow(lambda it: _alike(it, least), "a long, b long"), "pairs")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that are similar enough on their full sets."""
-        rows = pairs.join(self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(
-            self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b"
+        rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b"
         )
         part, whole = self.config.similarity.numerator, self.config.similarity.denominator
-        return settle(rows.mapInArrow(lambda it: _verified(it, part, whole), "a long, b long"), "links")
+        return self.scratch.settle(rows.mapInArrow(lambda it: _verified(it, part, whole), "a long, b long"), "links")
 
 
 def _prefix_pairs(sets: DataFrame, roots: DataFrame, config: NearConfig) -> DataFrame:
@@ -243,10 +248,11 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     node from the start.  Null, empty and blank texts have no shingles and are linked with nothing.  component_id
     is the smallest doc_id reachable, null ids aside (null if there is no other); rows of equal doc_id and text
     are one document, so all of them are kept or none.  Other columns are left behind; no rows, no rows."""
-    return _grouped(docs, config).drop("k1", "k2")
+    return _grouped(docs, config, Scratch(docs.sparkSession)).drop("k1", "k2")
 
 
-def _grouped(docs: DataFrame, config: NearConfig) -> DataFrame:
+def _grouped(docs: DataFrame, config: NearConfig, scratch: Scratch) -> DataFrame:
+    settle = scratch.settle
     keyed = docs.select("doc_id", "text", *_content_key())
     id_type = docs.schema["doc_id"].dataType.simpleString()
     features = settle(
@@ -274,15 +280,14 @@ def _grouped(docs: DataFrame, config: NearConfig) -> DataFrame:
     hubs = hubs.select("band", (-F.col("best.last")).alias("b"))
     stars = members.select("band", F.col("node").alias("a")).join(hubs, "band").select("a", "b")
 
-    probe = _Verifier(nodes, nodes, config)
-    near = probe.promising(stars)
+    check = _Verifier(nodes, config, scratch)
+    near = check.promising(stars)
     # Sets are made only for nodes that share a band; their texts are found again by id and content, one a node.
     owners = members.select("node").distinct().join(classes.select("node", "k1", "k2"), "node")
     texts = keyed.select("k1", "k2", "text").join(owners, ["k1", "k2"]).groupBy("k1", "k2", "node").agg(F.first("text").alias("text"))
     sets = settle(texts.select("node", "text").mapInArrow(lambda it: _sets(it, config), "node long, shingles array<long>"), "sets")
-    check = _Verifier(nodes, sets, config)
-    links = check.links(near)
-    roots = settle(connect(links), "roots")
+    links = check.links(near, sets)
+    roots = connect(links, scratch, "roots")
 
     apart = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = apart.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
@@ -295,9 +300,12 @@ def _grouped(docs: DataFrame, config: NearConfig) -> DataFrame:
     )
     many = apart.where(F.col("crowd") > config.small).select("node").distinct()
     pairs = pairs.unionByName(_prefix_pairs(sets.join(many, "node", "left_semi"), roots, config))
-    more = check.links(check.promising(pairs))
+    more = check.links(check.promising(pairs), sets)
 
-    joined = settle(connect(links.unionByName(more)), "components")
+    scratch.drop("nodes", "members", "pairs", "sets", "apart", "roots")
+
+    joined = connect(links.unionByName(more), scratch, "components")
+    scratch.drop("links")
     labels = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = labels.join(least, "root").select("set_id", "component_id")
@@ -311,7 +319,9 @@ def _grouped(docs: DataFrame, config: NearConfig) -> DataFrame:
 def keep_one(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """The documents, all their columns, without those linked to one of a smaller doc_id.  Rows of equal doc_id and
     text are one document; rows without a doc_id go if their group has one with it."""
-    gone = settle(_grouped(docs, config).where(~F.col("kept")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "gone")
+    scratch, last = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    gone = last.settle(_grouped(docs, config, scratch).where(~F.col("kept")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "gone")
+    scratch.drop()
     one, two = (k.alias(f"__{n}") for k, n in zip(_content_key(), ("k1", "k2")))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own")  # so that no name can clash
     left = docs.select(own, one, two).join(gone, ["__k1", "__k2"], "left_anti")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import settle
+from .common import Scratch, bounded_sample
 from .words import Texts, chunks, cut, mix64, powers, _BASE, _INVERSE, _byte_values
 
 _U = np.uint64
@@ -144,8 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     labels every document scores one half; with one label only, near that label."""
     one_each = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     # At most train_rows ids are sent to every task, a bound that does not grow with the data.
-    ids = one_each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.train_rows)
-    sample = settle(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label"), "labelled")
+    ids = bounded_sample(one_each, config.train_rows, "doc_id")
+    scratch = Scratch(docs.sparkSession)
+    sample = scratch.settle(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label"), "labelled")
 
     counted = sample.select("text", "label").mapInArrow(lambda it: _frequencies(it, config), "bucket long, clean long, toxic long")
     held = counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -173,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = sample.mapInArrow(placed, f"doc_id {id_type}, label int, terms array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    scratch.drop()
     lists = rows["terms"].combine_chunks() if len(rows) else pa.array([], pa.list_(pa.int32()))
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.diff(lists.offsets.to_numpy()) if len(rows) else np.zeros(0, np.int64)
