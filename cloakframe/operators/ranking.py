@@ -71,7 +71,7 @@ def exact_picks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, str
 
     ``ranks`` maps a pick's name to its 1-based rank as SQL over the group size ``size``; a rank outside
     1..size (or NULL) yields no row.  NULL values take no part, NaN is the largest value.  ``df`` is read
-    three times, so an expensive one is better stored first."""
+    twice, so an expensive one is better stored first."""
     base = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull()).withColumn("_cell", cell(F.col("_v")))
     ends = (F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     per_cell = base.groupBy(*keys, "_cell").agg(*ends)
@@ -82,13 +82,13 @@ def exact_picks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, str
     asked = sized.select("*", wanted.alias("_w")).select(*keys, "_cell", "_n", "_lo", "_hi", "_w.pick", "_w._rank")
     cells = _holding_rank(asked, [*keys, "pick"], "_cell").drop("_n")
 
-    picked = [*keys, "pick", "_rank"]
-    sliced = _of_cells(base, cells, keys).groupBy(*picked, "_cell", _slice(F.col("_v")).alias("_slice")).agg(*ends)
-    slices = _holding_rank(sliced, [*keys, "pick"], "_slice").drop("_n", "_slice")
-
-    inside = _of_cells(base, slices, keys).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    by_value = inside.groupBy(*picked, "_v").agg(F.count("*").alias("_n"))
-    return _holding_rank(by_value, [*keys, "pick"], "_v").select(*keys, "pick", F.col("_v").alias("value"))
+    # the values of the chosen cells, counted; both steps below read the one shuffle that this takes
+    within = [*keys, "pick", "_rank", "_slice"]
+    by_value = _of_cells(base, cells, keys).groupBy(*within[:-1], _slice(F.col("_v")).alias("_slice"), "_v").agg(F.count("*").alias("_n"))
+    per_slice = by_value.groupBy(*within).agg(F.sum("_n").alias("_n"))
+    slices = _holding_rank(per_slice, [*keys, "pick"], "_slice").drop("_n")
+    chosen = join_groups(by_value.drop("_rank"), slices, [*keys, "pick", "_slice"])
+    return _holding_rank(chosen, [*keys, "pick"], "_v").select(*keys, "pick", F.col("_v").alias("value"))
 
 
 def _of_cells(base: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
