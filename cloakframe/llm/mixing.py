@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import settle
 from .common import running_total, word_count
 
 #: Fixed by the mix: sources in code point order weigh these in turn, share 150 % of all words, and none is
@@ -95,7 +96,7 @@ def mix_plan(
 ) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, source_rank, taken, passes.
 
-    A source's documents stand in the order of their ids' MD5 digests and are read round and round until the target is
+    A source's documents stand in the order of the MD5 digests of their ids (of their content, where null) and are read round and round until the target is
     reached; the document at its end is cut there, so a source's words are exactly floor(target).  ``passes`` lists
     (pass, words, position) in order.  Null text or text without words: size 0, nothing taken, no passes.  A null
     source is a source of its own, last in order.  Repeated rows take their own places.  No rows, no plan.
@@ -104,12 +105,14 @@ def mix_plan(
         "doc_id",
         "source",
         word_count("text").alias("size"),
-        F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")).alias("__place"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")).cast("binary")).alias("__place"),
         F.xxhash64("text").alias("__content"),
-        *[F.col(c).alias(f"__kept_{c}") for c in keep],
+        *[F.col(f"`{c}`").alias(f"__kept_{c}") for c in keep],
     )
     sizes = docs.select("source", word_count("text").alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, budget, repeats).withColumnRenamed("source", "__source")
+    # a row for each source, stored, so that Catalyst knows the size: few sources are broadcast and move no text
+    targets = settle(targets, "targets")
     rows = rows.join(targets, on=F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     # a source's order is that of the ids' digests; their first three digits make the buckets
     order, bucket = ["__place", "doc_id", "__content", "size"], F.substring("__place", 1, 3)
@@ -137,14 +140,14 @@ def mixed(docs: DataFrame, **plan) -> DataFrame:
     own = docs.columns
     others = [c for c in own if c not in ("doc_id", "source")]
     planned = mix_plan(docs, keep=others, **plan)
-    readings = planned.select("doc_id", "source", "size", *[f"__kept_{c}" for c in others], F.explode("passes").alias("__reading"))
+    readings = planned.select("doc_id", "source", "size", *[f"`__kept_{c}`" for c in others], F.explode("passes").alias("__reading"))
     words = F.col("__reading.words")
     cut = F.when(words == F.col("size"), F.col("__kept_text")).otherwise(first_words(F.col("__kept_text"), words))
     return (
         readings.withColumn("__kept_text", cut)
         .withColumn("__position", F.col("__reading.position"))
         .orderBy("__position", "doc_id")
-        .select(*[F.col(c) if c in ("doc_id", "source") else F.col(f"__kept_{c}").alias(c) for c in own])
+        .select(*[F.col(c) if c in ("doc_id", "source") else F.col(f"`__kept_{c}`").alias(c) for c in own])
     )
 
 
