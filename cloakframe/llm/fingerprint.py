@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 from .words import Texts, chunks, cut, mix64, powers, _BASE, _INVERSE, _byte_values
 
 _U = np.uint64
@@ -141,26 +141,30 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     The edited text is the own one with its last quarter (code points, rounded down) replaced by as many from the
     start of the next document, or all it has; the last document's next is the first.  Null text is empty.  Rows are
     dealt out by ranges of doc_id, one shuffle of the texts; the first document of each range is also put at the end
-    of the range before, so no window spans ranges.  Equal doc_ids stand in order of content, null ids come last, in
-    the last range.  A single document is its own next.  Other columns are left behind; no rows, no rows."""
+    of the range before, so no window spans ranges.  Equal doc_ids stand in order of their content's hash, null ids come last, in
+    the same order.  A single document is its own next.  Other columns are left behind; no rows, no rows."""
     spark = docs.sparkSession
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
-    placed = F.when(F.col("doc_id").isNotNull(), _range_of(F.col("doc_id"), sorted(set(cuts or [])))).otherwise(F.lit(ranges + 1))
-    texts = docs.select("doc_id", text_or_empty("text").alias("text")).withColumn("__range", placed)
-    # One id for each range, at most as many as there are shuffle partitions.
-    heads = sorted(texts.groupBy("__range").agg(F.min("doc_id").alias("head")).collect(), key=lambda r: r["__range"])
-    if not heads:
-        heads, texts = [(0, None)], texts.limit(0)
-    before = [(heads[i - 1][0], head[0], head[1]) for i, head in enumerate(heads)]
+    own_content = F.xxhash64(text_or_empty("text"))
+    without = ranges + 1 + 32 + F.shiftright(own_content, 58)  # null ids: 64 ranges of the content's hash
+    placed = F.when(F.col("doc_id").isNotNull(), _range_of(F.col("doc_id"), sorted(set(cuts or [])))).otherwise(without)
+    texts = small_batches(docs).select(
+        "doc_id", text_or_empty("text").alias("text"), own_content.alias("__content"), placed.cast("int").alias("__range")
+    )
+    # The first document of each range: 64 more rows than there are shuffle partitions at most.
+    first = F.min(F.struct("doc_id", "__content")).alias("head")
+    heads = sorted(texts.groupBy("__range").agg(first).select("__range", "head.*").collect(), key=lambda r: r["__range"])
+    before = [(heads[i - 1][0], *head) for i, head in enumerate(heads)]
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    moved = spark.createDataFrame(before, f"__into int, __from int, __head {id_type}")
+    moved = spark.createDataFrame(before, f"__into int, __from int, __head {id_type}, __first long")
+    is_head = (F.col("__content") == F.col("__first")) & F.col("doc_id").eqNullSafe(F.col("__head"))
     copies = (
-        texts.join(F.broadcast(moved), (F.col("__range") == F.col("__from")) & F.col("doc_id").eqNullSafe(F.col("__head")))
-        .select("doc_id", "text", F.col("__into").alias("__range"), F.lit(1).alias("__copy"))
+        texts.join(F.broadcast(moved), (F.col("__range") == F.col("__from")) & is_head)
+        .select("doc_id", "text", "__content", F.col("__into").alias("__range"), F.lit(1).alias("__copy"))
     )
     rows = texts.withColumn("__copy", F.lit(0)).unionByName(copies).withColumn("__own", fingerprint("text"))
-    order = Window.partitionBy("__range").orderBy("__copy", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    order = Window.partitionBy("__range").orderBy("__copy", F.col("doc_id").asc_nulls_last(), "__content")
     length = F.char_length("text")
     tail = F.floor(length / 4).cast("int")
     paired = (

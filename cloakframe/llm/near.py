@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 from .words import Words, chunks, cut, mix64, ngrams
 
 _U = np.uint64
@@ -146,18 +146,6 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield batch.select(["a", "b"]).filter(keep)
 
 
-def _verified(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Iterator[pa.RecordBatch]:
-    """Pairs with whole * |intersection| >= part * |union|."""
-    for batch in batches:
-        keep = []
-        a, b = batch.column("set_a"), batch.column("set_b")
-        for i in range(batch.num_rows):
-            x, y = (v[i].values.to_numpy(zero_copy_only=False) for v in (a, b))
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(whole * common >= part * (len(x) + len(y) - common))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def connect(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Connected components by union-find in stars, stored as ``name``: (node, root) for every node of a link (a, b); the root is the
     smallest node.  Each round links all neighbours of a node to the smallest of them, first the larger ones, then
@@ -200,12 +188,15 @@ class _Verifier:
         return self.scratch.settle(rows.mapInArrow(lambda it: _alike(it, least), "a long, b long"), "pairs")
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs that are similar enough on their full sets."""
+        """The pairs that are similar enough on their full sets, which are compared where they meet."""
         rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b"
         )
         part, whole = self.config.similarity.numerator, self.config.similarity.denominator
-        return self.scratch.settle(rows.mapInArrow(lambda it: _verified(it, part, whole), "a long, b long"), "links")
+        sizes = F.size("set_a").cast("long") + F.size("set_b")
+        counted = rows.select("a", "b", sizes.alias("sizes"), F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"))
+        enough = F.col("common") * whole >= (F.col("sizes") - F.col("common")) * part
+        return self.scratch.settle(counted.where(enough).select("a", "b"), "links")
 
 
 def _prefix_pairs(sets: DataFrame, roots: DataFrame, config: NearConfig) -> DataFrame:
@@ -256,7 +247,7 @@ def _grouped(docs: DataFrame, config: NearConfig, scratch: Scratch) -> DataFrame
     keyed = docs.select("doc_id", "text", *_content_key())
     id_type = docs.schema["doc_id"].dataType.simpleString()
     features = settle(
-        keyed.mapInArrow(lambda it: _features(it, config), f"doc_id {id_type}, k1 long, k2 int, {FEATURES}").withColumn(
+        small_batches(keyed).mapInArrow(lambda it: _features(it, config), f"doc_id {id_type}, k1 long, k2 int, {FEATURES}").withColumn(
             "row", F.monotonically_increasing_id()
         ),
         "features",

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, bounded_sample
+from .common import Scratch, bounded_sample, small_batches
 from .words import Texts, chunks, cut, mix64, powers, _BASE, _INVERSE, _byte_values
 
 _U = np.uint64
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     scratch = Scratch(docs.sparkSession)
     sample = scratch.settle(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label"), "labelled")
 
-    counted = sample.select("text", "label").mapInArrow(lambda it: _frequencies(it, config), "bucket long, clean long, toxic long")
+    counted = small_batches(sample).select("text", "label").mapInArrow(lambda it: _frequencies(it, config), "bucket long, clean long, toxic long")
     held = counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     seen = sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
     size = {r["label"]: r["n"] for r in seen}
@@ -195,4 +195,4 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 x, _ = _machine(owner, term, len(texts), model.bias, model.weights, model.factors)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), pa.array(_chance(x))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")

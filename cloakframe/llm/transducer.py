@@ -23,13 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Fixed by the model format: the space mark, kinds of models and of pieces.
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 400_000
+REMEMBERED = 120_000
+PAIRS = 300_000
 LONGEST = 48
 
 
@@ -168,7 +171,7 @@ class Transducer:
                 known = self.merged(own) == [piece]
             else:
                 known = self.may_follow(piece, -1) and self.merged(self.vocabulary.pieces[after] + own) == [after, piece]
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             self._pairs[key] = known
         return known
@@ -302,7 +305,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, .
                     ]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *(n for n, _ in added)])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(encoded, schema)
+    return small_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(encoded, schema)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
@@ -316,4 +319,4 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids
             texts = [None if x is None else machine.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
-    return encoded.select(*kept, ids).mapInArrow(decoded, schema)
+    return small_batches(encoded).select(*kept, ids).mapInArrow(decoded, schema)

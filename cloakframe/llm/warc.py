@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle, shared_path
-from .common import bounded_sample, text_or_empty
+from .common import bounded_sample, small_batches, text_or_empty
 
 #: Fixed values of the format: magic numbers of the dictionary's skippable frame and of a Zstandard frame, version,
 #: line end, header names that every record must have, types of records.
@@ -186,7 +186,7 @@ def write_pages(pages: DataFrame, config: WarcConfig = WarcConfig()) -> DataFram
     other = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     placed = rows.join(repeated, ["digest", "size"], "left").select("page_id", "payload", "digest", F.when(other, F.col("kept")).alias("refers_to"))
     folder, dictionary = shared_path(spark, "warc"), train_dictionary(pages, config)
-    return settle(placed.mapInArrow(lambda it: _write(it, folder, dictionary, config), "path string, records long, bytes long"), "manifest")
+    return settle(small_batches(placed).mapInArrow(lambda it: _write(it, folder, dictionary, config), "path string, records long, bytes long"), "manifest")
 
 
 READ = "path string, record_type string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary, error string"
