@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.detect import ENTITY_ELEMENTS, RULES, TextConfig, element_of
+from ..functions.detect import ENTITY_ELEMENTS, TextConfig, element_of
 from ..operators import guardrails as gr, text as tx
 from ..session import spread
 from ..sources.tables import table
