@@ -9,10 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 
 import brute
-from conftest import DOCS, LONG, PROSE
+from conftest import LONG, PROSE
 from cloakframe.llm import fingerprint as fp, lines, near, quality, toxicity, transducer, words
 from cloakframe.llm.queries import QUERIES
 
