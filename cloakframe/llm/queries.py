@@ -110,7 +110,8 @@ SELECT doc_id, source, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIG
 
 @query(LINES_SQL)
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = lines.remove_boilerplate(table(spark, folder, "documents"), counts=True)
+    # The SQL of this query leaves texts whole by share; the pipeline does not.
+    cleaned = lines.remove_boilerplate(table(spark, folder, "documents"), counts=True, by_share=True)
     return cleaned.select(
         "doc_id", "source", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_kept_chars"),
         F.md5(F.col("text").cast("binary")).alias("kept_md5"),

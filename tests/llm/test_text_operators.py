@@ -165,6 +165,16 @@ def test_boilerplate_goes_and_documents_stay(spark):
         assert r.text == want and r.n_removed == (1 if r.doc_id < 100 else 0)
 
 
+def test_short_pages_lose_boilerplate_and_copies_stay(spark):
+    """Pages over 80 % of which is boilerplate, at both ends or doubled, keep just their own line."""
+    top, end = "The and attion to thanedble the, anea. Eriner thanea.", "In in oredble ea enshst edenen thhaea eringble instan."
+    pages = [(i, f"{top}\nOwn {i}.\n\n{end if i % 2 else top}", f"site{i % 9}") for i in range(18)]
+    copies = [(100 + i, f"{top}\n{end}", f"site{i}") for i in range(9)]
+    docs = spark.createDataFrame(pages + copies, "doc_id long, text string, source string")
+    told = {r.doc_id: (r.text, r.n_removed) for r in lines.remove_boilerplate(docs, counts=True).collect()}
+    assert told == {i: (f"Own {i}.\n", 2) for i in range(18)} | {d: (t, 0) for d, t, _ in copies}
+
+
 def test_far_and_near_counts_agree_with_exact_ones(spark):
     """Lines on 1 to 60 sites: sketches and exact counts together decide as exact counts would."""
     rows = [(i * 100 + s, f"{PROSE} {i} {s}\nshared line number {i}", f"site{s}") for i in range(1, 61) for s in range(i)]
