@@ -96,6 +96,23 @@ def test_factorization_machine_learns_an_interaction(spark):
     assert sum(right) / len(right) > 0.97
 
 
+@pytest.mark.parametrize("fillers", [40, 400])
+def test_words_with_no_tie_of_their_own_are_learned(spark, fillers):
+    """Toxic are texts with just one of two words: neither word alone tells anything."""
+    draw, rows, labels = random.Random(4), [], []
+    vocabulary = [f"plain{i:03d}" for i in range(fillers)]
+    for i in range(2400):
+        one, other = i % 2, i // 2 % 2
+        text = draw.choices(vocabulary, k=8) + ["zxinsult"] * one + ["qwgroup"] * other
+        draw.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(one != other)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels[:2000], "doc_id long, toxic int"))
+    right = [(r.score >= 0.5) == bool(labels[r.doc_id][1]) for r in toxicity.score(docs, model).collect() if r.doc_id >= 2000]
+    assert sum(right) / len(right) > 0.97
+
+
 def test_toxicity_odd_and_empty(spark, odd, none):
     labels = spark.createDataFrame([(5, 1), (8, None), (9, 0), (None, 1)], "doc_id long, toxic int")
     rows = toxicity.score(odd, toxicity.fit(odd, labels)).collect()
