@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import attach
-from . import fingerprint, lines, mixing, near, quality, sharding, toxicity, transducer, urls, warc
+from . import diagrams, divergence, fingerprint, lines, mixing, near, quality, sharding, simhash, toxicity, transducer, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,21 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return transducer.encode_documents(table(spark, folder, "documents"), vocabulary, ids=False, digest=True)
 
 
+@query()
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
+@query()
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return diagrams.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op13_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_fingerprints(table(spark, folder, "documents"))
+
+
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -228,3 +243,42 @@ kept AS (SELECT payload_digest, max(page_id) AS kept FROM told WHERE payload_byt
 placed AS (SELECT told.*, CASE WHEN kept IS NOT NULL AND kept IS DISTINCT FROM page_id AND payload_bytes >= {warc.REVISIT_BYTES}
     THEN kept END AS refers_to FROM told LEFT JOIN kept USING (payload_digest))
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM placed"""
+
+# Every step of all orders from the masks of single documents.
+ORACLES["op12_filter_audit"] = f"""
+WITH cut AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+failing AS (SELECT cut.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    map {{'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text),
+        'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(min(cut.doc_id) OVER (PARTITION BY text) < cut.doc_id, false)}} AS fails
+    FROM cut LEFT JOIN marks ON cut.doc_id = marks.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+masks AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, fails),
+steps AS (SELECT filter_order, step, filter_order[step] AS f, string_split(filter_order[1:step - 1], '') AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+told AS (SELECT part, filter_order, step, f, sum(CASE WHEN open AND NOT fails[f] THEN n ELSE 0 END) AS kept, sum(CASE WHEN open AND fails[f] THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN NOT open AND fails[f] THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails[f] AND len(list_filter(map_values(fails), lambda v: v)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN open AND fails[f] THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN open AND fails[f] THEN toxic ELSE 0 END) AS toxic_lost
+    FROM (SELECT *, len(list_filter(before, lambda b: b <> '' AND fails[b])) = 0 AS open FROM masks, steps) GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM told"""
+
+# Each group against each kept term of its language, whether it has it or not.
+ORACLES["op11_source_divergence"] = rf"""
+WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_LETTERS}) AS text FROM documents),
+held AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS whole FROM held GROUP BY lang, term HAVING count(DISTINCT row) >= {divergence.DivergenceConfig.documents}),
+counts AS (SELECT lang, source, term, count(*) AS n FROM held SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(whole) AS HUGEINT) AS total FROM kept GROUP BY lang),
+groups AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(langs.total, 0) AS lang_total, coalesce(s.n, 0) AS total
+    FROM (SELECT DISTINCT lang, source FROM docs) AS g LEFT JOIN langs USING (lang) LEFT JOIN (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS n FROM counts GROUP BY ALL) AS s USING (lang, source)),
+shares AS (SELECT lang, groups.source, term, coalesce(counts.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(counts.n, 0) + 1) // (total + v) AS p,
+    1 + 1000000000::HUGEINT * (whole + 1) // (lang_total + v) AS q FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM shares AS x JOIN shares AS y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) AS d
+    ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.DivergenceConfig.top}"""

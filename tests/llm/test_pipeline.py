@@ -23,7 +23,7 @@ def test_same_rows_as_sql(spark, folder, name):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
 
 
 def test_stages_return_documents(spark, folder, odd, none):
