@@ -78,20 +78,21 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
 
 
 def _vantage(points: np.ndarray, distance: int) -> tuple[np.uint64, int] | None:
-    """A vantage point and radius that part the points, or None if none tried does: those far from the middle of the
-    points spread them most, and the radius is the one that leaves the fewest in the fuller branch."""
+    """A vantage point and radius that part the points, or None if none tried does.  What counts is the work of comparing
+    each branch with itself, the sum of both squares: it must fall, so that however much the branches of a dense cluster
+    overlap, all of them together never cost more than the points compared directly."""
     best = None
     tried = points[np.linspace(0, len(points) - 1, 5).astype(int)]
     far = points[np.argmax(np.bitwise_count(points ^ tried[2]))]
     for vantage in (far, *tried):
-        held = np.cumsum(np.bincount(np.bitwise_count(points ^ vantage), minlength=65))
+        held = np.cumsum(np.bincount(np.bitwise_count(points ^ vantage), minlength=65)).astype(float)
         inner = held[:64]  # within r
-        outer = len(points) - np.concatenate((np.zeros(distance, held.dtype), held))[:64]  # beyond r - distance
-        cost = np.maximum(inner, outer)
-        radius = int(np.argmin(cost))
-        if best is None or cost[radius] < best[0]:
-            best = int(cost[radius]), vantage, radius
-    return best[1:] if best[0] < 0.95 * len(points) else None
+        outer = len(points) - np.concatenate((np.zeros(distance), held))[:64]  # beyond r - distance
+        work = inner**2 + outer**2
+        radius = int(np.argmin(work))
+        if best is None or work[radius] < best[0]:
+            best = float(work[radius]), vantage, radius
+    return best[1:] if best[0] < 0.9 * len(points) ** 2 else None
 
 
 def _branches(points: np.ndarray, vantage: np.uint64, radius: int, distance: int) -> tuple[np.ndarray, np.ndarray]:

@@ -208,6 +208,18 @@ def test_near_fingerprints_of_odd_rows(spark, odd, none):
     assert simhash.near_fingerprints(none).count() == 0
 
 
+def test_dense_cluster_costs_no_more_than_direct_comparison():
+    """Thousands of points a few bits from each other, where every radius leaves much of them in both branches."""
+    import time
+
+    pick = np.random.default_rng(0)
+    bit = lambda n: np.uint64(1) << pick.integers(0, 64, n).astype(np.uint64)
+    points = np.unique(np.uint64(0x0123456789ABCDEF) ^ bit(9000) ^ bit(9000) ^ bit(9000))
+    begin = time.perf_counter()
+    roots = simhash.link_shard(points, simhash.SimConfig(leaf=64))
+    assert len(points) > 6000 and (roots == 0).all() and time.perf_counter() - begin < 20
+
+
 def test_text_in_blocks(monkeypatch):
     pick = random.Random(5)
     texts = ["".join(pick.choice("aB é 漢\t\n") for _ in range(n)) for n in (0, 1, 2, 7, 50, 900)] + [" ", "x" * 500, "one two"]
