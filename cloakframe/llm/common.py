@@ -40,17 +40,6 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-BATCH_CONF, DEFAULT_BATCH, SMALL_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "512"
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """Have the session send rows to Python 512 at a time where it has Spark's own default of 10,000: texts can be long,
-    and a batch is in the memory of both the executor and its worker.  A value set by the user stays."""
-    if df.sparkSession.conf.get(BATCH_CONF, DEFAULT_BATCH) == DEFAULT_BATCH:
-        df.sparkSession.conf.set(BATCH_CONF, SMALL_BATCH)
-    return df
-
-
 def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """The ``rows`` rows (or all) of lowest key hash.  A first cut by hash keeps about twice as many, so that no task
     orders more than a few of these however many there are."""

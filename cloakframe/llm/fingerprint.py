@@ -1,10 +1,11 @@
 """Document fingerprints: a homomorphic multiset hash.
 
-A text is the multiset of its paragraphs, long ones taken in pieces of eight words from their start.  Each piece is
-hashed to a wide vector: a count and four lanes over 64 bits, and 128 lanes of +1 or -1.  The fingerprint is the sum of
-the vectors, the first modulo 2**64, the others modulo 2**16.  So the order of paragraphs does not matter, equal multisets
-have equal fingerprints, a paragraph is put in or taken out by adding or subtracting its own fingerprint, and the
-difference of two fingerprints tells how much of the two multisets differs."""
+A text is the multiset of its paragraphs, the lines that are not empty.  Each whole paragraph is hashed, every byte of
+it, to a wide vector: a count and four lanes over 64 bits.  For likeness its words are also taken in pieces of eight, each
+of them 128 lanes of +1 or -1.  The fingerprint is the sum of all vectors, the first modulo 2**64, the others modulo 2**32.
+So the order of paragraphs does not matter, equal multisets have equal fingerprints and others different ones, a paragraph is
+put in or taken out by adding or subtracting its own fingerprint, and the difference of two fingerprints tells how much of
+the two multisets differs."""
 
 from __future__ import annotations
 
@@ -12,23 +13,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import small_batches, text_or_empty
+from .common import text_or_empty
 from .words import Texts, chunks, cut, mix64, powers, _BASE, _INVERSE, _byte_values
 
 _U = np.uint64
 PIECE_WORDS = 8
 WIDE = 4
 LANES = 128
-BYTES = 8 * (1 + WIDE) + 2 * LANES
+BYTES = 8 * (1 + WIDE) + 4 * LANES
+BLOCK = 1 << 15  # pieces whose lanes are added at a time
 _SALTS = mix64(np.arange(1, WIDE + 3, dtype=_U) * _U(0xA0761D6478BD642F))
 
 
-def _pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+def _span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span from running sums over all bytes, with the span's length."""
+    raw = (sums[ends] - sums[starts]) * powers(_INVERSE, len(sums))[starts]
+    return mix64(raw + mix64((ends - starts).astype(_U) * _U(0x9E3779B97F4A7C15)))
+
+
+def _paragraphs(texts: Texts, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every paragraph: what stands between line feeds, if anything."""
+    change = np.zeros(len(texts.data) + 1, bool)
+    feeds = np.flatnonzero(texts.data == 10)
+    change[feeds] = change[feeds + 1] = change[texts.offsets] = True
+    edges = np.flatnonzero(change)
+    starts, ends = edges[:-1], edges[1:]
+    filled = texts.data[starts] != 10
+    starts, ends = starts[filled], ends[filled]
+    return _span_hashes(sums, starts, ends), np.searchsorted(texts.offsets, starts, "right") - 1
+
+
+def _pieces(texts: Texts, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every piece, from its first word to its last with what stands between."""
     words = cut(texts)
     if not len(words.hashes):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    size = len(texts.data)
     feeds = np.concatenate(([0], np.cumsum(texts.data == 10)))
     owner = words.text_of()
     line = feeds[words.starts] + owner  # grows with every line feed and with every text
@@ -36,36 +55,40 @@ def _pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     number = np.arange(len(line)) - np.repeat(opens, np.diff(np.append(opens, len(line))))
     begin = np.flatnonzero(number % PIECE_WORDS == 0)
     last = np.append(begin[1:], len(line)) - 1
-    sums = np.zeros(size + 1, _U)
-    np.cumsum(_byte_values(False)[texts.data] * powers(_BASE, size), out=sums[1:])
-    starts = words.starts[begin]
-    return mix64((sums[words.ends[last]] - sums[starts]) * powers(_INVERSE, size)[starts]), owner[begin]
+    return _span_hashes(sums, words.starts[begin], words.ends[last]), owner[begin]
 
 
 def fingerprints(column: pa.Array) -> np.ndarray:
     """Fingerprints of a string column as rows of BYTES bytes; null is the empty text, all zeros."""
     out = np.zeros((len(column), BYTES), np.uint8)
     for at, texts in chunks(column):
-        hashes, owner = _pieces(texts)
+        if not len(texts.data):
+            continue
+        sums = np.zeros(len(texts.data) + 1, _U)
+        np.cumsum(_byte_values(False)[texts.data] * powers(_BASE, len(texts.data)), out=sums[1:])
+        hashes, owner = _paragraphs(texts, sums)
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
-        count = np.diff(first)
-        wide = [count.astype(_U)]
+        wide = [np.diff(first).astype(_U)]
         for salt in _SALTS[:WIDE]:
-            sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix64(hashes + salt), dtype=_U)))
-            wide.append(sums[first[1:]] - sums[first[:-1]])
-        bits = np.unpackbits(np.stack([mix64(hashes + salt) for salt in _SALTS[WIDE:]], axis=1).view(np.uint8), axis=1)
-        ones = np.zeros((len(hashes) + 1, LANES), np.int32)
-        np.cumsum(bits, axis=0, dtype=np.int32, out=ones[1:])
-        signs = (2 * (ones[first[1:]] - ones[first[:-1]]) - count[:, None]).astype(np.uint16)
+            added = np.concatenate((np.zeros(1, _U), np.cumsum(mix64(hashes + salt), dtype=_U)))
+            wide.append(added[first[1:]] - added[first[:-1]])
+        hashes, owner = _pieces(texts, sums)
+        signs = np.zeros((len(texts), LANES), np.int64)
+        for begin in range(0, len(hashes), BLOCK):
+            some, of = hashes[begin : begin + BLOCK], owner[begin : begin + BLOCK]
+            bits = np.unpackbits(np.stack([mix64(some + salt) for salt in _SALTS[WIDE:]], axis=1).view(np.uint8), axis=1)
+            opens = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            sizes = np.diff(np.append(opens, len(of)))
+            signs[of[opens]] += 2 * np.add.reduceat(bits, opens, axis=0, dtype=np.int64) - sizes[:, None]
         rows = out[at : at + len(texts)]
         rows[:, : 8 * (1 + WIDE)] = np.stack(wide, axis=1).view(np.uint8)
-        rows[:, 8 * (1 + WIDE) :] = signs.view(np.uint8)
+        rows[:, 8 * (1 + WIDE) :] = signs.astype(np.uint32).view(np.uint8)
     return out
 
 
 def _lanes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows = np.ascontiguousarray(rows)
-    return np.ascontiguousarray(rows[:, : 8 * (1 + WIDE)]).view(_U), np.ascontiguousarray(rows[:, 8 * (1 + WIDE) :]).view(np.uint16)
+    return np.ascontiguousarray(rows[:, : 8 * (1 + WIDE)]).view(_U), np.ascontiguousarray(rows[:, 8 * (1 + WIDE) :]).view(np.uint32)
 
 
 def merged(one: np.ndarray, other: np.ndarray, sign: int = 1) -> np.ndarray:
@@ -78,8 +101,8 @@ def merged(one: np.ndarray, other: np.ndarray, sign: int = 1) -> np.ndarray:
 def likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """1 for equal fingerprints, else 1 - |difference|^2 / (|one|^2 + |other|^2) over the narrow lanes, within 0..1:
     of two texts of equal length without repeats about the share of paragraphs they have in common."""
-    a, b = (_lanes(x)[1].view(np.int16) for x in (one, other))
-    apart = ((a - b).astype(float) ** 2).sum(axis=1)
+    a, b = (_lanes(x)[1].view(np.int32) for x in (one, other))
+    apart = ((a.astype(float) - b) ** 2).sum(axis=1)
     whole = (a.astype(float) ** 2).sum(axis=1) + (b.astype(float) ** 2).sum(axis=1)
     share = np.clip(1 - apart / np.maximum(whole, 1), 0, 1)
     return np.where((one == other).all(axis=1), 1.0, np.where(whole > 0, share, 0.0))
@@ -142,14 +165,15 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     start of the next document, or all it has; the last document's next is the first.  Null text is empty.  Rows are
     dealt out by ranges of doc_id, one shuffle of the texts; the first document of each range is also put at the end
     of the range before, so no window spans ranges.  Equal doc_ids stand in order of their content's hash, null ids come last, in
-    the same order.  A single document is its own next.  Other columns are left behind; no rows, no rows."""
+    the same order.  A single document is its own next; repeated rows are neighbours.  doc_id is a number.  Other columns
+    are left behind; no rows, no rows."""
     spark = docs.sparkSession
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
     own_content = F.xxhash64(text_or_empty("text"))
     without = ranges + 1 + 32 + F.shiftright(own_content, 58)  # null ids: 64 ranges of the content's hash
     placed = F.when(F.col("doc_id").isNotNull(), _range_of(F.col("doc_id"), sorted(set(cuts or [])))).otherwise(without)
-    texts = small_batches(docs).select(
+    texts = docs.select(
         "doc_id", text_or_empty("text").alias("text"), own_content.alias("__content"), placed.cast("int").alias("__range")
     )
     # The first document of each range: 64 more rows than there are shuffle partitions at most.

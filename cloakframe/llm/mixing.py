@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settle
@@ -151,6 +152,17 @@ def mixed(docs: DataFrame, **plan) -> DataFrame:
     )
 
 
+def with_stored_order(docs: DataFrame, into: str = "position") -> DataFrame:
+    """The rows with their place in a table as Spark wrote it: the number of the part times 2**40 plus the row in it.  Of a
+    range-sorted table, as :func:`mixed` makes it, that is its order, which a scan alone does not keep.  Rows that come from no
+    file are numbered in the order of their partitions.  A column named ``into`` is replaced."""
+    part = F.regexp_extract("_metadata.file_name", r"part-([0-9]+)", 1).cast("long")
+    try:
+        return docs.withColumn(into, F.shiftleft(part, 40) + F.col("_metadata.row_index"))
+    except AnalysisException:
+        return docs.withColumn(into, F.monotonically_increasing_id())
+
+
 def first_words(text: Column, count: Column) -> Column:
     """The text up to the end of its ``count``-th word."""
     words = F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)")), F.lit(1), count.cast("int"))

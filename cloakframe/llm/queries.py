@@ -91,14 +91,13 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LINES_SQL = f"""
-WITH lines AS (SELECT doc_id, source, i, trim(line) AS line, length(line) AS chars
+WITH lines AS (SELECT doc_id, source, i, trim(line) AS line
     FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
           FROM documents) AS cut
     WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 bad AS (SELECT line FROM lines GROUP BY line HAVING count(DISTINCT coalesce(source, chr(1))) >= {lines.LineConfig.sites}),
 marked AS (SELECT lines.*, bad.line IS NOT NULL AS gone FROM lines LEFT JOIN bad USING (line)),
-told AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS n_gone, list(i) FILTER (gone) AS places,
-    coalesce(sum(chars) FILTER (gone), 0) * 100 > sum(chars) * {lines.LineConfig.copied} AS whole FROM marked GROUP BY doc_id),
+told AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS n_gone, list(i) FILTER (gone) AS places, bool_and(gone) AS whole FROM marked GROUP BY doc_id),
 done AS (SELECT doc_id, source, coalesce(n, 0) AS n_lines, CASE WHEN whole THEN 0 ELSE coalesce(n_gone, 0) END AS n_removed,
     CASE WHEN whole OR places IS NULL THEN text ELSE array_to_string(list_transform(list_filter(
         list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1)), lambda z: NOT list_contains(places, z[2])),
@@ -110,8 +109,7 @@ SELECT doc_id, source, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIG
 
 @query(LINES_SQL)
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    # The SQL of this query leaves texts whole by share; the pipeline does not.
-    cleaned = lines.remove_boilerplate(table(spark, folder, "documents"), counts=True, by_share=True)
+    cleaned = lines.remove_boilerplate(table(spark, folder, "documents"), counts=True)
     return cleaned.select(
         "doc_id", "source", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_kept_chars"),
         F.md5(F.col("text").cast("binary")).alias("kept_md5"),
@@ -199,38 +197,36 @@ FROM sets JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
 
 
 def _urls_sql() -> str:
-    """urls.judge_urls over the tables, level by level."""
+    """urls.judge_urls over the tables: a page goes down level by level until its node cannot be parted."""
     c = urls.UrlConfig()
     number = r"TRY_CAST(nullif(regexp_extract(url, '/([0-9]{1,18})[^/0-9?#]*/?([?#].*)?$', 1), '') AS BIGINT)"
-    parts = [f"""split AS (SELECT page_id, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {_LETTERS}) AS host,
-        regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, {number} AS doc_id FROM pages),
-    named AS (SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, good FROM split
-        LEFT JOIN (SELECT doc_id, min(quality) AS good FROM labels GROUP BY doc_id) AS g USING (doc_id)),
-    level0 AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, '' AS template FROM named)"""]
     shape = r"""CASE WHEN regexp_matches(stem, '^[0-9]+$') THEN '{0}' WHEN regexp_matches(stem, '[0-9]') THEN '{a0}' ELSE '{a}' END || ending"""
-    for i in range(c.depth):
-        parts.append(f"""shaped{i} AS (SELECT *, {shape} AS shape FROM (SELECT *, segments[{i + 1}] AS segment, regexp_replace(segments[{i + 1}], '\\.[A-Za-z]{{1,5}}$', '') AS stem,
-            regexp_extract(segments[{i + 1}], '(\\.[A-Za-z]{{1,5}})$', 1) AS ending FROM level{i}))""")
-        for by in ("segment", "shape"):
-            parts.append(f"""{by}{i} AS (SELECT host, template, {by} FROM (SELECT *, sum(m) OVER node AS all_m, sum(g) OVER node AS all_g FROM
-                (SELECT host, template, {by}, count(*) AS m, sum(good) AS g FROM shaped{i} WHERE segment IS NOT NULL AND good IS NOT NULL GROUP BY ALL)
-                WINDOW node AS (PARTITION BY host, template)) WHERE m >= {c.support} AND all_m > m
-                AND abs(g / m - all_g / all_m) > CAST({c.apart} AS DOUBLE) * sqrt(all_g / all_m * (1 - all_g / all_m) * (CAST(1.0 AS DOUBLE) / m)))""")
-        parts.append(f"""level{i + 1} AS (SELECT page_id, host, path, good, segments, template || CASE WHEN segment IS NULL THEN ''
-            WHEN EXISTS (SELECT 1 FROM segment{i} AS k WHERE k.host = s.host AND k.template = s.template AND k.segment = s.segment) THEN '/' || segment
-            WHEN EXISTS (SELECT 1 FROM shape{i} AS k WHERE k.host = s.host AND k.template = s.template AND k.shape = s.shape) THEN '/' || shape
-            ELSE '/*' END AS template FROM shaped{i} AS s)""")
+    counts = ", ".join(
+        f"count(good) OVER (PARTITION BY host, template{by}) AS {n}_m, sum(good) OVER (PARTITION BY host, template{by}) AS {n}_g"
+        for n, by in (("all", ""), ("name", ", segment"), ("shape", ", shape"))
+    )
+    apart = lambda n: (
+        f"{n}_m >= {c.support} AND all_m > {n}_m AND abs({n}_g / {n}_m - all_g / all_m) > CAST({c.apart} AS DOUBLE) * sqrt(all_g / all_m * (1 - all_g / all_m) * (CAST(1.0 AS DOUBLE) / {n}_m))"
+    )
     fits = " ".join(
         f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'"
         for r in sorted(urls.RULES, key=lambda r: -len(r.name))
     )
     allowed = " ".join(f"WHEN '{r.name}' THEN {str(r.allow).lower()}" for r in urls.RULES)
-    parts.append(f"""placed AS (SELECT page_id, host, path, good, template || CASE WHEN len(segments) > {c.depth} THEN '/**' ELSE '' END AS template,
-        CASE {fits} END AS rule FROM level{c.depth}),
+    return f"""WITH RECURSIVE split AS (SELECT page_id, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {_LETTERS}) AS host,
+        regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, {number} AS doc_id FROM pages),
+    named AS (SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, good FROM split
+        LEFT JOIN (SELECT doc_id, min(quality) AS good FROM labels GROUP BY doc_id) AS g USING (doc_id)),
+    walk AS (SELECT page_id, host, path, good, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, 0 AS level, '' AS template, false AS ended FROM named
+        UNION ALL SELECT page_id, host, path, good, segments, level + 1, template || CASE WHEN NOT parted THEN repeat('/*', len(segments) - level)
+            WHEN {apart("name")} THEN '/' || segment WHEN {apart("shape")} THEN '/' || shape ELSE '/*' END, NOT parted
+        FROM (SELECT *, all_m > {c.support} AND all_g > 0 AND all_g < all_m AS parted FROM (SELECT *, {counts} FROM (SELECT *, {shape} AS shape FROM (
+            SELECT *, segments[level + 1] AS segment, regexp_replace(segments[level + 1], '\\.[A-Za-z]{{1,5}}$', '') AS stem, regexp_extract(segments[level + 1], '(\\.[A-Za-z]{{1,5}})$', 1) AS ending
+            FROM walk WHERE NOT ended AND level < len(segments)))))),
+    placed AS (SELECT page_id, host, path, good, template, CASE {fits} END AS rule FROM walk WHERE ended OR level = len(segments)),
     judged AS (SELECT *, (coalesce(sum(good) OVER node, 0) + {c.prior} * coalesce(avg(good) OVER (), 1)) / (count(good) OVER node + {c.prior}) >= {c.purity} AS pure
-        FROM placed WINDOW node AS (PARTITION BY host, template))""")
-    return f"""WITH {', '.join(parts)} SELECT page_id, host, path, template, rule,
-        CASE WHEN coalesce(CASE rule {allowed} END, pure) THEN 'allow' ELSE 'block' END AS verdict FROM judged"""
+        FROM placed WINDOW node AS (PARTITION BY host, template))
+    SELECT page_id, host, path, template, rule, CASE WHEN coalesce(CASE rule {allowed} END, pure) THEN 'allow' ELSE 'block' END AS verdict FROM judged"""
 
 
 ORACLES["op2_url_filters"] = _urls_sql()

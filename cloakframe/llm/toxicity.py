@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, bounded_sample, small_batches
+from .common import Scratch, bounded_sample
 from .words import Texts, chunks, cut, mix64, powers, _BASE, _INVERSE, _byte_values
 
 _U = np.uint64
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     scratch = Scratch(docs.sparkSession)
     sample = scratch.settle(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", F.monotonically_increasing_id().alias("row")), "labelled")
 
-    counted = small_batches(sample).select("text", "label", F.xxhash64("doc_id").alias("mark")).mapInArrow(
+    counted = sample.select("text", "label", F.xxhash64("doc_id").alias("mark")).mapInArrow(
         lambda it: _frequencies(it, config), "bucket long, clean long, toxic long, mark long"
     )
     held = counted.groupBy("bucket").agg(
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
         order = np.argsort(row)
         by_row, every = (row[order], off[order], spread[order]), where(np.arange(len(members)))
         many, beginnings = len(members), config.beginnings
-        ceilings = small_batches(sample).select("row", "text").mapInArrow(
+        ceilings = sample.select("row", "text").mapInArrow(
             lambda it: _ceilings(it, every, beginnings, many, *by_row), "term long, below double, above double"
         )
         ceilings = ceilings.groupBy("term").agg(F.sum("below").alias("below"), F.sum("above").alias("above"))
@@ -318,4 +318,4 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 x, _ = _machine(owner, term, len(texts), model.bias, model.weights, model.factors)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), pa.array(_chance(x))], ["doc_id", "score"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")

@@ -1,15 +1,17 @@
-"""SentencePiece encoding and decoding by a weighted finite-state transducer.
+"""SentencePiece encoding and decoding by weighted finite-state transducers.
 
-A model compiles to three machines.  The normaliser writes the space mark for spaces and in front of the text.  The
-lexicon, a trie, reads characters and writes pieces; characters that no piece holds are read by the byte fallback.
-The third says what a path weighs in the tropical semiring (smallest sum wins): for a unigram model each piece weighs
-minus its score; for a BPE model a pair of neighbouring pieces weighs nothing if merging their joint text gives just
-these two, and infinitely much if not.  A segmentation is what the merges produce exactly if all its neighbours are
-such pairs, so one path has finite weight, and it is the BPE encoding.
+A model compiles to machines.  The normaliser rewrites characters by the model's character map, longest match first,
+and writes the space mark for spaces and in front of the text.  The lexicon reads characters and writes pieces; beside
+it the byte fallback reads a character that no piece holds and writes its bytes, or the unknown piece, at a weight above any path
+of pieces.  The last machine says what neighbours weigh in the tropical semiring (smallest sum wins): for a unigram
+model each piece weighs minus its score; for a BPE model a pair of neighbouring pieces weighs nothing if merging their joint
+text gives just these two, and infinitely much if not.  A segmentation is what the merges produce exactly if all its
+neighbours are such pairs, so one path has finite weight, and it is the BPE encoding.
 
-Encoding composes the machines with an input and takes the shortest path.  Where no piece holds the space mark after
-another character, an input falls into independent parts at spaces (and before stops that no piece joins to a
-letter); parts met before come from a bounded memory."""
+Encoding composes the machines with an input, state by state as the input is read, and takes the shortest path; the
+work is in proportion to the input times the longest piece.  Where no piece holds the space mark after another character, an
+input falls into independent parts at spaces (and before stops that no piece joins to a letter); parts met before come
+from a bounded memory."""
 
 from __future__ import annotations
 
@@ -23,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
 
 #: Fixed by the model format: the space mark, kinds of models and of pieces.
 MARK = "▁"
@@ -61,9 +62,66 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def _character_map(blob: bytes) -> tuple[tuple[str, str], ...]:
+    """(what is read, what is written) of a model's packed character map: a double array over UTF-8 bytes, whose leaves
+    are places in the text behind it."""
+    size = struct.unpack_from("<I", blob)[0]
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+    bytes_, offset = np.arange(1, 256), ((units >> 10) << ((units & 512) >> 6))
+    rules, waiting = [], [(int(offset[0]), b"")]
+    while waiting:
+        base, read = waiting.pop()
+        places = base ^ bytes_
+        inside = places[places < len(units)]
+        for at in inside[units[inside] & 0x800000FF == base ^ inside].tolist():
+            key, below = read + bytes([base ^ at]), at ^ int(offset[at])
+            if units[at] >> 8 & 1:
+                begin = int(units[below] & 0x7FFFFFFF)
+                rules.append((key.decode(), texts[begin : texts.index(b"\0", begin)].decode()))
+            waiting.append((below, key))
+    return tuple(sorted(rules))
+
+
+class Machine:
+    """A transducer with one initial and final state: from it a trie of readings, each with what it writes.  Of the
+    readings that fit an input at a place the longest is taken; a character that none begins with is written as it is."""
+
+    def __init__(self, rules: Iterable[tuple[str, str]]):
+        self.single = {ord(read): write for read, write in rules if len(read) == 1}
+        self.trie: dict = {}
+        for read, write in rules:
+            node = self.trie
+            for c in read:
+                node = node.setdefault(c, {})
+            node[""] = write
+        first = {read[0] for read, _ in rules if len(read) > 1}
+        # only where a longer reading may begin does an input leave the one-character arcs
+        self.branching = re.compile(f"[{re.escape(''.join(sorted(first)))}]") if first else None
+
+    def _longest(self, text: str, at: int) -> tuple[int, str]:
+        """(end, what is written) of the longest reading at a place."""
+        node, end, write, place = self.trie, at + 1, text[at], at
+        while place < len(text) and (node := node.get(text[place])) is not None:
+            place += 1
+            if "" in node:
+                end, write = place, node[""]
+        return end, write
+
+    def write(self, text: str) -> str:
+        """The output of the composition with ``text``."""
+        if self.branching is None:
+            return text.translate(self.single) if self.single else text
+        out, at = [], 0
+        while found := self.branching.search(text, at):
+            out.append(text[at : found.start()].translate(self.single))
+            at, write = self._longest(text, found.start())
+            out.append(write)
+        return "".join([*out, text[at:].translate(self.single)])
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """What the transducer is compiled from; small (a row a piece), so it is sent to every worker as it is."""
+    """What the machines are compiled from; small (a row a piece), so it is sent to every worker as it is."""
 
     pieces: tuple[str, ...]
     scores: tuple[float, ...]
@@ -71,6 +129,7 @@ class Vocabulary:
     kind: int
     dummy_prefix: bool
     squeeze: bool
+    characters: tuple[tuple[str, str], ...] = ()
 
     @classmethod
     def read(cls, path: str = MODEL) -> Vocabulary:
@@ -87,12 +146,11 @@ class Vocabulary:
                 trainer = dict(_fields(value))
             elif number == 3:
                 normalizer = dict(_fields(value))
-        if normalizer.get(2):
-            raise ValueError("models with a character map are not supported")
         if trainer.get(3, UNIGRAM) not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
         return cls(
-            tuple(pieces), tuple(scores), tuple(kinds), trainer.get(3, UNIGRAM), bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1))
+            tuple(pieces), tuple(scores), tuple(kinds), trainer.get(3, UNIGRAM), bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1)),
+            _character_map(normalizer[2]) if normalizer.get(2) else (),
         )
 
 
@@ -109,6 +167,8 @@ class Transducer:
         self.ids = {p: i for i, p in enumerate(v.pieces) if v.kinds[i] in (NORMAL, USER)}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(v.pieces) if v.kinds[i] == BYTE}
         self.unknown = next((i for i, k in enumerate(v.kinds) if k == UNKNOWN), 0)
+        self.normaliser, self.marks = Machine(v.characters), Machine([(" ", MARK)])
+        self.longest = max(map(len, self.ids), default=1)
         self.lexicon: dict = {}
         for piece, i in self.ids.items():
             node = self.lexicon
@@ -132,11 +192,16 @@ class Transducer:
         ]
 
     def normalise(self, text: str) -> str:
-        if self.vocabulary.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
+        """What the lexicon reads: the text through the character map, spaces as marks, squeezed if the model says so."""
         if not text:
             return ""
-        return ((" " if self.vocabulary.dummy_prefix else "") + text).replace(" ", MARK)
+        text = self.normaliser.write(text)
+        if self.vocabulary.squeeze:
+            text = " ".join(x for x in text.split(" ") if x)
+            if not text:
+                return ""
+        marked = (MARK if self.vocabulary.dummy_prefix else "") + self.marks.write(text)
+        return marked.rstrip(MARK) if self.vocabulary.squeeze else marked
 
     def merged(self, text: str) -> list[int]:
         """BPE by its definition: of all neighbours whose join is a piece the best scored, leftmost first."""
@@ -178,14 +243,14 @@ class Transducer:
 
     def _only_path(self, part: str) -> tuple[list, list[int]]:
         """Last piece and its begin on the one path of weight zero to each place (BPE)."""
-        size, pairs = len(part), self._pairs
+        size, pairs, longest = len(part), self._pairs, self.longest
         last: list = [None] * (size + 1)
         last[0] = -1
         begin = [0] * (size + 1)
         for i in range(size):
             after, node, j = last[i], self.lexicon, i
             key = after << 32
-            for c in part[i:]:
+            for c in part[i : i + longest]:
                 node = node.get(c)
                 if node is None:
                     break
@@ -281,7 +346,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, .
     """Columns ``keep`` of every document with n_tokens and, as asked for, the token ids (array<int>) or their
     digest: ids_md5 (over little-endian 32-bit ids), n_chars and ``exact`` (decoding gives the text back, which only a
     text with the space mark itself, or one whose spaces the model squeezes, does not).  Null text counts as empty:
-    no tokens.  Repeated rows agree; columns not in ``keep`` are left behind.  One pass, no shuffle."""
+    no tokens.  Repeated rows agree, no rows give none; columns not in ``keep`` are left behind.  One pass, no shuffle."""
     added = [("n_tokens", "long")] + [("ids", "array<int>")] * ids + [("n_chars", "long"), ("ids_md5", "string"), ("exact", "boolean")] * digest
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} {t}" for n, t in added])
 
@@ -305,18 +370,19 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, .
                     ]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *(n for n, _ in added)])
 
-    return small_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(encoded, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(encoded, schema)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
-    """The rows with ``text`` instead of the ids; null ids give null."""
+    """The rows with ``text`` instead of the ids; null ids give null, none the empty text.  Other columns stay, but for one
+    named text.  Repeated rows agree, no rows give none."""
     kept = [c for c in encoded.columns if c not in (ids, "text")]
     schema = ", ".join([f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept] + ["text string"])
 
     def decoded(batches):
         machine = _Workers.transducer(vocabulary)
-        for batch in batches:
+        for batch in (whole.slice(begin, PIECE_TEXTS) for whole in batches for begin in range(0, whole.num_rows, PIECE_TEXTS)):
             texts = [None if x is None else machine.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
-    return small_batches(encoded).select(*kept, ids).mapInArrow(decoded, schema)
+    return encoded.select(*kept, ids).mapInArrow(decoded, schema)

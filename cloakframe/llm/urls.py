@@ -3,25 +3,25 @@
 For each host the segments of its paths form a tree.  Level by level a segment is kept as it is only if it is
 frequent and its labels differ from those of all branches beside it; else its shape (digits, text, ending) is kept
 under the same condition; else it becomes the wildcard ``*``, merged with all branches that are statistically alike.
-What remains are templates, each judged by its smoothed share of good labels."""
+What remains are templates, each judged by its smoothed share of good labels.  Levels go on as long as the data have a
+node that can still be parted; below one that cannot, every further segment is a wildcard."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import settle
+from .common import Scratch
 
 
 @dataclass(frozen=True)
 class UrlConfig:
-    """``depth`` levels of segments, all beyond are one segment of the shape ``**``.  A branch of ``support`` labelled
-    pages or more whose share of good labels is ``apart`` standard errors from its siblings' is kept.  A template is
-    rejected if (good + prior * overall share) / (labelled + prior) is below ``purity``."""
+    """A branch of ``support`` labelled pages or more whose share of good labels is ``apart`` standard errors from its
+    siblings' is kept.  A template is rejected if (good + prior * overall share) / (labelled + prior) is below ``purity``."""
 
-    depth: int = 4
     support: int = 20
     apart: float = 2.58
     prior: float = 20.0
@@ -85,28 +85,40 @@ def _apart(of: DataFrame, by: list[str], config: UrlConfig) -> DataFrame:
     return frequent.join(nodes, ["host", "template"]).where(siblings & differs).select("host", "template", *by)
 
 
-def templates(urls: DataFrame, config: UrlConfig = UrlConfig()) -> DataFrame:
-    """(page_id, host, path, good) -> the same with ``template``.  ``good`` is 1, 0 or null (no label)."""
+def templates(urls: DataFrame, config: UrlConfig = UrlConfig(), scratch: Scratch | None = None) -> DataFrame:
+    """(page_id, host, path, good) -> the same with ``template``.  ``good`` is 1, 0 or null (no label).
+
+    A node can be parted while more than ``support`` labelled pages go on below it and their labels differ; a level is
+    one round over the pages of such nodes alone, and there are as many rounds as the data have levels of them.  Of a
+    path that does not go on in such a node each segment left becomes ``*``."""
+    scratch = scratch or Scratch(urls.sparkSession)
     segments = F.filter(F.split(F.col("path"), "/"), lambda s: s != "")
-    many = F.size(segments) > config.depth
-    cut = F.when(many, F.concat(F.slice(segments, 1, config.depth), F.array(F.lit("**")))).otherwise(segments)
-    rows = urls.withColumn("segments", cut).withColumn("template", F.lit(""))
-    for level in range(config.depth):
+    rows = urls.withColumns({"segments": segments, "template": F.lit("")})
+    level, done, own = 0, [], ["page_id", "host", "path", "good", "template"]
+    while True:
         here = rows.withColumn("segment", F.get("segments", F.lit(level))).withColumn("shape", _shape(F.col("segment")))
-        here = settle(here, f"level{level}")
+        here = scratch.settle(here, "level")
         inner = here.where(F.col("segment").isNotNull())
-        literal = settle(_apart(inner, ["segment"], config).withColumn("by_name", F.lit(True)), "literal")
-        shapes = settle(_apart(inner, ["shape"], config).withColumn("by_shape", F.lit(True)), "shapes")
-        joined = here.join(literal, ["host", "template", "segment"], "left").join(shapes, ["host", "template", "shape"], "left")
+        nodes = inner.groupBy("host", "template").agg(F.count("good").alias("all_m"), F.sum("good").alias("all_g"))
+        nodes = scratch.settle(nodes.where((F.col("all_m") > config.support) & (F.col("all_g") > 0) & (F.col("all_g") < F.col("all_m"))).select("host", "template"), "nodes")
+        left = F.concat("template", F.repeat(F.lit("/*"), F.size("segments") - level))
+        done.append(here.join(nodes, ["host", "template"], "left_anti").withColumn("template", left).select(own))
+        done[-1] = done[-1].unionByName(here.join(nodes, ["host", "template"], "left_semi").where(F.col("segment").isNull()).select(own))
+        if nodes.isEmpty():
+            break
+        open_rows = inner.join(nodes, ["host", "template"], "left_semi")
+        literal = scratch.settle(_apart(open_rows, ["segment"], config).withColumn("by_name", F.lit(True)), "literal")
+        shapes = scratch.settle(_apart(open_rows, ["shape"], config).withColumn("by_shape", F.lit(True)), "shapes")
+        joined = open_rows.join(literal, ["host", "template", "segment"], "left").join(shapes, ["host", "template", "shape"], "left")
         step = (
-            F.when(F.col("segment").isNull(), F.lit(""))
-            .when(F.col("by_name"), F.concat(F.lit("/"), "segment"))
+            F.when(F.col("by_name"), F.concat(F.lit("/"), "segment"))
             .when(F.col("by_shape"), F.concat(F.lit("/"), "shape"))
             .otherwise(F.lit("/*"))
         )
-        rows = joined.withColumn("template", F.concat("template", step)).select(*rows.columns)
-    deeper = F.when(F.size("segments") > config.depth, F.lit("/**")).otherwise(F.lit(""))
-    return settle(rows.withColumn("template", F.concat("template", deeper)).drop("segments"), "templates")
+        rows, level = joined.withColumn("template", F.concat("template", step)).select(*own, "segments"), level + 1
+    placed = scratch.settle(reduce(DataFrame.unionByName, done), "templates")
+    scratch.drop("level", "nodes", "literal", "shapes")
+    return placed
 
 
 def judge_urls(
@@ -117,11 +129,12 @@ def judge_urls(
     Without labels nothing but the rules rejects.  Repeated rows agree.  Other columns are left behind."""
     one_each = labels.where("page_id IS NOT NULL AND good IS NOT NULL").groupBy("page_id").agg(F.min("good").cast("int").alias("good"))
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).join(one_each, "page_id", "left")
-    placed = templates(urls, config)
+    scratch = Scratch(pages.sparkSession)
+    placed = templates(urls, config, scratch)
     counted = placed.groupBy("host", "template").agg(F.count("good").alias("m"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"))
     overall = placed.agg(F.coalesce(F.avg("good"), F.lit(1.0))).first()[0]
     purity = (F.col("g") + F.lit(config.prior * overall)) / (F.col("m") + F.lit(config.prior))
-    judged = settle(counted.select("host", "template", (purity >= config.purity).alias("pure")), "purity")
+    judged = scratch.settle(counted.select("host", "template", (purity >= config.purity).alias("pure")), "purity")
     rows = placed.join(judged, ["host", "template"]).withColumn("rule", match_rule(F.col("host"), F.col("path"), rules))
     allowed = F.lit(None).cast("boolean")
     for rule in rules:

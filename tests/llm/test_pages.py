@@ -149,8 +149,8 @@ def brute_urls(pages, labels, config=urls.UrlConfig()):
     for page, url in pages:
         host, path = split(url)
         cut = [s for s in path.split("/") if s]
-        rows.append([page, host, path, cut[: config.depth] + ["**"] * (len(cut) > config.depth), "", good.get(page)])
-    for level in range(config.depth):
+        rows.append([page, host, path, cut, "", good.get(page)])
+    for level in range(max((len(r[3]) for r in rows), default=0)):
         def apart(key):
             branch, node = defaultdict(list), defaultdict(list)
             for r in rows:
@@ -176,7 +176,6 @@ def brute_urls(pages, labels, config=urls.UrlConfig()):
             r[4] += r.pop()
     held = defaultdict(list)
     for r in rows:
-        r[4] += "/**" if len(r[3]) > config.depth else ""
         held[r[1], r[4]] += [r[5]] if r[5] is not None else []
     every = [r[5] for r in rows if r[5] is not None]
     overall = sum(every) / len(every) if every else 1.0
@@ -209,6 +208,20 @@ def test_templates_against_brute_force(spark):
     assert {v for _, h, p, t, _, v in got if p.startswith("/blog/")} == {"allow"}
 
 
+def test_deep_branches_are_parted(spark):
+    """Good and bad pages that differ in their tenth segment alone, and one very long url."""
+    stem = "http://deep.example/" + "/".join(f"s{i}" for i in range(9))
+    pages = [(i, f"{stem}/{'good' if i % 2 else 'bad'}/x/{i}") for i in range(300)]
+    pages.append((300, "http://deep.example/" + "seg/" * 20_000))
+    labels = [(i, i % 2) for i in range(280)]
+    frames = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int")
+    rows = {r.page_id: r for r in urls.judge_urls(*frames).collect()}
+    assert all(rows[i].verdict == ("allow" if i % 2 else "block") for i in range(300))
+    assert rows[299].template == "/*" * 9 + "/good/*/*" and rows[300].template == "/*" * 20_000
+    brute = brute_urls(pages[:300], labels)
+    assert sorted((tuple(r) for i, r in rows.items() if i < 300), key=repr) == sorted(((p, h, path, t, r, v) for p, h, path, t, r, v in brute), key=repr)
+
+
 def test_no_pages_no_labels(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     labels = spark.createDataFrame([], "page_id long, good int")

@@ -162,6 +162,45 @@ def test_fingerprints_are_homomorphic(spark):
     assert fp.likeness(of(a), of(a))[0] == 1 and fp.likeness(of(""), of(a))[0] == 0
 
 
+def plain_fingerprint(text):
+    """(multiset of paragraphs, multiset of pieces) of a text."""
+    paragraphs = Counter(p for p in text.split("\n") if p)
+    pieces = Counter()
+    for line in text.split("\n"):
+        found = list(brute.WORD.finditer(line))
+        pieces.update(line[found[i].start() : found[min(i + 7, len(found) - 1)].end()] for i in range(0, len(found), 8))
+    return paragraphs, pieces
+
+
+def test_fingerprints_are_equal_just_for_equal_multisets():
+    """Against sums made by plain Python of single paragraphs and pieces; orders, cuts and white space tell apart."""
+    draw = random.Random(8)
+    eight = lambda: " ".join(f"w{draw.randrange(50)}" for _ in range(8))
+    a, b = eight(), eight()
+    texts = ["", a, f"{a} {b}", f"{b} {a}", f"{a}\n{b}", f"{b}\n{a}", f"{a}  {b}", f"{a}\t{b}", f"{a}\n\n{b}", f"{a} {b} ", " ", "x", "x\nx", "é漢\n漢é"]
+    texts += ["\n".join(draw.choices([a, b, "x", " ", "", "y z"], k=draw.randrange(12))) for _ in range(200)]
+    prints = fp.fingerprints(pa.array(texts))
+    of = {}
+    for text, row in zip(texts, prints):
+        paragraphs, pieces = plain_fingerprint(text)
+        assert of.setdefault(frozenset(paragraphs.items()), row.tobytes()) == row.tobytes()
+        wide, lanes = fp._lanes(row[None])
+        assert wide[0, 0] == sum(paragraphs.values())
+        alone = fp._lanes(fp.fingerprints(pa.array(list(paragraphs) or [""])))[0]
+        assert (wide[0] == sum((alone[i] * np.uint64(n) for i, n in enumerate(paragraphs.values())), np.zeros(1 + fp.WIDE, np.uint64))).all()
+        alone = fp._lanes(fp.fingerprints(pa.array(list(pieces) or [""])))[1].view(np.int32)
+        assert (lanes.view(np.int32)[0] == sum((alone[i] * n for i, n in enumerate(pieces.values())), np.zeros(fp.LANES, np.int32))).all()
+    assert len(set(of.values())) == len(of)
+
+
+@pytest.mark.parametrize("times", [1 << 15, 1 << 16, 1 << 17])
+def test_likeness_of_long_repetitive_texts(times):
+    line = "the same line again\n"
+    text, longer = line * times, line * (times + 1)
+    one, two, edited = fp.fingerprints(pa.array([text, longer, text[: len(text) * 3 // 4] + "another line here\n" * (times // 4)]))[:, None]
+    assert fp.likeness(one, two)[0] > 0.999 and 0.5 < fp.likeness(one, edited)[0] < 1 and (one != two).any()
+
+
 def test_likeness_estimates_the_common_share():
     draw = random.Random(1)
     parts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(6)) for _ in range(400)]
@@ -192,6 +231,14 @@ def test_short_pages_lose_boilerplate_and_copies_stay(spark):
     assert told == {i: (f"Own {i}.\n", 2) for i in range(18)} | {d: (t, 0) for d, t, _ in copies}
 
 
+def test_text_of_many_boilerplate_lines(spark):
+    """A hundred thousand shared lines in one text cost one pass over it, not one for each line."""
+    shared = [f"shared line number {i}" for i in range(100_000)]
+    docs = [(i, "\n".join([f"own line of {i}", *shared, "", f"own end of {i}"]), f"site{i}") for i in range(5)]
+    rows = lines.remove_boilerplate(spark.createDataFrame(docs, "doc_id long, text string, source string"), counts=True).collect()
+    assert {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in rows} == {(i, f"own line of {i}\n\nown end of {i}", 100_002, 100_000) for i in range(5)}
+
+
 def test_far_and_near_counts_agree_with_exact_ones(spark):
     """Lines on 1 to 60 sites: sketches and exact counts together decide as exact counts would."""
     rows = [(i * 100 + s, f"{PROSE} {i} {s}\nshared line number {i}", f"site{s}") for i in range(1, 61) for s in range(i)]
@@ -247,11 +294,14 @@ def test_large_group_of_near_copies_by_prefix_join(spark):
     assert kept == {d for d, (_, c) in want.items() if d == c}
 
 
-def test_near_odd_and_empty(odd, none):
+def test_near_odd_and_empty(spark, odd, none):
     rows = near.near_groups(odd).collect()
     assert len(rows) == odd.count()
     of = {r.doc_id: r for r in rows}
     assert of[6].component_id == 5 and not of[6].kept and of[5].kept and of[1].component_id == 1 and of[1].n_shingles == 0
+    twins = [(1, PROSE), (1, PROSE), (1, PROSE + " more"), (2, PROSE), (3, "other words"), (3, None), (3, None), (None, PROSE)]
+    left = near.keep_one(spark.createDataFrame(twins, "doc_id long, text string")).collect()
+    assert len(left) == 3 and [r.doc_id for r in left].count(1) == 1 and {(r.doc_id, r.text) for r in left} > {(3, "other words"), (3, None)}
     kept = near.keep_one(odd)
     assert kept.columns == odd.columns and 6 not in {r.doc_id for r in kept.collect()}
     assert near.near_groups(none).count() == 0 and near.keep_one(none).count() == 0
@@ -287,6 +337,47 @@ def test_tokens_equal_the_library(spark, folder, documents):
     assert all(r.n_tokens == len(machine.encode(of[r.doc_id])) for r in rows)
 
 
+def _field(number, value):
+    """A protocol-buffer field of bytes."""
+    size, out = len(value), b""
+    while size > 127:
+        out, size = out + bytes([size & 127 | 128]), size >> 7
+    return bytes([number << 3 | 2]) + out + bytes([size]) + value
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_character_maps_equal_the_library(tmp_path, documents, squeeze):
+    """The given pieces behind the library's own rule set, which reads several characters at a time."""
+    with open(transducer.MODEL, "rb") as file:
+        data = file.read()
+    rules = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    packed = dict(transducer._fields(next(v for k, v in transducer._fields(rules) if k == 3)))[2]
+    spec = _field(2, packed) + bytes([3 << 3, 1, 4 << 3, squeeze])
+    model = tmp_path / "mapped.model"
+    model.write_bytes(data + _field(3, spec))  # a later field is merged into the earlier one
+    library = sentencepiece.SentencePieceProcessor(model_file=str(model))
+    machine, draw = transducer.Transducer(transducer.Vocabulary.read(str(model))), random.Random(4)
+    letters = "ab  \n\t\u00a0\u3000▁Ａﬁ①¨é漢が\u3099か\u0301e\u200b½\u1100\u1161각x.,"
+    texts = [t or "" for _, t, _ in documents][:60] + ["".join(draw.choices(letters, k=draw.randrange(40))) for _ in range(1500)] + [" ", "\u200b", "  ▁ "]
+    assert len(machine.vocabulary.characters) > 1000
+    for text in texts:
+        assert machine.encode(text).tolist() == library.encode(text), repr(text)
+
+
+def test_long_part_without_spaces():
+    """A megabyte without a space is one part; twice the text takes about twice the time."""
+    import time
+
+    machine, draw = transducer.Transducer(transducer.Vocabulary.read()), random.Random(2)
+    library = sentencepiece.SentencePieceProcessor(model_file=transducer.MODEL)
+    text = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz漢字0123456789+/", k=1_000_000))
+    machine.encode(text[:20_000])
+    begin = time.perf_counter()
+    ids = machine.encode(text)
+    assert time.perf_counter() - begin < 30
+    assert machine.encode(text[:3_000]).tolist() == library.encode(text[:3_000]) and machine.decode(ids.tolist()) == text
+
+
 def test_unigram_weights_take_the_lightest_path():
     pieces = ["<unk>", "▁", "a", "b", "ab", "▁a", "▁ab", "abb"]
     scores = [0.0, -3.0, -2.0, -2.0, -2.5, -2.2, -5.0, -9.0]
