@@ -11,13 +11,16 @@ whose groups are single documents.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fpe
+from ..functions.checks import CHECKS
 from ..functions.detect import ALPHABET_OF, ENTITY_ELEMENTS, TextConfig
 from ..functions.keys import TokenKey, key_or_session
 
@@ -30,16 +33,62 @@ _SPAN_ARROW = pa.list_(
 )
 
 
+class _Terms:
+    """The term lists of all rules as one Aho-Corasick automaton, built once a worker and searched in one pass."""
+
+    def __init__(self, lists: tuple[tuple[int, tuple[str, ...]], ...]):
+        self.automaton, held = ahocorasick.Automaton(), {}
+        for rule, terms in lists:
+            for term in terms:
+                held.setdefault(term, []).append(rule)
+        for term, rules in held.items():
+            self.automaton.add_word(term, (len(term), rules))
+        self.automaton.make_automaton()
+
+    def find(self, text: str) -> dict[int, list[tuple[int, int]]]:
+        """Spans by rule, in text order: whole words, of those that overlap the first, and of those that begin together the longest."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        for last, (size, rules) in self.automaton.iter(text):
+            start, end = last + 1 - size, last + 1
+            if not (start and _in_word(text[start - 1]) or end < len(text) and _in_word(text[end])):
+                for rule in rules:
+                    found.setdefault(rule, []).append((start, end))
+        return {rule: _first_longest(spans) for rule, spans in found.items()}
+
+
+def _in_word(c: str) -> bool:
+    return c == "_" or (c.isascii() and c.isalnum())
+
+
+def _first_longest(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    kept: list[tuple[int, int]] = []
+    for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not kept or start >= kept[-1][1]:
+            kept.append((start, end))
+    return kept
+
+
+@lru_cache(maxsize=8)
+def _terms(lists: tuple[tuple[int, tuple[str, ...]], ...]) -> _Terms:
+    return _Terms(lists)
+
+
 def _finders(config: TextConfig):
-    return [(r.entity, re.compile(r.pattern, re.ASCII), r.score, re.compile(r.hint or "", re.ASCII)) for r in config.active]
+    return [(r.entity, re.compile(r.pattern, re.ASCII), r.score, re.compile(r.hint or "", re.ASCII), r.check, r.terms) for r in config.active]
 
 
 def _found(text: str, finders) -> list[tuple[str, int, int, float, int]]:
     """(entity, start, end, score, arrival) in rule order, then text order; a rule whose hint is not in the text
-    has no match in it."""
-    hits = [
-        (e, m.start(), m.end(), s) for e, pattern, s, hint in finders if hint.search(text) for m in pattern.finditer(text)
-    ]
+    has no match in it, and a match that fails its rule's check is none."""
+    lists = tuple((i, f[5]) for i, f in enumerate(finders) if f[5])
+    listed = _terms(lists).find(text) if lists else {}
+    hits = []
+    for i, (entity, pattern, score, hint, check, terms) in enumerate(finders):
+        if terms:
+            hits += [(entity, start, end, score) for start, end in listed.get(i, ())]
+        elif hint.search(text):
+            passes = CHECKS[check] if check else None
+            hits += [(entity, m.start(), m.end(), score) for m in pattern.finditer(text) if passes is None or passes(m[0])]
     return [(*hit, at) for at, hit in enumerate(hits)]
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.detect import ENTITY_ELEMENTS, TextConfig, element_of
+from ..functions import checks
+from ..functions.detect import CHECKED_RULES, ENTITY_ELEMENTS, TextConfig, element_of
 from ..operators import guardrails as gr, text as tx
 from ..session import spread
 from ..sources.tables import table
@@ -19,12 +20,53 @@ MASK = TextConfig(labels=LABELS, method="mask", masking_char="*")
 LOW = TextConfig(threshold=0.3)
 
 
-def spans_sql(config: TextConfig) -> str:
+_D = "list_transform(regexp_extract_all(hit, '[0-9]'), lambda c: CAST(c AS INTEGER))"
+_WEIGHED = "list_sum(list_transform(list_zip({0}[1:{1}], {2}), lambda z: z[1] * z[2]))"
+
+
+def _turned() -> str:
+    """The permutation of verhoeff() applied 0 to 7 times, as a list of lists."""
+    rows = [list(range(10))]
+    for _ in range(7):
+        rows.append([checks.VERHOEFF_TURN[x] for x in rows[-1]])
+    return str(rows)
+
+
+def _value(c: str) -> str:
+    return f"(strpos('{checks.BASE36}', {c}) - 1)"
+
+
+#: The checks of functions.checks in SQL, on a column ``hit``.  Base58Check needs whole numbers of 200 bits, which SQL lacks.
+CHECK_SQL = {
+    "luhn": f"""list_sum(list_transform(list_zip(list_reverse({_D}), range(len({_D}))),
+        lambda z: CASE WHEN z[2] % 2 = 0 THEN z[1] WHEN z[1] > 4 THEN 2 * z[1] - 9 ELSE 2 * z[1] END)) % 10 = 0""",
+    "mod97": f"""list_reduce(list_concat([0::BIGINT], list_transform(string_split(hit[5:] || hit[:4], ''), lambda c: CAST({_value("c")} AS BIGINT))),
+        lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1""",
+    "verhoeff": f"""list_reduce(list_concat([0], list_transform(list_zip(list_reverse({_D}), range(len({_D}))), lambda z: ({_turned()})[z[2] % 8 + 1][z[1] + 1])),
+        lambda a, b: CASE WHEN a < 5 THEN (a + b) % 5 + CASE WHEN b < 5 THEN 0 ELSE 5 END ELSE (a - b + 10) % 5 + CASE WHEN b < 5 THEN 5 ELSE 0 END END) = 0""",
+    "weighted11": f"(11 - {_WEIGHED.format(_D, 9, 'range(10, 1, -1)')} % 11) % 11 = ({_D})[10]",
+    "rrn": f"(11 - {_WEIGHED.format(_D, 12, list(checks.RRN_WEIGHTS))} % 11) % 10 = ({_D})[13]",
+    "tnin": f"(11 - {_WEIGHED.format(_D, 12, 'range(13, 1, -1)')} % 11) % 10 = ({_D})[13]",
+    "mod36": f"""(36 - list_sum(list_transform(list_zip(string_split(hit[:14], ''), range(14)), lambda z: {_value("z[1]")} * (1 + z[2] % 2) // 36 + {_value("z[1]")} * (1 + z[2] % 2) % 36)) % 36) % 36
+        = {_value("hit[15]")}""",
+    "octets": "list_max(list_transform(string_split(hit, '.'), lambda x: CAST(x AS INTEGER))) < 256",
+    "issued_ssn": "hit[1:3] NOT IN ('000', '666') AND hit[1:3] < '900' AND hit[5:6] <> '00' AND hit[8:11] <> '0000'",
+    "calendar": "TRY_CAST(hit[1:10] AS DATE) IS NOT NULL AND (length(hit) = 10 OR (hit[12:13] < '24' AND hit[15:16] < '60'))",
+}
+
+
+def _checked_sql(config: TextConfig) -> str:
+    """Whether a hit passes its rule's check."""
+    cases = " ".join(f"WHEN rule = {i} THEN {CHECK_SQL[r.check]}" for i, r in enumerate(config.active) if r.check)
+    return f"CASE {cases} ELSE true END" if cases else "true"
+
+
+def spans_sql(config: TextConfig, texts: str = "documents") -> str:
     """Spans by pure SQL: offsets are running lengths of the pieces between and the matches before."""
     rules = " UNION ALL ".join(
         f"""SELECT doc_id, '{r.entity}' AS entity, CAST({r.score} AS DOUBLE) AS score, {i} AS rule,
         regexp_extract_all(text, '{r.pattern.replace("'", "''")}') AS hits,
-        string_split_regex(text, '{r.pattern.replace("'", "''")}') AS gaps FROM documents"""
+        string_split_regex(text, '{r.pattern.replace("'", "''")}') AS gaps FROM {texts}"""
         for i, r in enumerate(config.active)
     )
     return f"""found AS ({rules}),
@@ -33,7 +75,7 @@ def spans_sql(config: TextConfig) -> str:
         + CAST(coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0) AS BIGINT) AS place
       FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM found WHERE len(hits) > 0)),
     spans AS (SELECT doc_id, entity, CAST(place AS INTEGER) AS start_index, CAST(place + length(hit) AS INTEGER) AS end_index, score,
-        CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rule, k) - 1 AS INTEGER) AS arrival FROM numbered)"""
+        CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rule, k) - 1 AS INTEGER) AS arrival FROM numbered WHERE {_checked_sql(config)})"""
 
 
 _COLLECTED = """collected AS (SELECT doc_id, start_index, end_index, arg_max(entity, [score, -arrival]) AS entity,
@@ -72,6 +114,39 @@ def pii_spans(spark, folder):
     return tx.find_spans(_documents(spark, folder), "doc_id", "text")
 
 
+#: All checked rules that SQL can say: Base58Check is left to the tests.
+CHECKED = TextConfig(rules=tuple(r for r in CHECKED_RULES if r.check != "base58check"), threshold=0.3)
+
+
+@query(f"WITH {spans_sql(CHECKED)} SELECT * FROM spans")
+def pii_spans_checked(spark, folder):
+    """33 kinds of entities; card numbers, accounts and the like only with right check digits."""
+    return tx.find_spans(_documents(spark, folder), "doc_id", "text", CHECKED)
+
+
+# identifiers of every customer, with whatever check digits the key gives: about one in ten is right
+
+@query(
+    f"""WITH parts AS (SELECT c_custkey AS doc_id, lpad(CAST((c_custkey * 1000003 + 12345) % 10000000000000 AS VARCHAR), 13, '0') AS d FROM customer),
+    texts AS (SELECT doc_id, 'card 4' || d || d[1:2] || ', IBAN DE' || d || d[1:7] || ', id 2' || d[1:3] || ' ' || d[4:7] || ' ' || d[10:13]
+      || ', health ' || d[5:7] || ' ' || d[8:10] || ' ' || d[10:13] || ', RRN ' || d[1:6] || '-1' || d[8:13] || ', TNIN 1-' || d[2:5] || '-' || d[6:10] || '-' || d[11:12] || '-' || d[13]
+      || ', GSTIN 29ABCDE' || d[10:13] || 'F1Z' || d[13] || ', host ' || d[8:10] || '.1.2.3, SSN ' || d[1:3] || '-' || d[9:10] || '-' || d[10:13] || ', on 19' || d[12:13] || '-' || d[11:12] || '-31' AS text FROM parts),
+    {spans_sql(CHECKED, "texts")} SELECT doc_id, entity, start_index, end_index FROM spans"""
+)
+def checked_identifiers(spark, folder):
+    """Ten kinds of identifiers of every customer in a text each, with the check digits that the key happens to give."""
+    d = F.lpad(((F.col("c_custkey") * 1000003 + 12345) % 10_000_000_000_000).cast("string"), 13, "0")
+    cut = lambda a, b: F.substring("d", a, b - a + 1)
+    text = F.concat(
+        F.lit("card 4"), "d", cut(1, 2), F.lit(", IBAN DE"), "d", cut(1, 7), F.lit(", id 2"), cut(1, 3), F.lit(" "), cut(4, 7), F.lit(" "), cut(10, 13),
+        F.lit(", health "), cut(5, 7), F.lit(" "), cut(8, 10), F.lit(" "), cut(10, 13), F.lit(", RRN "), cut(1, 6), F.lit("-1"), cut(8, 13),
+        F.lit(", TNIN 1-"), cut(2, 5), F.lit("-"), cut(6, 10), F.lit("-"), cut(11, 12), F.lit("-"), cut(13, 13), F.lit(", GSTIN 29ABCDE"), cut(10, 13), F.lit("F1Z"), cut(13, 13),
+        F.lit(", host "), cut(8, 10), F.lit(".1.2.3, SSN "), cut(1, 3), F.lit("-"), cut(9, 10), F.lit("-"), cut(10, 13), F.lit(", on 19"), cut(12, 13), F.lit("-"), cut(11, 12), F.lit("-31"),
+    )
+    rows = table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), d.alias("d")).select("doc_id", text.alias("text"))
+    return tx.find_spans(spread(rows, "doc_id"), "doc_id", "text", CHECKED).select("doc_id", "entity", "start_index", "end_index")
+
+
 @query(f"WITH {spans_sql(LOW)} SELECT entity, count(*) AS spans, count(DISTINCT doc_id) AS texts FROM spans GROUP BY entity")
 def pii_spans_low_threshold(spark, folder):
     spans = tx.find_spans(_documents(spark, folder), "doc_id", "text", LOW)
