@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import fpe
+from . import fpe, typed as typed_tokens
 from .elements import element
 from .keys import TokenKey, hmac_secret
 
@@ -175,18 +175,25 @@ def _as_text(value: Column, kind: str) -> Column:
 
 
 def protect_typed(value: Column | str, kind: str, name: str | None = None, key: TokenKey | None = None) -> Column:
-    """``STRUCT<token STRING, typed>``.  ``token`` is always whole; ``typed`` is the token in the value's
-    own type where that loses nothing (a date token is usually no date, 0123 is not an integer's text)."""
+    """``STRUCT<token STRING, typed>``, ``typed`` being the token in the value's own type and ``token`` its text.  A date's
+    token is a date, a number's a number (see :mod:`.typed`).  With an element ``name`` the value's text is transformed by
+    that element instead; then ``token`` is always whole, and ``typed`` set where that loses nothing (0123 is not an
+    integer's text)."""
     if kind not in TYPE_ELEMENTS:
         raise ValueError(f"type must be one of {sorted(TYPE_ELEMENTS)}, got {kind!r}")
+    if name is None and kind in typed_tokens.KINDS:
+        typed = typed_tokens.encipher(_c(value), kind, key)
+        return F.struct(typed.cast("string").alias("token"), typed.alias("typed"))
     token = fpe.encrypt(_as_text(_c(value), kind), name or TYPE_ELEMENTS[kind], key)
     typed = F.encode(token, "UTF-8") if kind == "binary" else token.try_cast(kind)
     return F.struct(token.alias("token"), F.when(_as_text(typed, kind) == token, typed).alias("typed"))
 
 
 def unprotect_typed(token: Column | str, kind: str, name: str | None = None, key: TokenKey | None = None) -> Column:
-    """Clear value in its own type, from the text token."""
+    """Clear value in its own type, from the token as text or in its type; ``name`` as for :func:`protect_typed`."""
     if kind not in TYPE_ELEMENTS:
         raise ValueError(f"type must be one of {sorted(TYPE_ELEMENTS)}, got {kind!r}")
+    if name is None and kind in typed_tokens.KINDS:
+        return typed_tokens.decipher(_c(token).cast(kind), kind, key)
     clear = fpe.decrypt(_c(token), name or TYPE_ELEMENTS[kind], key)
     return F.encode(clear, "UTF-8") if kind == "binary" else clear.cast(kind)

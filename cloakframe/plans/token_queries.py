@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import functions as F
 
@@ -447,6 +449,37 @@ def typed_values(spark, folder):
     )
 
 
+@query(
+    """SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS orders, true AS typed, 1::BIGINT AS tokens, 0::BIGINT AS lost FROM orders GROUP BY 1"""
+)
+def typed_dates(spark, folder):
+    """Orders by day, grouped on the day's token, which is itself a date, and restored after the grouping."""
+    rows = table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("clear")).withColumn("token", native.protect_typed("clear", "date")["typed"])
+    days = rows.groupBy("token").agg(F.count("*").alias("orders"), F.min("clear").alias("least"), F.max("clear").alias("most"))
+    back = days.withColumn("day", native.unprotect_typed("token", "date"))
+    lost = F.count_if(~(F.col("least").eqNullSafe(F.col("day")) & F.col("most").eqNullSafe(F.col("day")))).alias("lost")
+    return back.groupBy("day").agg(F.sum("orders").alias("orders"), F.bool_and(F.col("token").isNotNull()).alias("typed"), F.count("*").alias("tokens"), lost)
+
+
+@query(
+    """SELECT l_orderkey, l_partkey AS small, l_orderkey * 1000003 - 500000000 AS large, l_extendedprice AS price, true AS typed, true AS same_length, count(*) AS n
+    FROM lineitem GROUP BY ALL"""
+)
+def typed_integers(spark, folder):
+    """Small and large integers and doubles joined into groups by tokens of their own type, and restored."""
+    clear = table(spark, folder, "lineitem").select(
+        "l_orderkey", F.col("l_partkey").cast("bigint").alias("small"), (F.col("l_orderkey").cast("bigint") * 1_000_003 - 500_000_000).alias("large"),
+        F.col("l_extendedprice").cast("double").alias("price"),
+    )
+    kinds = {"small": "bigint", "large": "bigint", "price": "double"}
+    held = clear.select("l_orderkey", "large", *[native.protect_typed(c, k)["typed"].alias(f"{c}_token") for c, k in kinds.items()])
+    length = lambda c: F.length(F.abs(c).cast("string"))
+    kept = F.when(F.abs("large") >= 10**6, length(F.col("large")) == length(F.col("large_token"))).otherwise(True)
+    groups = held.withColumn("same_length", kept).groupBy("l_orderkey", *[f"{c}_token" for c in kinds]).agg(F.count("*").alias("n"), F.bool_and("same_length").alias("same_length"))
+    typed = reduce(and_, (F.col(f"{c}_token").isNotNull() for c in kinds))
+    return groups.select("l_orderkey", *[native.unprotect_typed(f"{c}_token", k).alias(c) for c, k in kinds.items()], typed.alias("typed"), "same_length", "n")
+
+
 @query("SELECT o_orderkey, o_orderpriority AS text, o_clerk_like AS data, true AS typed_is_safe FROM (SELECT *, 'clerk' || o_custkey AS o_clerk_like FROM orders)")
 def typed_texts(spark, folder):
     """Text and binary values protected and restored in their own types."""
