@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tokens as tk
+from ..operators.service_logs import per_row_costs
 from ..session import shared_path
 from ..sources.pii import PII_SCHEMA, mock_pii
 from ..sources.tables import append_json_lines, scan_csv, scan_json_lines, table, write_csv
@@ -110,3 +111,52 @@ def live_summary(spark, folder):
     return _run(summary, "summary").select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "mode", "log_batches", "log_rows_total", "batch_rows_max"
     )
+
+
+#: Requests of the log run for minutes to hours; twelve hours hold all but freaks, which count as that long.
+LONGEST_HOURS = 12
+
+
+@query(
+    f"""WITH {_LOG}, spans AS (SELECT mode, epoch_us(ts) AS stop, greatest(epoch_us(ts) - CAST(round(total_ms * 1000) AS BIGINT), epoch_us(ts) - {LONGEST_HOURS * 3600000000}) AS start FROM log),
+    steps AS (SELECT mode, start AS t, 1 AS step FROM spans UNION ALL SELECT mode, stop, -1 FROM spans),
+    levels AS (SELECT mode, t, step, t // 3600000000 * 3600000000 AS h, sum(step) OVER (PARTITION BY mode ORDER BY t, step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS live FROM steps),
+    hours AS (SELECT mode, h, max(live) AS high, sum(step) AS net, sum(CAST(step AS HUGEINT) * (h + 3600000000 - t)) AS area FROM levels GROUP BY mode, h),
+    entered AS (SELECT *, sum(net) OVER (PARTITION BY mode ORDER BY h) - net AS level FROM hours)
+    SELECT mode, strftime(make_timestamp(h), '%Y-%m-%d %H:%M') AS hour, CAST(greatest(level, high) AS BIGINT) AS concurrency_peak,
+      CAST(area + CAST(level AS HUGEINT) * 3600000000 AS DOUBLE) / 3600000000 AS concurrency_mean
+    FROM entered WHERE h + 3600000000 <= (SELECT epoch_us(max(ts)) FROM log) - {(LONGEST_HOURS * 3600 + 120) * 1000000}"""
+)
+def live_concurrency(spark, folder):
+    """Requests running at once by hour, from cells that a stream has closed; hours that the watermark has passed."""
+    source = shared_path(spark, "log")
+    log = service_log(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    log.write.parquet(source)
+    cells = live.live_cells(live.read_table_stream(spark, source, log.schema), ["mode"], cell_seconds=600, longest_seconds=LONGEST_HOURS * 3600)
+    hours = live.concurrency_by_window(_run(cells, "cells"), ["mode"])
+    newest = log.agg(F.max("ts")).first()[0]
+    closed = F.col("window_start") + F.expr("INTERVAL 1 HOUR") <= F.lit(newest) - F.expr(f"INTERVAL {LONGEST_HOURS * 3600 + 120} SECONDS")
+    return hours.where(closed).select("mode", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "concurrency_peak", "concurrency_mean")
+
+
+@query(
+    f"""WITH {_LOG} SELECT mode, count(*) AS log_batches, count(DISTINCT instance) AS instances, true AS median_near, true AS p95_near FROM costs
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 20 SECOND FROM log) GROUP BY mode"""
+)
+def live_quantiles(spark, folder):
+    """Hourly sketches of a stream, merged over all closed hours: distinct instances, and whether the median and the p95
+    of the cost a row stand within one hundredth of their true ranks in the log."""
+    source = shared_path(spark, "costs")
+    log = per_row_costs(service_log(spark, folder)).withColumn("ts", F.col("ts").cast("timestamp"))
+    log.write.parquet(source)
+    hours = _run(live.live_sketches(live.read_table_stream(spark, source, log.schema), ["mode"], ["us_per_row"]), "sketches")
+    told = live.merged_sketches(hours, ["mode"], ["us_per_row"])
+    closed = log.join(hours.select("mode", "window_start"), (log["mode"] == hours["mode"]) & (F.date_trunc("hour", log["ts"]) == hours["window_start"]), "left_semi")
+    ranked = closed.select("mode", "us_per_row").join(told, "mode")
+
+    def near(estimate: str, share: float):
+        below, up_to = F.avg((F.col("us_per_row") < F.col(estimate)).cast("double")), F.avg((F.col("us_per_row") <= F.col(estimate)).cast("double"))
+        return (below <= share + 0.01) & (up_to >= share - 0.01)
+
+    checked = ranked.groupBy("mode", "log_batches", "instances").agg(near("us_per_row_median", 0.5).alias("median_near"), near("us_per_row_p95", 0.95).alias("p95_near"))
+    return checked.select("mode", "log_batches", "instances", "median_near", "p95_near")
