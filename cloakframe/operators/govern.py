@@ -8,14 +8,12 @@ may see reaches the function only as NULL.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fpe, native
 from ..functions.keys import TokenKey
+from ..session import settle
 from .tokens import element_of_column
 
 GOVERNED = ("ssn", "email", "name")
@@ -185,12 +183,41 @@ def token_pair(clear: DataFrame, tokens: DataFrame, policy: DataFrame, user: str
     return clear.select("id", F.col(column).alias("clear")).join(entitled, "id").orderBy("id").limit(1)
 
 
+AUDIT_BUCKETS = 4096
+
+
+def _digests(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Of each bucket of keys the number of rows and two sums of row hashes: equal multisets of rows have equal sums, in
+    whatever order they stand, and partial sums add up before they are shuffled."""
+    wide = lambda *seed: F.sum(F.xxhash64(*seed, *columns).cast("decimal(38,0)"))
+    return rows.groupBy("_bucket").agg(F.count("*").alias("n"), wide().alias("one"), wide(F.lit(1)).alias("other"))
+
+
 def equivalence_audit(left: DataFrame, right: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    """Full outer join of two results; rows that differ in any column (NULL equals NULL) and rows compared."""
-    l = left.select(key, *[F.col(c).alias(f"_l_{c}") for c in columns])
-    r = right.select(key, *[F.col(c).alias(f"_r_{c}") for c in columns])
-    differs = reduce(or_, (~F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}")) for c in columns))
-    return l.join(r, key, "full_outer").agg(F.count_if(differs).alias("mismatches"), F.count("*").alias("compared"))
+    """Whether two results are the same multiset of rows: ``mismatches`` and ``compared`` (NULL equals NULL).
+
+    Both sides are summed to a digest for each bucket of keys, and only the rows of buckets whose digests differ are
+    brought together, so equal results shuffle sums and no rows.  A key may stand on several rows: of its rows
+    on either side those without an equal partner count, the larger number of both; compared are its rows on the side that has more.
+    So one row a key gives the keys that differ or are missing, of all keys.  The digests are worked out at once."""
+    sides = {
+        name: df.select(key, *columns).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(AUDIT_BUCKETS)))
+        for name, df in (("l", left), ("r", right))
+    }
+    told = {name: _digests(rows, [key, *columns]).select("_bucket", F.struct("n", "one", "other").alias(name)) for name, rows in sides.items()}
+    buckets = settle(told["l"].join(told["r"], "_bucket", "full_outer").withColumn("_same", F.col("l").eqNullSafe(F.col("r"))), "digests")
+    same = buckets.where("_same").agg(F.coalesce(F.sum("l.n"), F.lit(0)).alias("same"))
+    differing = buckets.where("NOT _same").select("_bucket")
+    open_rows = [rows.join(differing, "_bucket", "left_semi").drop("_bucket").withColumn("_net", F.lit(sign)) for rows, sign in zip(sides.values(), (1, -1))]
+    nets = open_rows[0].unionByName(open_rows[1]).groupBy(key, *columns).agg(
+        F.sum("_net").alias("_net"), F.count_if(F.col("_net") > 0).alias("_l"), F.count_if(F.col("_net") < 0).alias("_r")
+    )
+    keys = nets.groupBy(key).agg(
+        F.greatest(F.sum(F.greatest("_net", F.lit(0))), F.sum(F.greatest(-F.col("_net"), F.lit(0)))).alias("_off"),
+        F.greatest(F.sum("_l"), F.sum("_r")).alias("_rows"),
+    )
+    counts = keys.agg(F.coalesce(F.sum("_off"), F.lit(0)).alias("mismatches"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("_compared"))
+    return counts.join(same).select("mismatches", (F.col("_compared") + F.col("same")).alias("compared"))
 
 
 OPERATIONS = ("protect", "unprotect", "reprotect")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .ranking import LOWER_MEDIAN, UPPER_MEDIAN, exact_picks, join_groups
 
 # --- fixed values -------------------------------------------------------------------------------------
@@ -148,20 +149,34 @@ def summarise_with_concurrency(logs: DataFrame, keys: list[str]) -> DataFrame:
     return join_groups(summarise(logs, keys), concurrency(logs, keys), keys, "left")
 
 
-def assign_windows(logs: DataFrame, windows: DataFrame, ts: str = "ts", bucket_seconds: int = 3600) -> DataFrame:
+LINES_A_SHARE = 1_000_000
+
+
+def assign_windows(
+    logs: DataFrame, windows: DataFrame, ts: str = "ts", bucket_seconds: int = 3600, lines_a_share: int = LINES_A_SHARE
+) -> DataFrame:
     """One row per (log row, window) with start <= ts <= end; padded windows may overlap.
 
     ``windows`` has (start, end) and any other columns.  The range condition becomes an equality on time
-    buckets, so the join hashes (or broadcasts, when the windows are few) instead of comparing all pairs."""
+    buckets, so the join hashes (or broadcasts, when the windows are few) instead of comparing all pairs.  Lines are
+    counted by bucket first, which moves one number a bucket and task: a bucket of more than ``lines_a_share`` lines is
+    dealt out in shares by the hash of its lines, and the windows that touch it are copied to each share.  So a
+    burst that holds most of a day in one hour is many keys, and nothing is copied elsewhere."""
     width = F.lit(bucket_seconds * 1_000_000)
 
     def number(t: Column) -> Column:
         return F.floor(F.unix_micros(t.cast("timestamp")) / width).cast("long")
 
-    spread = windows.withColumn("_bucket", F.explode(F.sequence(number(F.col("start")), number(F.col("end")))))
-    placed = logs.withColumn("_bucket", number(F.col(ts)))
+    counted = logs.where(F.col(ts).isNotNull()).groupBy(number(F.col(ts)).alias("_bucket")).agg(F.count("*").alias("_lines"))
+    busy = counted.where(F.col("_lines") > lines_a_share).select("_bucket", F.ceil(F.col("_lines") / lines_a_share).cast("int").alias("_shares"))
+    busy = settle(busy, "busy")
+    spread = windows.withColumn("_bucket", F.explode(F.sequence(number(F.col("start")), number(F.col("end"))))).join(busy, "_bucket", "left")
+    spread = spread.withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)))
+    line = F.xxhash64(*[F.col(c) for c, kind in logs.dtypes if "map<" not in kind])
+    placed = logs.withColumn("_bucket", number(F.col(ts))).join(busy, "_bucket", "left")
+    placed = placed.withColumn("_share", F.coalesce(F.pmod(line, F.col("_shares").cast("long")), F.lit(0)).cast("int"))
     inside = (placed[ts] >= spread["start"]) & (placed[ts] <= spread["end"])
-    joined = placed.join(spread, (placed["_bucket"] == spread["_bucket"]) & inside)
+    joined = placed.join(spread, (placed["_bucket"] == spread["_bucket"]) & (placed["_share"] == spread["_share"]) & inside)
     return joined.select(*[placed[c] for c in logs.columns], *[spread[c] for c in windows.columns])
 
 

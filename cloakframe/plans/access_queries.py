@@ -158,6 +158,28 @@ def equivalence_audit(spark, folder):
     return result
 
 
+@query(
+    """WITH l AS (SELECT l_orderkey, l_partkey, l_quantity FROM lineitem), r AS (SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_linenumber <> 2
+        UNION ALL SELECT l_orderkey, l_partkey, l_quantity + 1 FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 50 = 0
+        UNION ALL SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 50 <> 0 AND l_orderkey % 70 <> 0),
+    nets AS (SELECT l_orderkey, sum(s) AS net, sum(CASE WHEN s > 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN s < 0 THEN 1 ELSE 0 END) AS b
+        FROM (SELECT *, 1 AS s FROM l UNION ALL SELECT *, -1 FROM r) GROUP BY l_orderkey, l_partkey, l_quantity),
+    keys AS (SELECT greatest(sum(greatest(net, 0)), sum(greatest(-net, 0))) AS off, greatest(sum(a), sum(b)) AS held FROM nets GROUP BY l_orderkey)
+    SELECT 'itself' AS against, 0::BIGINT AS mismatches, count(*) AS compared FROM l
+    UNION ALL SELECT 'edited', CAST(sum(off) AS BIGINT), CAST(sum(held) AS BIGINT) FROM keys"""
+)
+def repeated_keys_audit(spark, folder):
+    """Order lines by order, which stands on several rows: against themselves, and with lines changed and lines missing."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    second, order = F.col("l_linenumber") == 2, F.col("l_orderkey")
+    edited = lines.where(~second | (order % 50 == 0) | (order % 70 != 0)).withColumn("l_quantity", F.col("l_quantity") + F.when(second & (order % 50 == 0), 1).otherwise(0))
+    audits = [
+        govern.equivalence_audit(lines, other, ["l_partkey", "l_quantity"], "l_orderkey").select(F.lit(name).alias("against"), "*")
+        for name, other in (("itself", lines.repartition(3, "l_partkey")), ("edited", edited))
+    ]
+    return audits[0].unionByName(audits[1])
+
+
 @query(
     """SELECT user_email, element, operation, count(*) AS requests, user_email <> 'stranger' AND (operation = 'protect'
       OR user_email = 'other' OR element <> 'email' OR user_email = 'analyst') AND (user_email <> 'narrow' OR operation = 'protect' OR element = 'name') AS allowed

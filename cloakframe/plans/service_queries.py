@@ -200,6 +200,19 @@ def window_lines_uneven(spark, folder):
     return hits.groupBy("variant").agg(F.count("*").alias("lines"))
 
 
+@query(
+    f"""WITH {_LOG}, {_WINDOWS}, burst AS (SELECT * REPLACE (CASE WHEN event_id % 10 < 9 THEN TIMESTAMP '2024-01-05 10:00:00' + (event_id % 3600) * INTERVAL 1 SECOND ELSE ts END AS ts) FROM log)
+    SELECT variant, count(*) AS lines, CAST(sum(rows) AS BIGINT) AS rows FROM burst JOIN windows ON ts >= start AND ts <= "end" GROUP BY variant"""
+)
+def window_lines_burst(spark, folder):
+    """Nine tenths of the log in one hour, which is dealt out in shares."""
+    second = F.make_dt_interval(secs=(F.col("event_id") % 3600).cast("decimal(18,6)"))
+    burst = F.lit("2024-01-05 10:00:00").cast("timestamp") + second
+    log = service_log(spark, folder).withColumn("ts", F.when(F.col("event_id") % 10 < 9, burst).otherwise(F.col("ts").cast("timestamp")))
+    hits = sl.assign_windows(log, _windows(spark, folder), lines_a_share=500)
+    return hits.groupBy("variant").agg(F.count("*").alias("lines"), F.sum("rows").alias("rows"))
+
+
 @query(
     f"""WITH {_LOG}, {_WINDOWS} SELECT variant, count(event_id) AS endpoint_invocations,
     count(*) FILTER (WHERE event = 'batch_error') AS failed,

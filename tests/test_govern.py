@@ -103,6 +103,28 @@ def test_audit_sees_missing_and_different_rows(spark):
     assert (row["mismatches"], row["compared"]) == (2, 4)
 
 
+def test_audit_of_repeated_keys(spark):
+    rows = [(1, "a"), (1, "b"), (1, "b"), (None, None), (None, "x"), (2, None)]
+    table = spark.createDataFrame(rows, "id int, v string")
+    audit = lambda other: tuple(govern.equivalence_audit(table, spark.createDataFrame(other, "id int, v string"), ["v"]).first())
+    assert audit(rows[::-1]) == (0, 6)
+    assert audit([*rows, (1, "b")]) == (1, 7) and audit(rows[1:]) == (1, 6)
+    assert audit([(1, "a"), (1, "c"), (1, "b"), *rows[3:]]) == (1, 6)
+    assert audit([]) == (6, 6) and tuple(govern.equivalence_audit(table.limit(0), table.limit(0), ["v"]).first()) == (0, 0)
+
+
+def test_equal_results_bring_no_rows_together(spark):
+    """Only digests of buckets meet: the join that fetches rows gets no bucket to fetch."""
+    rows = spark.range(20_000).selectExpr("id", "id % 7 AS v")
+    one_off = rows.withColumn("v", F.when(F.col("id") == 77, 9).otherwise(F.col("v")))
+    audit = govern.equivalence_audit(rows, one_off, ["v"])
+    assert tuple(audit.first()) == (1, 20_000)
+    assert tuple(govern.equivalence_audit(rows, rows.orderBy("v"), ["v"]).first()) == (0, 20_000)
+    buckets = [p for p in audit.inputFiles() if "digests" in p]
+    held = spark.read.parquet(*buckets)
+    assert 4000 < held.count() <= govern.AUDIT_BUCKETS and held.where("NOT _same").count() == 1
+
+
 def test_unlisted_requests_are_refused(spark):
     rules = govern.access_rules(govern.entitlements(spark, USER))
     requests = spark.createDataFrame(

@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.operators import errors, experiments as ex, service_logs as sl
 from cloakframe.sources.logs import parse_lines, scan_log
@@ -152,3 +153,30 @@ def test_pending_cells_ignore_sentinels(spark):
     rows = [("p", "a", "f", False)] * 3 + [("p", "b", "f", False)] * 2 + [("p", "b", "f", True)] + [("p", None, "f", None)] * 3
     done = spark.createDataFrame(rows, "phase string, config string, function string, sentinel boolean")
     assert [r["config"] for r in ex.pending_cells(plan, done, 3).collect()] == ["b"]
+
+
+def test_burst_hour_is_dealt_out_evenly(spark):
+    """Nine tenths of the lines in one hour: no join task holds more than twice the median, one row a match."""
+    hour = F.lit("2024-01-05 10:00:00").cast("timestamp")
+    logs = spark.range(40_000).select(
+        "id", (hour + F.make_dt_interval(hours=F.when(F.col("id") % 10 == 0, F.col("id") % 24).otherwise(F.lit(0)).cast("int"), mins=(F.col("id") % 59).cast("int"))).alias("ts")
+    )
+    windows = spark.createDataFrame([("a", 0, 48), ("b", 0, 1), ("c", 5, 7)], "variant string, f int, t int").select(
+        "variant", (hour + F.make_dt_interval(hours=F.col("f"))).alias("start"), (hour + F.make_dt_interval(hours=F.col("t"))).alias("end")
+    )
+    plain = logs.crossJoin(windows).where("ts >= start AND ts <= end").groupBy("variant").count().collect()
+    hits = sl.assign_windows(logs, windows, lines_a_share=1000)
+    assert sorted(map(tuple, hits.groupBy("variant").count().collect())) == sorted(map(tuple, plain))
+    line = F.xxhash64("id", "ts")
+    shares = logs.where(F.date_trunc("hour", "ts") == hour).groupBy(F.pmod(line, F.lit(38))).count().agg(F.max("count"), F.median("count")).first()
+    assert shares[0] <= 2 * shares[1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        held = sl.assign_windows(logs, windows, lines_a_share=500).where("variant = 'a'").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert held.sum() == 40_000 and held.max() <= 2 * held.median()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
