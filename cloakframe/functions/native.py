@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fpe, typed as typed_tokens
-from .elements import element
+from .elements import ALPHABETS, DEFAULT_ELEMENT, element
 from .keys import TokenKey, hmac_secret
 
 # --- fixed values -------------------------------------------------------------------------------------
 MASKS = {"ssn": "***-**-****", "email": "***@***", "name": "***"}
 STATUS = {"protect": 6, "unprotect": 8, "reprotect": 50}
 TOO_SHORT, TOO_LONG = 22, 23
+UNKNOWN_ELEMENT = 2
 NO_VALUE = 0  # nothing was given, so nothing was done
 HMAC_TOKEN_LENGTH = 16
 NOOP_PREFIX = "noop_"
@@ -117,6 +118,25 @@ def protect_with_status(value: Column | str, name: str, key: TokenKey | None = N
     )
 
 
+def protect_each_with_status(
+    value: Column | str, names: Column | str, key: TokenKey | None = None, operation: str = "protect", default: str = DEFAULT_ELEMENT
+) -> Column:
+    """``STRUCT<value, code>`` under each row's own element.  An element that is not known gives NULL and code 2 instead
+    of a failed job, whatever the other rows hold; a missing or empty one is ``default``.  Else as
+    :func:`protect_with_status`."""
+    if operation not in ("protect", "unprotect"):
+        raise ValueError(f"operation must be protect or unprotect, got {operation!r}")
+    element(default)
+    chosen = F.coalesce(F.nullif(_c(names), F.lit("")), F.lit(default))
+    known = chosen.isin(*ALPHABETS)
+    run = fpe.encrypt if operation == "protect" else fpe.decrypt
+    done = run(F.when(known, _c(value)), F.when(known, chosen), key, default=default, overlong="null")
+    code = F.when(_c(value).isNull(), NO_VALUE)
+    for name in ALPHABETS:
+        code = code.when(chosen == name, status_code(value, name, operation))
+    return F.struct(done.alias("value"), code.otherwise(UNKNOWN_ELEMENT).alias("code"))
+
+
 def reprotect_with_status(
     value: Column | str, old_name: str, new_name: str, old_key: TokenKey | None = None, new_key: TokenKey | None = None
 ) -> Column:

@@ -159,11 +159,24 @@ def decode_distinct(df: DataFrame, policy: DataFrame, user: str, column: str = "
 DISTINCT_SHARE = 0.01  # below this share of distinct values the join back is cheaper than decoding
 
 
-def decode(df: DataFrame, policy: DataFrame, user: str, column: str = "name", key: TokenKey | None = None) -> DataFrame:
+def branch_sketches(df: DataFrame, column: str = "name", branch: str = "branch_id") -> DataFrame:
+    """(branch, total, sketch): values and a HyperLogLog sketch of the distinct tokens of each branch, to be stored
+    beside the token table.  Sketches of several branches unite, so the rows that a user may see need not be read to know
+    how many values they hold; a branch that grows gets a sketch of the new rows, united likewise."""
+    return df.groupBy(branch).agg(F.count(column).alias("total"), F.hll_sketch_agg(column).alias("sketch"))
+
+
+def decode(
+    df: DataFrame, policy: DataFrame, user: str, column: str = "name", key: TokenKey | None = None, sketches: DataFrame | None = None
+) -> DataFrame:
     """Decode row by row, unless the rows the user may see hold more distinct values than a worker remembers
-    and these are a small share of them: then join back.  The same rows either way."""
-    entitled = visible_rows(df, policy, user, column)
-    seen = entitled.agg(F.approx_count_distinct(column).alias("distinct"), F.count(column).alias("total")).first()
+    and these are a small share of them: then join back.  The same rows either way.  With stored ``sketches``
+    (:func:`branch_sketches`) the choice reads these, a row a branch; without, it counts over the entitled rows first."""
+    if sketches is None:
+        seen = visible_rows(df, policy, user, column).agg(F.approx_count_distinct(column).alias("distinct"), F.count(column).alias("total")).first()
+    else:
+        united = visible_rows(sketches, policy, user, column).agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("total").alias("total"))
+        seen = united.select(F.hll_sketch_estimate("sketch").alias("distinct"), F.coalesce("total", F.lit(0)).alias("total")).first()
     join_back = fpe.RECALLED_VALUES < seen["distinct"] < DISTINCT_SHARE * seen["total"]
     return (decode_distinct if join_back else decode_every)(df, policy, user, column, key)
 

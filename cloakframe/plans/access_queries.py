@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import fpe, sql
 from ..operators import govern
 from ..operators.tokens import tokenize_table
+from ..session import shared_path
 from ..sources.pii import with_branch
-from ..sources.tables import table
+from ..sources.tables import create_table_as, table
 from .base import PEOPLE, people, people_sql, query
 from .token_queries import hmac_sql, stored_tokens
 
@@ -129,6 +130,14 @@ def decode_by_share(spark, folder):
     return govern.decode(branched(spark, folder), govern.entitlements(spark, USER), USER)
 
 
+@query(_NAMES)
+def decode_by_sketch(spark, folder):
+    """The choice is made from sketches by branch, stored beside the token table."""
+    rows = branched(spark, folder)
+    sketches = create_table_as(govern.branch_sketches(rows), shared_path(spark, "sketches"))
+    return govern.decode(rows, govern.entitlements(spark, USER), USER, sketches=sketches)
+
+
 @query(f"{PEOPLE} SELECT id, CAST(id % 4 AS INTEGER) AS branch_id, ssn FROM people WHERE ssn = '100-10-1000' AND id % 4 IN (0, 1)")
 def lookup_by_token(spark, folder):
     """One person's record (customer 0), if the user may see it."""

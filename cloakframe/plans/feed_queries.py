@@ -8,7 +8,7 @@ from ..operators import tokens as tk
 from ..operators.service_logs import per_row_costs
 from ..session import shared_path
 from ..sources.pii import PII_SCHEMA, mock_pii
-from ..sources.tables import append_json_lines, scan_csv, scan_json_lines, table, write_csv
+from ..sources.tables import append_json_lines, field, scan_csv, scan_json_lines, scan_variant_lines, table, write_csv
 from ..streaming import live
 from .base import PEOPLE, people, people_sql, query
 from .service_queries import _LOG, service_log
@@ -40,6 +40,29 @@ def json_lines_scan(spark, folder):
     )
 
 
+@query(
+    """WITH records AS (SELECT 'infrastructure' AS phase, o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS rps, NULL AS variant, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 9 END AS depth FROM orders
+      UNION ALL SELECT 'probe', p_partkey, NULL, p_name, NULL FROM part UNION ALL SELECT 'trial', s_suppkey, NULL, NULL, s_suppkey % 5 FROM supplier)
+    SELECT phase, count(*) AS records, count(rps) AS with_rps, count(variant) AS with_variant, count(depth) AS with_depth, coalesce(sum(depth), 0)::BIGINT AS depths, min(id) AS first_id, max(id) AS last_id FROM records GROUP BY phase"""
+)
+def variant_records(spark, folder):
+    """Records of three phases in one feed, kept whole: a nested field that no schema names is read out of them."""
+    path, number = shared_path(spark, "variant"), F.col("o_orderkey")
+    nested = lambda value: F.struct(F.struct(value.alias("depth")).alias("pool"))
+    orders = F.struct(F.lit("infrastructure").alias("phase"), number.alias("id"), F.col("o_totalprice").cast("double").alias("rps"), nested(F.when(number % 2 == 0, number % 9)).alias("settings"))
+    parts = F.struct(F.lit("probe").alias("phase"), F.col("p_partkey").alias("id"), F.col("p_name").alias("variant"))
+    trials = F.struct(F.lit("trial").alias("phase"), F.col("s_suppkey").alias("id"), nested(F.col("s_suppkey") % 5).alias("settings"))
+    for name, record in (("orders", orders), ("part", parts), ("supplier", trials)):
+        table(spark, folder, name).select(F.to_json(record).alias("value")).write.mode("append").text(path)
+    record = scan_variant_lines(spark, path)
+    fields = {"phase": "string", "id": "bigint", "rps": "double", "variant": "string", "settings.pool.depth": "bigint"}
+    told = record.select(*[field("record", path, kind).alias(path.rpartition(".")[2]) for path, kind in fields.items()])
+    return told.groupBy("phase").agg(
+        F.count("*").alias("records"), F.count("rps").alias("with_rps"), F.count("variant").alias("with_variant"), F.count("depth").alias("with_depth"),
+        F.coalesce(F.sum("depth"), F.lit(0)).alias("depths"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+    )
+
+
 @query(
     """SELECT CASE o_orderkey % 3 WHEN 0 THEN NULL ELSE o_orderkey END AS id, CASE WHEN o_orderkey % 3 = 0 THEN '{broken ' || o_orderkey END AS broken_line
     FROM orders WHERE o_orderkey % 3 <> 1"""

@@ -597,3 +597,22 @@ def status_codes(spark, folder):
     return both.groupBy("element", F.col("r.code").alias("code")).agg(
         F.count("*").alias("texts"), F.count("r.value").alias("with_value")
     )
+
+
+@query(
+    f"""{PEOPLE}, named AS (SELECT id, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 = 1 THEN '' WHEN id % 7 = 2 THEN 'no such element' WHEN id % 7 = 3 THEN 'SSN' ELSE 'ssn' END AS element,
+      CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN '12-3' ELSE ssn END AS v FROM people)
+    SELECT coalesce(element, '(none)') AS element, CASE WHEN v IS NULL THEN 0 WHEN element IN ('no such element', 'SSN') THEN 2 WHEN length(v) < 6 THEN 22 ELSE 6 END AS code,
+      count(*) AS n, count(CASE WHEN element IN ('no such element', 'SSN') THEN NULL ELSE v END) AS with_value, true AS restored FROM named GROUP BY 1, 2"""
+)
+def unknown_elements(spark, folder):
+    """Rows whose element does not exist get a status; the job and the other rows go on."""
+    seventh, fifth = F.col("id") % 7, F.col("id") % 5
+    name = F.when(seventh == 1, "").when(seventh == 2, "no such element").when(seventh == 3, "SSN").when(seventh > 3, "ssn")
+    rows = people(spark, folder).select(name.alias("element"), F.when(fifth == 1, "12-3").when(fifth > 1, F.col("ssn")).alias("v"))
+    held = rows.withColumn("r", native.protect_each_with_status("v", "element"))
+    back = held.withColumn("b", native.protect_each_with_status("r.value", "element", operation="unprotect"))
+    right = F.bool_and((F.col("r.code") == native.UNKNOWN_ELEMENT) | F.col("b.value").eqNullSafe(F.col("v"))).alias("restored")
+    return back.groupBy(F.coalesce("element", F.lit("(none)")).alias("element"), F.col("r.code").alias("code")).agg(
+        F.count("*").alias("n"), F.count("r.value").alias("with_value"), right
+    )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -38,6 +39,24 @@ def scan_json_lines(
     return reader.schema(wider).option("columnNameOfCorruptRecord", BROKEN_LINE).json(paths)
 
 
+def scan_variant_lines(spark: SparkSession, paths: str | list[str], broken: str = "fail") -> DataFrame:
+    """JSON lines as one column ``record`` of type VARIANT, so that records of any phase and fields that no schema names are
+    all kept; blank lines are skipped.  A line that is no JSON ends the job, or with ``broken="keep"`` is a NULL
+    record beside the column ``broken_line``.  Fields are read by :func:`field`."""
+    if broken not in ("fail", "keep"):
+        raise ValueError(f"broken must be fail or keep, got {broken!r}")
+    lines = spark.read.text(paths).where(F.trim("value") != "")
+    if broken == "fail":
+        return lines.select(F.parse_json("value").alias("record"))
+    record = F.try_parse_json("value")
+    return lines.select(record.alias("record"), F.when(record.isNull(), F.col("value")).alias(BROKEN_LINE))
+
+
+def field(record: Column | str, path: str, kind: str) -> Column:
+    """A field of a VARIANT by its path (``a.b[0]``), NULL where it is absent or of another kind."""
+    return F.try_variant_get(F.col(record) if isinstance(record, str) else record, f"$.{path}", kind)
+
+
 def append_json_lines(df: DataFrame, path: str) -> None:
     """Append records; earlier files stay as they are."""
     df.write.mode("append").json(path)

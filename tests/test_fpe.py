@@ -266,3 +266,13 @@ def test_the_session_key_holds_everywhere(spark):
         spark.conf.unset(keys.KEY_CONF)
         sql.register(spark)
     assert df.select(fpe.encrypt("v", "ssn")).first()[0] == row.demo
+
+
+def test_unknown_element_of_a_row_is_a_status(spark):
+    rows = [("123-45-6789", "ssn"), ("123-45-6789", "nothing"), ("12", "ssn"), (None, "nothing"), ("123-45-6789", None), ("123-45-6789", ""), ("1" * 60, "ssn")]
+    df = spark.createDataFrame(rows, "v string, e string")
+    told = [tuple(r[0]) for r in df.select(native.protect_each_with_status("v", "e")).collect()]
+    assert [c for _, c in told] == [6, 2, 22, 0, 6, 6, 23]
+    assert told[0][0] == told[4][0] == told[5][0] != "123-45-6789" and told[1][0] is told[3][0] is told[6][0] is None and told[2][0] == "12"
+    with pytest.raises(ValueError, match="unknown data element"):
+        native.protect_each_with_status("v", "e", default="nothing")

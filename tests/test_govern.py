@@ -103,6 +103,24 @@ def test_audit_sees_missing_and_different_rows(spark):
     assert (row["mismatches"], row["compared"]) == (2, 4)
 
 
+def test_decode_chooses_by_stored_sketches(spark, clear, monkeypatch):
+    """With sketches the table is not read to choose; both choices give the same rows."""
+    held = with_branch(tk.tokenize_table(clear))
+    policy, sketches = govern.entitlements(spark, USER), govern.branch_sketches(held).cache()
+    assert sketches.agg(F.sum("total")).first()[0] == 400
+    want = sorted(map(tuple, govern.decode_every(held, policy, USER).collect()))
+    for remembered, share, joined in ((2_000, 0.01, False), (2, 0.9, True)):
+        monkeypatch.setattr(govern.fpe, "RECALLED_VALUES", remembered)
+        monkeypatch.setattr(govern, "DISTINCT_SHARE", share)
+        shown = govern.decode(held, policy, USER, sketches=sketches)
+        assert sorted(map(tuple, shown.collect())) == want
+        assert ("Aggregate" in shown._jdf.queryExecution().optimizedPlan().toString()) >= joined
+    never = held.withColumn("name", F.raise_error(F.lit("the table was read")).cast("string"))
+    govern.decode(never, policy, USER, sketches=sketches)  # choosing alone reads nothing of it
+    with pytest.raises(Exception, match="the table was read"):
+        govern.decode(never, policy, USER)
+
+
 def test_audit_of_repeated_keys(spark):
     rows = [(1, "a"), (1, "b"), (1, "b"), (None, None), (None, "x"), (2, None)]
     table = spark.createDataFrame(rows, "id int, v string")

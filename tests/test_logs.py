@@ -180,3 +180,16 @@ def test_burst_hour_is_dealt_out_evenly(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_variant_records_keep_unknown_fields(spark, tmp_path):
+    from cloakframe.sources.tables import field, scan_variant_lines
+
+    (tmp_path / "a.jsonl").write_text('{"phase": "a", "x": {"deep": [1, 2]}}\n\n  \n{"phase": 7}\n{broken\n[3]\n')
+    rows = scan_variant_lines(spark, str(tmp_path), broken="keep")
+    told = rows.select(field("record", "phase", "string").alias("p"), field("record", "x.deep[1]", "int").alias("d"), "broken_line").collect()
+    assert sorted(map(tuple, told), key=repr) == sorted([("a", 2, None), ("7", None, None), (None, None, "{broken"), (None, None, None)], key=repr)
+    with pytest.raises(Exception, match="MALFORMED|parse"):
+        scan_variant_lines(spark, str(tmp_path)).collect()
+    with pytest.raises(ValueError, match="broken must be"):
+        scan_variant_lines(spark, str(tmp_path), broken="maybe")
