@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
 from .ranking import exact_medians, join_groups, ranked
+from .slopes import median_slope
 
 # --- fixed values -------------------------------------------------------------------------------------
 FIT_FROM = 4
@@ -26,9 +29,6 @@ DECISION_TABLE = [
 # ------------------------------------------------------------------------------------------------------
 
 
-SHARE_POINTS = 64  # points of a curve that one task pairs with the whole curve
-
-
 def median_by(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Group size and the median of each numeric field, missing values left out.  A NULL key is a group."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -134,23 +134,19 @@ def theil_sen(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Robust line through a curve's points with x >= 4: slope is the median of the slopes of all pairs of
     different x, the floor the median residual, not below 0; plus the point farthest from the line.
 
-    A curve has one point per function, so its pairs, which the estimate is defined by, grow with the functions
-    tried and never with the measurements behind them.  They are made once and stored."""
+    A curve has one point per function, however many measurements are behind it, and is one task's two columns of
+    numbers; its pairs are counted and never written out (see :mod:`.slopes`).  Points whose y is no finite number
+    are in no pair.  A curve without two different x has no slope."""
     points = settle(curve.filter(F.col("x") >= FIT_FROM), "curve")
-    # a curve's later points are dealt out and its earlier ones copied to every share; a longer curve has more
-    # shares, so that no task pairs more than one share with the curve
-    sizes = points.groupBy(*keys).agg(F.ceil(F.count("*") / SHARE_POINTS).cast("int").alias("_shares"))
-    sized = join_groups(points, sizes, keys)
-    left = sized.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).alias("l")
-    right = sized.withColumn("_share", F.pmod(F.hash("point", "x"), F.col("_shares"))).alias("r")
-    same_curve = F.col("l._share") == F.col("r._share")
-    for k in keys:
-        same_curve = same_curve & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    pairs = left.join(right, same_curve & (F.col("r.x") > F.col("l.x"))).select(
-        *[F.col(f"l.{k}").alias(k) for k in keys],
-        F.try_divide(F.col("r.y") - F.col("l.y"), F.col("r.x") - F.col("l.x")).alias("slope"),
-    )
-    slope = exact_medians(settle(pairs, "slopes"), keys, "slope", "slope")
+    kinds = ", ".join([*(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys), "slope double"])
+
+    def sloped(table: pa.Table) -> pa.Table:
+        x, y = (table.column(c).to_numpy().astype(float) for c in ("x", "y"))
+        finite = np.isfinite(x) & np.isfinite(y)
+        slope = pa.array([median_slope(x[finite], y[finite])], pa.float64())
+        return pa.table([*(table.column(k).slice(0, 1) for k in keys), slope], names=[*keys, "slope"])
+
+    slope = points.select(*keys, F.col("x").cast("double").alias("x"), "y").groupBy(*keys).applyInArrow(sloped, kinds).filter("slope IS NOT NULL")
     leaning = settle(join_groups(points, slope, keys), "leaning")
     rests = leaning.select(*keys, (F.col("y") - F.col("slope") * F.col("x")).alias("rest"))
     floor = exact_medians(rests, keys, "rest", "floor").withColumn("floor", F.greatest("floor", F.lit(0.0)))
