@@ -155,7 +155,7 @@ def live_concurrency(spark, folder):
     source = shared_path(spark, "log")
     log = service_log(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
     log.write.parquet(source)
-    cells = live.live_cells(live.read_table_stream(spark, source, log.schema), ["mode"], cell_seconds=600, longest_seconds=LONGEST_HOURS * 3600)
+    cells = live.live_cells(live.read_table_stream(spark, source, log.schema), ["mode"], cell_seconds=3600, longest_seconds=LONGEST_HOURS * 3600)
     hours = live.concurrency_by_window(_run(cells, "cells"), ["mode"])
     newest = log.agg(F.max("ts")).first()[0]
     closed = F.col("window_start") + F.expr("INTERVAL 1 HOUR") <= F.lit(newest) - F.expr(f"INTERVAL {LONGEST_HOURS * 3600 + 120} SECONDS")
