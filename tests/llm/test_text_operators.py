@@ -216,6 +216,8 @@ def test_boilerplate_goes_and_documents_stay(spark):
     rare = [(200 + i, f"{PROSE} Rare {i}.\nA line on four sites only", f"site{i}") for i in range(4)]
     docs = spark.createDataFrame(own + copies + rare, "doc_id long, text string, source string")
     texts = {d: t for d, t, _ in own + copies + rare}
+    sent, joined = (sorted(map(repr, lines.remove_boilerplate(docs, lines.LineConfig(sent=n), counts=True).collect())) for n in (10, 0))
+    assert sent == joined
     for r in lines.remove_boilerplate(docs, counts=True).collect():
         want = "\n".join(x for x in texts[r.doc_id].split("\n") if x != footer) if r.doc_id < 100 else texts[r.doc_id]
         assert r.text == want and r.n_removed == (1 if r.doc_id < 100 else 0)
