@@ -34,7 +34,8 @@ def rendezvous(key: str | Column, shards: int, weights: Sequence[float] | None =
 def assign(
     docs: DataFrame, key: str = "doc_id", shards: int = 40, weights: Sequence[float] | None = None, into: str = "shard"
 ) -> DataFrame:
-    """Every row with its shard, no shuffle.  A column of the name ``into`` is replaced."""
+    """Every row with its shard, no shuffle.  Rows of equal key, null among them, share a shard; a column of the name ``into`` is
+    replaced, others stay; no rows give none."""
     return docs.withColumn(into, rendezvous(key, shards, weights))
 
 

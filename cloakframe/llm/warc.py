@@ -215,7 +215,8 @@ def _read_record(record: bytes) -> dict:
 def read_archives(spark: SparkSession, paths: DataFrame, strict: bool = True, payloads: bool = True, block: int = 64 << 10) -> DataFrame:
     """Records of the archives named in the column ``path``.  Headers, lengths and digests are checked: a record
     that fails ends the job or, not ``strict``, is a row with ``error`` (an archive that cannot be read on is one
-    such row).  ``payload`` is null for revisits, and throughout without ``payloads``."""
+    such row).  ``payload`` is null for revisits, whose length and digest are those of their headers, and throughout without
+    ``payloads``.  Null paths are skipped, a path named twice is read twice, no paths give no rows."""
     names = [f.split()[0] for f in READ.split(", ")]
     schema = pa.schema([("path", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
 
