@@ -110,6 +110,9 @@ class Machine:
     def write(self, text: str) -> str:
         """The output of the composition with ``text``."""
         if self.branching is None:
+            if len(self.single) == 1:  # a machine of one arc
+                ((read, write),) = self.single.items()
+                return text.replace(chr(read), write)
             return text.translate(self.single) if self.single else text
         out, at = [], 0
         while found := self.branching.search(text, at):
