@@ -1,9 +1,9 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Unigrams and bigrams of letter and punctuation runs are hashed to a fixed number of buckets.  Raw counts are taken
-over all documents; the target's over a bounded sample of trusted ones.  A document's score is the mean of
-log(p_target / p_raw) over its n-grams, and every document is held against one threshold, set where labelled
-documents that the counts have not seen are parted best."""
+over all documents, the target's over all trusted ones.  A document's score is the mean of log(p_target / p_raw) over
+its n-grams, and every document is held against one threshold, set where all labelled documents are parted best; for
+that a trusted one is scored by the target without its own n-grams."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, bounded_sample
+from .common import Scratch, bounded_sample, running_total
 from .words import SPACE, Texts, Words, chunks, cut, mix64, ngrams
 
 _U = np.uint64
@@ -33,13 +33,13 @@ LINES = (np.arange(256) != 10).astype(np.uint8)
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """``buckets`` of the hash; ``trusted_rows`` labelled 1 make the target and ``tuning_rows`` of either label set
-    the threshold (both bounds of a labelled sample, taken in hash order of doc_id); ``smoothing`` is added to
-    every bucket."""
+    """``buckets`` of the hash; ``smoothing`` is added to every bucket.  All labelled documents are used, unless a caller
+    with more of them than wanted bounds them: then at most ``trusted_rows`` + ``tuning_rows`` labelled 1 and
+    ``tuning_rows`` labelled 0, in hash order of doc_id."""
 
     buckets: int = 1 << 16
-    trusted_rows: int = 20_000
-    tuning_rows: int = 20_000
+    trusted_rows: int | None = None
+    tuning_rows: int | None = None
     smoothing: float = 1.0
 
 
@@ -158,43 +158,69 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     return docs.mapInArrow(passing, docs.schema)
 
 
-def _sample(labels: DataFrame, label: int, rows: int) -> DataFrame:
-    """Ids of at most ``rows`` documents of one label, in hash order."""
-    return bounded_sample(labels.where(F.col("label") == label), rows, "doc_id").select("doc_id", "label")
+def _left_out(batches: Iterator[pa.RecordBatch], weights: np.ndarray, target: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Label and score of the labelled documents that pass the base rules; a trusted one's own n-grams are taken out of
+    ``target`` (smoothed counts) first."""
+    buckets, total = len(weights), target.sum()
+    for batch in batches:
+        for begin, texts in chunks(batch.column("text")):
+            label = batch.column("label").slice(begin, len(texts))
+            keys, owner = _features(texts, buckets)
+            held = np.bincount(owner, minlength=len(texts))
+            own = label.to_numpy(zero_copy_only=False)[owner] == 1
+            _, inverse, times = np.unique(owner[own] * np.int64(buckets) + keys[own], return_inverse=True, return_counts=True)
+            less = np.bincount(owner[own], weights=np.log1p(-times[inverse] / target[keys[own]]), minlength=len(texts))
+            rest = np.where(label.to_numpy(zero_copy_only=False) == 1, np.log1p(-held / total), 0.0)
+            score = _mean_weight(texts, weights) + less / np.maximum(held, 1) - rest
+            passed = pa.array(~failed_base(base_counts(texts, cut(texts))))
+            yield pa.RecordBatch.from_arrays([label.filter(passed), pa.array(score).filter(passed)], ["label", "llr"])
+
+
+def _chosen(one_each: DataFrame, config: QualityConfig) -> DataFrame:
+    """(doc_id, label) of all labelled documents, or of as many of each label as the bounds allow."""
+    tuning, trusted = config.tuning_rows, config.trusted_rows
+    for label, rows in ((0, tuning), (1, None if None in (trusted, tuning) else trusted + tuning)):
+        if rows is not None:
+            of_label = F.col("label") == label
+            one_each = one_each.where(~of_label).unionByName(bounded_sample(one_each.where(of_label), rows, "doc_id"))
+    return one_each
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> QualityModel:
     """``labels`` has doc_id and quality (1 trusted, 0 not); a document with both counts as 0, null labels do not
     count.  Without trusted labels all n-grams weigh nothing, without both labels the base rules alone decide."""
     one_each = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"))
+        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     )
-    ids = _sample(one_each, 1, config.trusted_rows + config.tuning_rows).unionByName(_sample(one_each, 0, config.tuning_rows))
-    # At most trusted_rows + 2 * tuning_rows ids of 12 bytes: a bound that does not grow with the data.
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(config.trusted_rows + config.tuning_rows))
     scratch = Scratch(docs.sparkSession)
-    sample = scratch.settle(
-        picked.select("text", "label", ((F.col("label") == 1) & (turn < config.trusted_rows)).alias("trusted")), "labelled"
-    )
-    target = ngram_counts(sample.where("trusted"), config.buckets) + config.smoothing
+    # labels grow with the documents, so what is right for few of them is not chosen: the join is by shuffle at every size
+    marks = _chosen(one_each, config).hint("merge")
+    labelled = scratch.settle(docs.select("doc_id", "text").join(marks, "doc_id").select("text", "label"), "labelled")
+    target = ngram_counts(labelled.where("label = 1"), config.buckets) + config.smoothing
     raw = ngram_counts(docs, config.buckets) + config.smoothing
     weights = np.log(target / target.sum()) - np.log(raw / raw.sum())
     if target.sum() == config.smoothing * config.buckets:
         weights = np.zeros(config.buckets)
-    tuning = judge(sample.where("NOT trusted"), QualityModel(weights, 0.0), "label").where("NOT base_failed").select("label", "llr")
-    rows = tuning.toArrow()
+    scored = labelled.mapInArrow(lambda it: _left_out(it, weights, target), "label int, llr double")
+    threshold = best_threshold(scratch.settle(scored, "scored"))
     scratch.drop()
-    return QualityModel(weights, best_threshold(rows["label"].to_numpy(), rows["llr"].to_numpy()))
+    return QualityModel(weights, threshold)
+
+
+CELLS = 1 << 14  # cells of scores in a unit, which are put in order on their own
 
 
-def best_threshold(label: np.ndarray, score: np.ndarray) -> float:
-    """Half way between the two neighbouring scores that part the labels with the best mean of both hit rates; of
-    equally good places the lowest, so that in doubt documents stay."""
-    good, bad = np.sort(score[label == 1]), np.sort(score[label == 0])
-    if not len(good) or not len(bad):
+def best_threshold(scored: DataFrame) -> float:
+    """Half way between the two neighbouring scores (``llr``) that part the labels with the best mean of both hit rates; of
+    equally good places the lowest, so that in doubt documents stay.  Rows are counted by score and running totals taken
+    cell by cell, so no task and not the driver holds all scores."""
+    good, bad = scored.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    if not good or not bad:
         return float("-inf")
-    places = np.unique(score)
-    balance = (len(good) - np.searchsorted(good, places)) / len(good) + np.searchsorted(bad, places) / len(bad)
-    best = int(np.argmax(balance))
-    return float(places[best] if best == 0 else (places[best - 1] + places[best]) / 2)
+    places = scored.groupBy("llr").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"))
+    cell = F.floor(F.col("llr") * CELLS)
+    below = running_total(running_total(places, [], ["llr"], "good", "good_below", cell), [], ["llr"], "bad", "bad_below", cell)
+    balance = (F.lit(good) - F.col("good_below")) / F.lit(good) + F.col("bad_below") / F.lit(bad)
+    best = below.orderBy(balance.desc(), "llr").first()["llr"]
+    before = scored.where(F.col("llr") < best).agg(F.max("llr")).first()[0]
+    return best if before is None else (before + best) / 2

@@ -62,6 +62,46 @@ def test_quality_parts_junk_from_prose(spark):
     assert all(kept[i] == (i < 120) for i in range(1, 180, 2))  # none of these was labelled
 
 
+def test_quality_model_of_all_labels(spark, folder):
+    """Every labelled document counts: weights and threshold as from plain counts, each trusted text scored without its own."""
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = {r.doc_id: r.text or "" for r in docs.collect()}
+    marks = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id in held}
+    buckets = 1 << 12
+
+    def counts(text):
+        return np.bincount(quality._features(next(words.chunks(pa.array([text])))[1], buckets)[0], minlength=buckets)
+
+    own = {d: counts(t) for d, t in held.items()}
+    target, raw = sum(own[d] for d, m in marks.items() if m == 1) + 1.0, sum(own.values()) + 1.0
+    model = quality.fit(docs, labels, quality.QualityConfig(buckets=buckets))
+    assert np.allclose(model.weights, np.log(target / target.sum()) - np.log(raw / raw.sum()), rtol=0, atol=1e-12)
+    failed = {r.doc_id for r in quality.judge(docs, model).where("base_failed").collect()}
+    scores = []
+    for d, mark in marks.items():
+        if d not in failed:
+            known = target - own[d] if mark == 1 else target
+            weights = np.log(known / known.sum()) - np.log(raw / raw.sum())
+            scores.append((float(own[d] @ weights / own[d].sum()), mark))
+    good, bad = sum(m == 1 for _, m in scores), sum(m == 0 for _, m in scores)
+    rate = lambda at: sum(s >= at for s, m in scores if m == 1) / good + sum(s < at for s, m in scores if m == 0) / bad
+    assert good and bad and abs(rate(model.threshold) - max(rate(s) for s, _ in scores)) < 1e-12
+
+
+def test_best_threshold_without_a_list(spark):
+    """Running totals over cells give the place that sorting all scores gives, ties and equal scores included."""
+    rnd = random.Random(5)
+    for n in (2, 3, 40, 400):
+        rows = [(i % 2, round(rnd.gauss(i % 2, 2), 1) + 0.0) for i in range(n)]
+        good, bad = (sorted(s for m, s in rows if m == k) for k in (1, 0))
+        places = sorted({s for _, s in rows})
+        balance = [sum(g >= p for g in good) / len(good) + sum(b < p for b in bad) / len(bad) for p in places]
+        at = balance.index(max(balance))
+        wanted = places[0] if at == 0 else (places[at - 1] + places[at]) / 2
+        assert quality.best_threshold(spark.createDataFrame(rows, "label int, llr double")) == wanted
+    assert quality.best_threshold(spark.createDataFrame([(1, 0.5)], "label int, llr double")) == float("-inf")
+
+
 def test_quality_odd_and_empty(spark, odd, none):
     labels = spark.createDataFrame([(5, 1), (5, None), (9, 0), (None, 1), (404, 1)], "doc_id long, quality int")
     model = quality.fit(odd, labels, quality.QualityConfig(buckets=256))
