@@ -159,13 +159,17 @@ def replicate(df: DataFrame, rows: int, by: str = "id") -> DataFrame:
 
 
 def wide_values(df: DataFrame, value: Column, width: int, output: str = "wide") -> DataFrame:
-    """Widen every value by repetition to ``width`` characters (1 MB chunks are concatenated)."""
+    """Widen every value by repetition to ``width`` characters (1 MB chunks are concatenated).  Only the value itself is
+    cut, for the end of a chunk, so no wide text is gone through to make it."""
     chunk = 1_000_000
-    times = F.floor(F.lit(min(width, chunk)) / F.greatest(F.length(value), F.lit(1))).cast("int") + 1
+    length = F.greatest(F.length(value), F.lit(1))
+
+    def piece(size: int) -> Column:
+        return F.concat(F.repeat(value, F.floor(F.lit(size) / length).cast("int")), F.substring(value, F.lit(1), (F.lit(size) % length).cast("int")))
+
     full, rest = divmod(width, chunk)
-    block = F.repeat(value, times)
-    pieces = [F.substring(block, 1, chunk)] * full + ([F.substring(block, 1, rest)] if rest else [])
-    return df.withColumn(output, F.concat(*pieces))
+    pieces = ([F.repeat(piece(chunk), F.lit(full))] if full else []) + ([piece(rest)] if rest else [])
+    return df.withColumn(output, F.concat(*pieces) if pieces else F.substring(value, 1, 0))
 
 
 # --- fixed values: request budget and punctuation cost of one call in the wire format ------------------

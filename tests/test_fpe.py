@@ -276,3 +276,20 @@ def test_unknown_element_of_a_row_is_a_status(spark):
     assert told[0][0] == told[4][0] == told[5][0] != "123-45-6789" and told[1][0] is told[3][0] is told[6][0] is None and told[2][0] == "12"
     with pytest.raises(ValueError, match="unknown data element"):
         native.protect_each_with_status("v", "e", default="nothing")
+
+
+def test_wide_values_cut_only_the_value(spark):
+    """Any width, with texts of other lengths and scripts; only the value is cut, and a table of one file is spread."""
+    from cloakframe.operators import tokens as tk
+    from cloakframe.plans import QUERIES
+
+    values = ["abc", "é漢", "x" * 40, "", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for width in (0, 7, 30, 1_000_000, 2_000_005):
+        chunk = lambda v, n: (v * (n // max(len(v), 1) + 1))[:n]
+        wide = tk.wide_values(df, F.col("v"), width)
+        wanted = [None if v is None else chunk(v, 1_000_000) * (width // 1_000_000) + chunk(v, width % 1_000_000) for v in values]
+        assert [r.wide for r in wide.collect()] == wanted
+    assert "substring(repeat" not in wide._jdf.queryExecution().optimizedPlan().toString()
+    plan = QUERIES["wide_values"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
