@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import errors, service_logs as sl
+from ..session import spread
 from ..sources.logs import parse_lines, payloads, scan_log
 from ..sources.tables import table
 from .base import query
@@ -63,7 +64,7 @@ def _concurrency_sql(keys: str) -> str:
 
 def _as_lines(spark, folder):
     """The events as raw log lines: some without payload, some with only a receive time, some broken."""
-    log = service_log(spark, folder)
+    log = spread(service_log(spark, folder), "event_id")
     written = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     payload = F.struct("event", "instance", "pid", "mode", "rows", "inflight", "total_ms", "work_ms", "cpu_ms", "status")
     line = F.to_json(
@@ -102,15 +103,14 @@ def log_scan_ordered(spark, folder):
     told = scanned.select(F.unix_micros("ts").alias("ts_us"), "payload.pid")
 
     def checked(batches):
+        import numpy as np
         import pyarrow as pa
 
-        last = None
+        last = np.iinfo(np.int64).min
         for batch in batches:
-            late = []
-            for t in batch.column("ts_us").to_pylist():
-                late.append(last is not None and t < last)
-                last = t
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(late, pa.bool_())], ["ts_us", "pid", "out_of_order"])
+            times = np.concatenate(([last], batch.column("ts_us").to_numpy()))
+            last = times[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(times[1:] < times[:-1])], ["ts_us", "pid", "out_of_order"])
 
     return told.mapInArrow(checked, "ts_us long, pid long, out_of_order boolean")
 

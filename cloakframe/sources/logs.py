@@ -40,8 +40,9 @@ ENVELOPE = T.StructType(
 
 
 def parse_lines(df: DataFrame, line: str = "value") -> DataFrame:
-    """Log lines held as JSON text -> envelope columns; a line that is no JSON gives NULLs."""
-    return df.select(F.from_json(line, ENVELOPE).alias("e")).select("e.*")
+    """Log lines held as JSON text -> envelope columns; a line that is no JSON gives NULLs.  A line is read once, whatever
+    is filtered and picked later: columns of a generator are not written out again in the filters above it."""
+    return df.select(F.inline(F.array(F.from_json(line, ENVELOPE))))
 
 
 def scan_log(
@@ -55,7 +56,8 @@ def scan_log(
     rows = envelopes.filter(F.col("jsonPayload").isNotNull() & F.col("jsonPayload.event").isin(*events))
     if service is not None:
         rows = rows.filter(F.col("service") == service)
-    rows = rows.select(ts.alias("ts"), F.col("jsonPayload").alias("payload")).filter(F.col("ts").isNotNull())
+    # the time is read once for all of its filters, as the line is in parse_lines
+    rows = rows.select(F.inline(F.array(F.struct(ts.alias("ts"), F.col("jsonPayload").alias("payload"))))).filter(F.col("ts").isNotNull())
     if start is not None:
         rows = rows.filter(F.col("ts") >= _instant(start))
     if end is not None:

@@ -193,3 +193,18 @@ def test_variant_records_keep_unknown_fields(spark, tmp_path):
         scan_variant_lines(spark, str(tmp_path)).collect()
     with pytest.raises(ValueError, match="broken must be"):
         scan_variant_lines(spark, str(tmp_path), broken="maybe")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_line_is_read_once(spark):
+    """Filters on the envelope, on the payload and on the time do not parse the line or the time again."""
+    rows = [('{"timestamp": "2024-01-01T00:00:05Z", "service": "s", "jsonPayload": {"event": "batch", "rows": 1}}',), ("no json",), (None,), ("{}",), ("",)]
+    lines = spark.createDataFrame(rows, "value string")
+    parsed = parse_lines(lines)
+    assert [(r.service, r.jsonPayload and r.jsonPayload.rows) for r in parsed.collect()] == [("s", 1)] + [(None, None)] * 4
+    scanned = scan_log(parsed, "s", "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z", ordered=True)
+    assert scanned.select("payload.rows").collect() == [(1,)]
+    assert _plan(scanned).count("from_json(") == 1 and _plan(scanned).lower().count("cast(coalesce(") + _plan(scanned).count("try_to_timestamp(") + _plan(scanned).count("gettimestamp(") <= 1
