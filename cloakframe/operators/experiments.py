@@ -117,16 +117,22 @@ def drift(df: DataFrame, keys: list[str], value: str = "rps", sentinel: str = "s
 def rounds_of(function: Column | str) -> Column:
     """The number of rounds written in a function's name, or NULL."""
     function = F.col(function) if isinstance(function, str) else function
-    digits = F.nullif(F.regexp_extract(function, ROUNDS_PATTERN, 1), F.lit(""))
-    short = F.length(F.ltrim(digits, F.lit("0"))) <= 18
+    digits = F.regexp_extract(function, ROUNDS_PATTERN, 1)
     beyond = F.raise_error(F.concat(F.lit("rounds beyond a long: "), function)).cast("long")
-    return F.when(digits.isNull() | short, digits.cast("long")).otherwise(beyond)
+
+    def number(found: Column) -> Column:
+        found = F.nullif(found, F.lit(""))
+        return F.when(found.isNull() | (F.length(F.ltrim(found, F.lit("0"))) <= 18), found.cast("long")).otherwise(beyond)
+
+    return F.transform(F.array(digits), number)[0]  # the pattern is looked for once
 
 
 def calibration_curve(df: DataFrame, keys: list[str], point: str, x: str, y: str) -> DataFrame:
     """One point per ``point`` (a function): its x and the median y of its measurements; points without a y,
-    or with y = 0, are left out.  Several points may share an x."""
-    points = exact_medians(df.filter(F.col(x).isNotNull()), [*keys, point, x], y, "y")
+    or with y = 0, are left out.  Several points may share an x.  The measurements are stored in these columns, as the
+    medians read them three times and ``x`` may be costly."""
+    measured = settle(df.select(*keys, point, x, y), "measured")
+    points = exact_medians(measured.filter(F.col(x).isNotNull()), [*keys, point, x], y, "y")
     return points.select(*keys, F.col(point).alias("point"), F.col(x).alias("x"), "y").filter("y != 0")
 
 

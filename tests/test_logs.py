@@ -208,3 +208,13 @@ def test_a_line_is_read_once(spark):
     scanned = scan_log(parsed, "s", "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z", ordered=True)
     assert scanned.select("payload.rows").collect() == [(1,)]
     assert _plan(scanned).count("from_json(") == 1 and _plan(scanned).lower().count("cast(coalesce(") + _plan(scanned).count("try_to_timestamp(") + _plan(scanned).count("gettimestamp(") <= 1
+
+
+def test_rounds_are_looked_for_once(spark):
+    """The pattern stands once in a plan, and medians read stored measurements."""
+    rows = [("a", f"cpu_r{4 + i}_b1", float(i + 1)) for i in range(5)] + [("a", "none", 1.0)]
+    df = spark.createDataFrame(rows, "k string, function string, us double").withColumn("x", ex.rounds_of("function"))
+    assert _plan(df).count("cpu_r(") == 1
+    curve = ex.calibration_curve(df, ["k"], "function", "x", "us")
+    assert "cpu_r(" not in _plan(curve)
+    assert sorted((r.x, r.y) for r in curve.collect()) == [(4 + i, float(i + 1)) for i in range(5)]
