@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import Scratch, bounded_sample, running_total
 from .words import SPACE, Texts, Words, chunks, cut, mix64, ngrams
@@ -158,22 +159,47 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     return docs.mapInArrow(passing, docs.schema)
 
 
-def _left_out(batches: Iterator[pa.RecordBatch], weights: np.ndarray, target: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Label and score of the labelled documents that pass the base rules; a trusted one's own n-grams are taken out of
-    ``target`` (smoothed counts) first."""
+def _both_ways(batches: Iterator[pa.RecordBatch], weights: np.ndarray, target: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Scores of the documents that pass the base rules, as they count if not trusted and if trusted: a trusted one's own
+    n-grams are taken out of ``target`` (smoothed counts) first."""
     buckets, total = len(weights), target.sum()
     for batch in batches:
         for begin, texts in chunks(batch.column("text")):
-            label = batch.column("label").slice(begin, len(texts))
             keys, owner = _features(texts, buckets)
             held = np.bincount(owner, minlength=len(texts))
-            own = label.to_numpy(zero_copy_only=False)[owner] == 1
-            _, inverse, times = np.unique(owner[own] * np.int64(buckets) + keys[own], return_inverse=True, return_counts=True)
-            less = np.bincount(owner[own], weights=np.log1p(-times[inverse] / target[keys[own]]), minlength=len(texts))
-            rest = np.where(label.to_numpy(zero_copy_only=False) == 1, np.log1p(-held / total), 0.0)
-            score = _mean_weight(texts, weights) + less / np.maximum(held, 1) - rest
+            _, inverse, times = np.unique(owner * np.int64(buckets) + keys, return_inverse=True, return_counts=True)
+            with np.errstate(divide="ignore", invalid="ignore"):  # the target need not hold the n-grams of one that is not trusted
+                less = np.bincount(owner, weights=np.log1p(-times[inverse] / target[keys]), minlength=len(texts))
+                rest = np.log1p(-held / total)
+            score = _mean_weight(texts, weights)
+            trusted = score + less / np.maximum(held, 1) - rest
             passed = pa.array(~failed_base(base_counts(texts, cut(texts))))
-            yield pa.RecordBatch.from_arrays([label.filter(passed), pa.array(score).filter(passed)], ["label", "llr"])
+            columns = [batch.column("doc_id").slice(begin, len(texts)), pa.array(score), pa.array(trusted)]
+            yield pa.RecordBatch.from_arrays([c.filter(passed) for c in columns], ["doc_id", "other", "trusted"])
+
+
+#: Bits of a filter of doc_ids, 8 MB however many there are, and of a piece of it, 4 KB.
+BITS, PIECE_SHIFT = 1 << 26, 15
+
+
+def _likely(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be in ``marks``: all that are, and of the others those that share a bit of a
+    filter of bounded size, so a join by shuffle moves few texts only to drop them.  If the ids are not integers of one
+    type, which hash alike, all rows."""
+    kind = docs.schema["doc_id"].dataType
+    if kind != marks.schema["doc_id"].dataType or not isinstance(kind, IntegralType):
+        return docs
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    piece, place = F.shiftright(bit, PIECE_SHIFT), bit.bitwiseAND((1 << PIECE_SHIFT) - 1)
+    pieces = (
+        marks.select(piece.alias("__piece"), place.alias("__place"))
+        .repartition("__piece")
+        .groupBy("__piece")
+        .agg(F.bitmap_construct_agg("__place").alias("__bits"))
+    )
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10)
+    held = F.getbit(byte.cast("int"), place.bitwiseAND(7).cast("int")) == 1
+    return docs.join(F.broadcast(pieces), piece == F.col("__piece")).where(held).select(docs.columns)
 
 
 def _chosen(one_each: DataFrame, config: QualityConfig) -> DataFrame:
@@ -193,15 +219,21 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfi
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     )
     scratch = Scratch(docs.sparkSession)
-    # labels grow with the documents, so what is right for few of them is not chosen: the join is by shuffle at every size
-    marks = _chosen(one_each, config).hint("merge")
-    labelled = scratch.settle(docs.select("doc_id", "text").join(marks, "doc_id").select("text", "label"), "labelled")
-    target = ngram_counts(labelled.where("label = 1"), config.buckets) + config.smoothing
+    # labels grow with the documents, so what is right for few of them is not chosen: the joins are by shuffle at every size;
+    # only texts that make the target are moved, and none is stored
+    marks = scratch.settle(_chosen(one_each, config), "marks")
+    good, docs = marks.where("label = 1"), docs.select("doc_id", "text")
+    target = ngram_counts(_likely(docs, good).join(good.hint("merge"), "doc_id"), config.buckets) + config.smoothing
     raw = ngram_counts(docs, config.buckets) + config.smoothing
     weights = np.log(target / target.sum()) - np.log(raw / raw.sum())
     if target.sum() == config.smoothing * config.buckets:
         weights = np.zeros(config.buckets)
-    scored = labelled.mapInArrow(lambda it: _left_out(it, weights, target), "label int, llr double")
+    ways = _likely(docs, marks).mapInArrow(
+        lambda it: _both_ways(it, weights, target),
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, other double, trusted double",
+    )
+    llr = F.when(F.col("label") == 1, F.col("trusted")).otherwise(F.col("other"))
+    scored = ways.join(marks.hint("merge"), "doc_id").select("label", llr.alias("llr"))
     threshold = best_threshold(scratch.settle(scored, "scored"))
     scratch.drop()
     return QualityModel(weights, threshold)

@@ -12,7 +12,7 @@ import sentencepiece
 
 import brute
 from conftest import LONG, PROSE
-from cloakframe.llm import fingerprint as fp, lines, near, quality, toxicity, transducer, words
+from cloakframe.llm import common, fingerprint as fp, lines, near, quality, toxicity, transducer, words
 from cloakframe.llm.queries import QUERIES
 
 
@@ -88,6 +88,44 @@ def test_quality_model_of_all_labels(spark, folder):
     assert good and bad and abs(rate(model.threshold) - max(rate(s) for s, _ in scores)) < 1e-12
 
 
+def test_quality_fit_stores_no_text(spark, folder, monkeypatch):
+    """What is stored on the way is a row of numbers a document, and only texts that make the target are joined."""
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    stored, counted, settle, ngram_counts = [], [], common.Scratch.settle, quality.ngram_counts
+    monkeypatch.setattr(common.Scratch, "settle", lambda self, df, name: stored.extend(df.dtypes) or settle(self, df, name))
+    monkeypatch.setattr(quality, "ngram_counts", lambda df, buckets: counted.append(df.count()) or ngram_counts(df, buckets))
+    quality.fit(docs, labels, quality.QualityConfig(buckets=256))
+    assert stored and not [c for c, kind in stored if kind == "string"]
+    assert counted == [docs.join(labels.where("quality = 1"), "doc_id").count(), docs.count()]
+
+
+def test_quality_filter_of_ids_loses_none(spark, monkeypatch):
+    """Few bits let more rows through, never fewer; ids of two types, which hash apart, are not filtered."""
+    ids = [(None, "n"), *((i * 7919 - 10**9, str(i)) for i in range(3000)), (-(10**9), "again")]
+    docs = spark.createDataFrame(ids, "doc_id long, text string")
+    marks = docs.where("doc_id % 3 = 0").select("doc_id").distinct()
+    wanted = sorted(docs.join(marks, "doc_id").collect())
+    for bits, most in ((1 << 26, len(wanted) + 10), (1 << 16, 1300), (1 << 3, len(ids))):
+        monkeypatch.setattr(quality, "BITS", bits)
+        likely = quality._likely(docs, marks)
+        assert sorted(likely.join(marks, "doc_id").collect()) == wanted and likely.count() <= most
+        assert likely.columns == docs.columns
+    assert quality._likely(docs, marks.limit(0)).count() == 0
+    for kind in ("int", "string"):
+        other = marks.select(marks.doc_id.cast(kind).alias("doc_id"))
+        assert quality._likely(docs, other).count() == len(ids)
+    texts = [(i, f"{PROSE} {PROSE} {i}") for i in range(30)]
+    models = [
+        quality.fit(
+            spark.createDataFrame(texts, f"doc_id {of_docs}, text string"),
+            spark.createDataFrame([(i, i % 2) for i in range(20)], f"doc_id {of_labels}, quality int"),
+            quality.QualityConfig(buckets=256),
+        )
+        for of_docs, of_labels in (("long", "long"), ("long", "int"))
+    ]
+    assert (models[0].weights == models[1].weights).all() and models[0].threshold == models[1].threshold
+
+
 def test_best_threshold_without_a_list(spark):
     """Running totals over cells give the place that sorting all scores gives, ties and equal scores included."""
     rnd = random.Random(5)
